@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe_round_trip
+from .packing import op3_best_fit_packing
 
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_best_fit_packing": op3_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
