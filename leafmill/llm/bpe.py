@@ -15,11 +15,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_slices
+
 #: Texts above so many characters are cut into pieces of about that length.
 LONG = 100_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -52,18 +55,16 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
     schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
     names = [f.name for f in kept]
 
+    def ids_of(enc, t: str | None) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int32), *(np.array(enc.encode_ordinary(p), np.int32) for p in safe_pieces(t or ""))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for b in batches:
-            out = []
-            for t in b.column(len(names)).to_pylist():
-                if not t:
-                    out.append([])
-                elif len(t) <= LONG:
-                    out.append(enc.encode_ordinary(t))
-                else:
-                    out.append([i for p in safe_pieces(t) for i in enc.encode_ordinary(p)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.int32()))], names=[*names, ids])
+        for b in in_slices(batches):
+            found = [ids_of(enc, t) for t in b.column(len(names)).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*names, ids])
 
     return df.select(*names, F.col(text)).mapInArrow(run, schema)
 
@@ -77,8 +78,8 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for b in batches:
-            texts = [enc.decode_bytes(x or []) for x in b.column(at).to_pylist()]
+        for b in in_slices(batches):
+            texts = [enc.decode_bytes(x.values.tolist() if x.is_valid else []) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*names, out])
 
     return df.select(*names).mapInArrow(run, schema)
