@@ -6,12 +6,14 @@ from .bpe import op2_bpe_round_trip
 from .fingerprints import op8_weighted_sampling
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .packing import op3_best_fit_packing
+from .toxicity import op10_nearest_examples
 
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_line_dedup": op6_line_dedup,
     "op8_weighted_sampling": op8_weighted_sampling,
+    "op10_nearest_examples": op10_nearest_examples,
 }
 
 ORACLES: dict[str, str] = {
