@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe_round_trip
 from .fingerprints import op8_weighted_sampling
+from .html_extract import OP4_SQL, op4_consensus_paths
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .packing import op3_best_fit_packing
 from .toxicity import op10_nearest_examples
@@ -11,11 +12,13 @@ from .toxicity import op10_nearest_examples
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_consensus_paths": op4_consensus_paths,
     "op6_line_dedup": op6_line_dedup,
     "op8_weighted_sampling": op8_weighted_sampling,
     "op10_nearest_examples": op10_nearest_examples,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_consensus_paths": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
 }
