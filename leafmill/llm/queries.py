@@ -7,12 +7,14 @@ from .fingerprints import op8_weighted_sampling
 from .html_extract import OP4_SQL, op4_consensus_paths
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .packing import op3_best_fit_packing
+from .topk import OP5_SQL, op5_dual_cover_trees
 from .toxicity import op10_nearest_examples
 
 QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_consensus_paths": op4_consensus_paths,
+    "op5_dual_cover_trees": op5_dual_cover_trees,
     "op6_line_dedup": op6_line_dedup,
     "op8_weighted_sampling": op8_weighted_sampling,
     "op10_nearest_examples": op10_nearest_examples,
@@ -20,5 +22,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op4_consensus_paths": OP4_SQL,
+    "op5_dual_cover_trees": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
 }
