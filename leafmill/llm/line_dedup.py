@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SPACE, in_slices, materialize, table, texts_of
+from .filters import filter_bits, may_repeat, repeat_filter
 
 _SPACE = SPACE.encode()
-SLICES = 64
-#: Bits of a filter at most: 64 MB.
-MOST_BITS = 1 << 29
 #: Frequent keys are sent to all tasks up to so many bytes.
 SMALL_BYTES = 16 << 20
 
@@ -41,47 +39,11 @@ def key_hash(key: bytes) -> int:
     return xxhash.xxh3_64_intdigest(key)
 
 
-def repeat_filter(docs: DataFrame, bits: int) -> np.ndarray:
-    """The filter, as bytes of bits, of the key hashes seen in two documents or more."""
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(hashes: list[int]) -> pa.RecordBatch:
-            at, n = np.unique(np.array(hashes, np.uint64) & np.uint64(bits - 1), return_counts=True)
-            at = at.astype(np.uint32)
-            cut = np.searchsorted(at, np.arange(SLICES + 1, dtype=np.int64) * (bits // SLICES))
-            parts = [(k, at[a:b].tobytes(), at[a:b][n[a:b] > 1].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "once", "twice"])
-
-        found: list[int] = []
-        for b in batches:
-            for t in texts_of(b):
-                found.extend(key_hash(k) for k in set(line_keys(t)) if k)
-                if len(found) >= 1_000_000:
-                    yield rows(found)
-                    found = []
-        if found:
-            yield rows(found)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task gets all rows of its slices, and keeps two bitmaps for each."""
-        maps: dict[int, np.ndarray] = {}
-        width = bits // SLICES
-        for b in batches:
-            for k, once, twice in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                m = maps.setdefault(k, np.zeros((2, width), bool))
-                one = np.frombuffer(once, np.uint32) - np.uint32(k * width)
-                m[1, one] |= m[0, one]
-                m[0, one] = True
-                m[1, np.frombuffer(twice, np.uint32) - np.uint32(k * width)] = True
-        if maps:
-            yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m[1]).tobytes() for m in maps.values()], pa.binary())], names=["slice", "twice"])
-
-    slices = docs.select("text").mapInArrow(seen, "slice int, once binary, twice binary")
-    merged = slices.repartition(min(SLICES, 16), "slice").mapInArrow(merge, "slice int, twice binary")
-    out = np.zeros((SLICES, bits // SLICES // 8), np.uint8)
-    for r in merged.toLocalIterator():  # bits / 8 bytes at most
-        out[r["slice"]] = np.frombuffer(r["twice"], np.uint8)
-    return out.reshape(-1)
+def document_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The hashes of each document's distinct keys."""
+    for t in texts_of(batch):
+        own = {k for k in line_keys(t) if k}
+        yield np.fromiter(map(key_hash, own), np.uint64, len(own))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", bits: int | None = None, small_bytes: int = SMALL_BYTES) -> DataFrame:
@@ -91,8 +53,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", bits: i
     of its lines; keep="first" leaves the first line of the smallest doc_id.
     """
     spark = docs.sparkSession
-    bits = bits or 1 << int(np.clip(int(docs.count() * 64).bit_length(), 20, MOST_BITS.bit_length() - 1))
-    sent = spark.sparkContext.broadcast(repeat_filter(docs, bits))
+    sent = spark.sparkContext.broadcast(repeat_filter(docs.select("text"), document_hashes, bits or filter_bits(docs.count() * 16)))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = sent.value
@@ -100,9 +61,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", bits: i
             ids, keys = [], []
             for d, t in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
                 own = [k for k in set(line_keys(t)) if k]
-                at = np.fromiter(map(key_hash, own), np.uint64, len(own)) & np.uint64(bits - 1)
-                hit = (twice[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1
-                for k in np.flatnonzero(hit):
+                for k in np.flatnonzero(may_repeat(twice, np.fromiter(map(key_hash, own), np.uint64, len(own)))):
                     ids.append(d)
                     keys.append(own[k])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op2_bpe_round_trip
 from .fingerprints import op8_weighted_sampling
 from .html_extract import OP4_SQL, op4_consensus_paths
+from .jaccard import OP7_SQL, op7_ngram_jaccard
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .packing import op3_best_fit_packing
 from .topk import OP5_SQL, op5_dual_cover_trees
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_consensus_paths": op4_consensus_paths,
     "op5_dual_cover_trees": op5_dual_cover_trees,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_weighted_sampling": op8_weighted_sampling,
     "op10_nearest_examples": op10_nearest_examples,
 }
@@ -24,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op4_consensus_paths": OP4_SQL,
     "op5_dual_cover_trees": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op7_ngram_jaccard": OP7_SQL,
 }
