@@ -7,6 +7,7 @@ from .fingerprints import op8_weighted_sampling
 from .html_extract import OP4_SQL, op4_consensus_paths
 from .jaccard import OP7_SQL, op7_ngram_jaccard
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .lm import op9_recurrent_model
 from .packing import op3_best_fit_packing
 from .topk import OP5_SQL, op5_dual_cover_trees
 from .toxicity import op10_nearest_examples
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_weighted_sampling": op8_weighted_sampling,
+    "op9_recurrent_model": op9_recurrent_model,
     "op10_nearest_examples": op10_nearest_examples,
 }
 
