@@ -29,6 +29,7 @@ from .common import in_slices, materialize, partitions, table
 
 #: White space other than the space and the line feed.
 _ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_MARKS = frozenset(".,;:!?")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -56,7 +57,7 @@ class UnitEncoder(dict):
     pre-tokenised, and each of its pre-tokens that is new goes through the tokenizer's model.
     """
 
-    UNITS, IDS = 400_000, 6_000_000
+    UNITS, IDS = 700_000, 10_000_000
 
     def __init__(self, tokenizer, pattern: str):
         super().__init__()
@@ -76,8 +77,15 @@ class UnitEncoder(dict):
 
     def __missing__(self, unit) -> int:
         n = len(self.new_ids)
-        text = unit[0] if isinstance(unit, tuple) else " " + unit
-        for w in (text,) if unit.__class__ is str and unit.isalpha() else self.split(text):  # letters are one pre-token
+        if unit.__class__ is tuple:
+            found = self.split(unit[0])
+        elif unit.isalpha():  # letters are one pre-token, and so is a mark that ends them
+            found = (" " + unit,)
+        elif unit[-1:] in _MARKS and unit[:-1].isalpha():
+            found = (" " + unit[:-1], unit[-1])
+        else:
+            found = self.split(" " + unit)
+        for w in found:
             ids = self.known.get(w)
             if ids is None:
                 tokens = self.model.tokenize(w.encode().decode("latin-1").translate(self.characters))
@@ -278,7 +286,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     firsts = sizes.select("length", "_salt", (F.sum("n").over(W.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_first"))
     numbered = (
         salted.withColumn("_k", F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
-        .join(F.broadcast(firsts), ["length", "_salt"])  # at most capacity * salts rows
+        .join(firsts, ["length", "_salt"])  # partitioned as the window is
         .withColumn("_number", F.col("_first") + F.col("_k"))
         .drop("_salt", "_k", "_first")
     )

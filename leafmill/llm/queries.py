@@ -10,9 +10,11 @@ from .line_dedup import OP6_SQL, op6_line_dedup
 from .lm import op9_recurrent_model
 from .packing import op3_best_fit_packing
 from .topk import OP5_SQL, op5_dual_cover_trees
+from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op10_nearest_examples
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_consensus_paths": op4_consensus_paths,
