@@ -385,3 +385,17 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings of 200 bytes that start twice or more."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with its text cut; a character of which a byte is cut goes as a whole."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches):
+            cols = [b.column(b.schema.get_field_index(c)) for c in names]
+            cols[names.index("text")] = pa.array([t.decode("utf-8", "ignore") for t in texts_of(b, "kept")], pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    cut = remove_repeats(docs, length)
+    return cut.select(*names, "kept").mapInArrow(run, docs.schema)
