@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import documents
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (documents,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
