@@ -354,7 +354,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, spans: str = "spans")
     found = repeated_spans(single.unionByName(many), length)
     own = found.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     cut = materialize(own.join(copies, "node", "left_anti").unionByName(copies.select("node", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("_spans"))).withColumn("_hit", F.lit(True)), "spans")
-    joined = rows.join(cut, rows["_node"] == cut["node"], "left").select(*names, "_text", "_hit", "_spans")
+    cut = cut.withColumnRenamed("node", "_cut")
+    joined = rows.join(cut, rows["_node"] == cut["_cut"], "left").select(*names, "_text", "_hit", "_spans")
     kept = [f for f in fields if f.name in names]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*kept, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(spans, span)])

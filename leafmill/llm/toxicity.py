@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import in_slices, table, texts_of
 
-SAMPLE, TERMS, CHI_SQUARE, NEIGHBOURS, BLOCK = 2000, 3000, 20.0, 15, 128
+SAMPLE, TERMS, CHI_SQUARE, NEIGHBOURS, BLOCK = 2000, 2000, 20.0, 15, 256
 _EDGES = b".,;:!?|\"'()[]{}<>*_-#/\\"
 
 
@@ -64,37 +64,45 @@ def counts_of(text: bytes, numbers: TermNumbers) -> Counter:
 
 
 class BlockMaxIndex:
-    """Unit vectors of labelled examples, by term and block."""
+    """Unit vectors of labelled examples by term and block, with the largest weight of each term in each block.
+
+    vectors come in an order that puts like ones together, so that few blocks can hold the nearest of a query.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
         self.n = len(vectors)
-        blocks = -(-self.n // BLOCK) or 1
-        self.most = np.zeros((n_terms, blocks), np.float64)
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault((t, e // BLOCK), []).append((e % BLOCK, w))
-                self.most[t, e // BLOCK] = max(self.most[t, e // BLOCK], w)
-        self.postings = {k: (np.array([e for e, _ in v]), np.array([w for _, w in v])) for k, v in lists.items()}
+        self.blocks = []
+        for at in range(0, self.n, BLOCK):
+            weights = np.zeros((n_terms, min(BLOCK, self.n - at)), np.float32)
+            for e, v in enumerate(vectors[at : at + BLOCK]):
+                weights[list(v), e] = list(v.values())
+            self.blocks.append(weights)
+        self.most = np.stack([w.max(1) for w in self.blocks], 1) if self.blocks else np.zeros((n_terms, 0), np.float32)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k largest cosines above 0 and their examples; ties to the smaller number."""
-        terms, weights = list(query), np.array(list(query.values()))
-        if not terms:
+        if not query or not self.n:
             return []
+        terms, weights = np.array(list(query)), np.array(list(query.values()), np.float32)
         bound = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+        order = np.argsort(-bound, kind="stable")
+        scores, ids, kth = [], [], 0.0
+        for rank, b in enumerate(order.tolist()):
+            if bound[b] <= 0 or bound[b] < kth - 1e-6:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                if (p := self.postings.get((t, b))) is not None:
-                    score[p[0]] += w * p[1]
+            s = weights @ self.blocks[b][terms]
             if b * BLOCK <= without < (b + 1) * BLOCK:
-                score[without % BLOCK] = 0
-            best = sorted([*best, *((-score[e], b * BLOCK + e) for e in np.flatnonzero(score).tolist())])[:k]
-        return [(-s, e) for s, e in best]
+                s[without - b * BLOCK] = 0
+            good = np.flatnonzero((s > 0) & (s >= kth - 1e-6))
+            scores.append(s[good])
+            ids.append(good + b * BLOCK)
+            if sum(map(len, scores)) >= k and (rank < 3 or rank % 4 == 0):
+                kth = float(np.partition(np.concatenate(scores), -k)[-k])
+        if not scores:
+            return []
+        s, e = np.concatenate(scores), np.concatenate(ids)
+        top = np.lexsort((e, -s))[:k]
+        return list(zip(s[top].tolist(), e[top].tolist(), strict=True))
 
 
 class Model:
@@ -109,6 +117,7 @@ class Model:
         w = [self.weight[y] for y in bare]
         self.bare = (sum(a * y for a, y in zip(w, bare, strict=True)) + rate) / (sum(w) + 1) if examples else 0.0
         held = [(d, y, self.vector(c)) for d, y, c in examples if c]
+        held.sort(key=lambda x: (max(x[2], key=lambda t: (x[2][t], -t)), x[0]))  # those with one strongest term together
         self.ids, self.labels = [d for d, _, _ in held], np.array([y for _, y, _ in held], float)
         self.index = BlockMaxIndex([v for _, _, v in held], len(chosen))
         votes = np.array([self.vote(self.index.nearest(v, NEIGHBOURS, without=e)) for e, (_, _, v) in enumerate(held)])
