@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import documents
+from .plans import documents, layouts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (documents,):
+for _part in (documents, layouts):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
