@@ -50,7 +50,7 @@ def folder(docs, no_docs, spark, tmp_path_factory):
     for k, d in enumerate((docs, no_docs)):
         at = str(tmp_path_factory.mktemp(f"tables{k}"))
         d.write.parquet(f"{at}/documents.parquet")
-        labels = [(i, 1, int(i % 3 == 0)) for i in range(0, 130)] + [(5, 1, None), (None, 1, 1), (100000, 0, 1)]
+        labels = [(i, 1, int(i % 6 == 0)) for i in range(0, 130)] + [(5, 1, None), (None, 1, 1), (100000, 0, 1)]
         spark.createDataFrame(labels if not k else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
         pages = [(1, "http://a.example/x", "<html><body><nav><a href='/'>m</a></nav><article><h1>T &amp; u</h1><p>a<p>b<b>c</article></body></html>"), (2, None, None), (3, "http://a.example/y", ""), (None, "x", "<p>only")]
         spark.createDataFrame(pages if not k else [], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
