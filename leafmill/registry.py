@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import documents, layouts
+from .plans import documents, layouts, structures
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (documents, layouts):
+for _part in (documents, layouts, structures):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
