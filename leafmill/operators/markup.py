@@ -116,7 +116,7 @@ def html_images(pages: DataFrame) -> DataFrame:
     src = get("src")
     kind = F.when(src.startswith("data:"), F.regexp_extract(src, "^data:([^;,]*)", 1)).otherwise(media_type(F.regexp_extract(F.regexp_replace(src, r"[?#].*$", ""), r"\.([A-Za-z0-9]+)$", 1)))
     data = F.when(src.rlike("^data:[^,]*;base64,"), F.unbase64(F.regexp_extract(src, ",(.*)$", 1)))
-    return t.select("page_id", "pos", src.alias("src"), decode_entities(get("alt")).alias("alt"), kind.alias("media"), F.round(get("width").try_cast("double") * 25.4 / 96.0, 4).alias("width_mm"), F.length(data).alias("inline_bytes"))
+    return t.select("page_id", "pos", src.alias("src"), decode_entities(get("alt")).alias("alt"), kind.alias("media"), F.round(get("width").try_cast("double") * 25.4 / 96.0, 3).alias("width_mm"), F.length(data).alias("inline_bytes"))
 
 
 def html_notes(pages: DataFrame) -> DataFrame:

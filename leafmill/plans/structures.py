@@ -111,7 +111,7 @@ def a11_table_shape(spark, d):
     return M.table_shape(M.html_cells(nation_tables(spark, d)), "page_id").drop("table_no")
 
 
-@query("""SELECT doc_id AS page_id, CASE WHEN doc_id % 2 = 0 THEN 'image/jpeg' ELSE 'image/gif' END AS media, source AS alt, round((doc_id % 500) * 25.4::DOUBLE / 96.0::DOUBLE, 4) AS width_mm,
+@query("""SELECT doc_id AS page_id, CASE WHEN doc_id % 2 = 0 THEN 'image/jpeg' ELSE 'image/gif' END AS media, source AS alt, round((doc_id % 500) * 25.4::DOUBLE / 96.0::DOUBLE, 3) AS width_mm,
   CASE WHEN doc_id % 2 = 1 THEN length(source)::INT END AS inline_bytes FROM documents""")
 def p6_html_images(spark, d):
     src = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a/"), "source", F.lit(".JPG?x=1"))).otherwise(F.concat(F.lit("data:image/gif;base64,"), F.base64(F.col("source").cast("binary"))))
