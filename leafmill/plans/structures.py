@@ -332,3 +332,51 @@ def st5_undo_state(spark, d):
     """Events as pushes, undos and redos of each user; a fold of states, which SQL does not say."""
     action = F.element_at(F.array(*map(F.lit, ("push", "push", "undo", "redo"))), (F.col("event_id") % 4 + 1).cast("int"))
     return S.undo_state(read_table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("n"), action.alias("action")), 20)
+
+
+# ---- Formats and layout ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, 0 AS code, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '\\n$', ''), '\\n', chr(10) || chr(10), 'g')) AS sha256 FROM documents
+  WHERE NOT regexp_matches(coalesce(text, ''), '[\\\\`*_\\[\\]<>#~|^]')""")
+def u1_codec_registry(spark, d):
+    """Plain text to Markdown by registered formats, for documents without characters that Markdown escapes."""
+    from ..operators.codecs import default_registry
+
+    plain = docs(spark, d).filter(~F.coalesce("text", F.lit("")).rlike(r"[\\`*_\[\]<>#~|^]")).select("doc_id", "text")
+    return default_registry(spark).convert(plain, "txt", "md").select("doc_id", "code", F.sha2("text", 256).alias("sha256"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'textbox' WHEN 1 THEN 'table' WHEN 2 THEN 'image' ELSE 'shape' END AS kind,
+  l_linenumber % 4 = 0 OR (l_linenumber % 4 = 1 AND l_quantity > 10) OR (l_linenumber % 4 > 1 AND l_quantity > 25) AS overlay FROM lineitem""")
+def f2_split_overlay(spark, d):
+    """Body and overlay by kind and wrap mode; text boxes always float, tables unless they wrap as blocks."""
+    kind = F.element_at(F.array(*map(F.lit, ("textbox", "table", "image", "shape"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    wrap = F.when(kind == "table", F.when(F.col("l_quantity") > 10, "square").otherwise("block")).otherwise(F.when(F.col("l_quantity") > 25, "behind").otherwise("inline"))
+    b = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), wrap.alias("wrap"))
+    overlay = (F.col("kind") == "textbox") | ((F.col("kind") == "table") & (F.col("wrap") != "block")) | (F.col("kind").isin("image", "shape") & F.col("wrap").isin("front", "behind", "square"))
+    return b.select("l_orderkey", "l_linenumber", "kind", overlay.alias("overlay"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%H:%M') WHEN 2 THEN (event_id % 9 + 1)::VARCHAR ELSE event_type END AS text FROM events""")
+def l4_fields(spark, d):
+    """Field placeholders of runs: date, time, page and title."""
+    f = F.element_at(F.array(*map(F.lit, ("date", "time", "page", "title"))), (F.col("event_id") % 4 + 1).cast("int"))
+    text = F.when(f == "date", F.date_format("ts", "yyyy-MM-dd")).when(f == "time", F.date_format("ts", "HH:mm")).when(f == "page", (F.col("event_id") % 9 + 1).cast("string")).otherwise(F.col("event_type"))
+    return read_table(spark, d, "events").select("event_id", text.alias("text"))
+
+
+@query(f"""WITH {LINES}, q AS (SELECT doc_id, pos, (pos % 4)::INT AS level FROM lines), l AS (SELECT doc_id, pos, unnest(range(1, level + 1))::INT AS depth FROM q WHERE level > 0),
+n AS (SELECT *, CASE WHEN pos - lag(pos) OVER w = 1 THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY doc_id, depth ORDER BY pos)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, depth ORDER BY pos)::BIGINT AS grp FROM n)
+SELECT doc_id, depth, grp, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos FROM g GROUP BY 1, 2, 3""")
+def w2_quote_groups(spark, d):
+    """Runs of quoted blocks at each depth, with quote levels by line number."""
+    from pyspark.sql import Window as W
+
+    q = paragraphs(spark, d).withColumn("level", (F.col("pos") % 4).cast("int")).filter("level > 0")
+    l = q.select("doc_id", "pos", F.explode(F.sequence(F.lit(1), F.col("level"))).alias("depth"))
+    w = W.partitionBy("doc_id", "depth").orderBy("pos")
+    new = F.coalesce((F.col("pos") - F.lag("pos").over(w) != 1).cast("int"), F.lit(1))
+    l = l.withColumn("grp", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return l.groupBy("doc_id", "depth", "grp").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
