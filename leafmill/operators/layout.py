@@ -119,3 +119,48 @@ def edit_bursts(events: DataFrame, gap_seconds: int) -> DataFrame:
     new = F.coalesce((F.col("ts") - F.lag("ts").over(w) >= F.expr(f"INTERVAL {int(gap_seconds)} SECOND")), F.lit(True)).cast("int")
     e = events.withColumn("burst", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return e.groupBy("key", "burst").agg(F.min("ts").alias("started"), F.count("*").alias("n"))
+
+
+def paginate(blocks: DataFrame, body: int, columns: int = 1, tolerance: int = 200, most_blocks: int = 2500) -> DataFrame:
+    """blocks (doc_id, pos, height, forced) with page and col, as paginate_natural and with pushes, a block as a whole.
+
+    A block that would cross its slot's end, or for which its slot has no room left, goes on to the next slot that has;
+    one as high as a page is never pushed. The state of the fold is the fill of each slot. A document of more than
+    most_blocks blocks is degraded: all of it is on page 0. Heights are whole numbers.
+    """
+    counted = blocks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    every = blocks.join(counted, "doc_id")
+    plain = every.filter(F.col("n") > most_blocks).select("doc_id", "pos", F.lit(0).cast("long").alias("page"), F.lit(0).cast("long").alias("col"))
+    tops = F.sum("height").over(W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("height")
+    rows = every.filter(F.col("n") <= most_blocks).withColumn("top", tops)
+    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), F.col("top").cast("long").alias("top"), F.col("height").cast("long").alias("h"), "forced"))).alias("b"))
+    start = F.expr("named_struct('prev', -1L, 'least', 0L, 'fill', cast(map() as map<bigint,bigint>), 'out', cast(array() as array<bigint>))")
+
+    def room(s, k):
+        return F.coalesce(F.element_at(s["fill"], k), F.lit(0).cast("long"))
+
+    def step(s, x):
+        natural = F.greatest(s["least"], F.floor(x["top"] / body))
+        breaks = x["forced"] & (s["prev"] >= 0)
+        due = F.when(breaks, F.greatest(natural, (F.floor(s["prev"] / columns) + 1) * columns)).otherwise(natural)
+        small = x["h"] < body
+        crossed = F.when(~breaks & small & (x["top"] + x["h"] > (due + 1) * body + tolerance), due + 1).otherwise(due)
+
+        def place(at):
+            free = F.filter(F.sequence(at, at + F.size(s["fill"]) + 1), lambda k: room(s, k) + x["h"] <= body + tolerance)
+            slot = F.when(small & (x["h"] > 0), F.element_at(free, 1)).otherwise(at)
+            return F.struct(slot.alias("slot"), F.when(breaks, due).otherwise(s["least"]).alias("least"))
+
+        found = F.element_at(F.transform(F.array(crossed), place), 1)
+
+        def update(p):
+            full = F.least(F.lit(body).cast("long"), room(s, p["slot"]) + F.least(x["h"], F.lit(body).cast("long")))
+            fill = F.map_concat(F.map_filter(s["fill"], lambda k, v: k != p["slot"]), F.create_map(p["slot"], full))
+            return F.struct(p["slot"].alias("prev"), p["least"].alias("least"), fill.alias("fill"), F.concat(s["out"], F.array(p["slot"])).alias("out"))
+
+        return F.element_at(F.transform(F.array(found), update), 1)
+
+    placed = rows.select("doc_id", "b", F.aggregate("b", start, step)["out"].alias("slots"))
+    one = placed.select("doc_id", F.explode(F.arrays_zip(F.transform("b", lambda x: x["pos"]).alias("pos"), "slots")).alias("z"))
+    pos, slot = F.col("z")["pos"], F.col("z")["slots"]
+    return one.select("doc_id", pos.alias("pos"), F.floor(slot / columns).cast("long").alias("page"), (slot % columns).cast("long").alias("col")).unionByName(plain)

@@ -380,3 +380,12 @@ def w2_quote_groups(spark, d):
     new = F.coalesce((F.col("pos") - F.lag("pos").over(w) != 1).cast("int"), F.lit(1))
     l = l.withColumn("grp", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return l.groupBy("doc_id", "depth", "grp").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query()
+def w7_paginate(spark, d):
+    """Exact pages of every paragraph; the fold over slots' fills is tested against a plain loop instead of SQL."""
+    from ..operators import layout as L
+
+    b = L.block_heights(paragraphs(spark, d)).withColumn("forced", F.col("pos") % 10 == 4)
+    return L.paginate(b, 20000, 2)

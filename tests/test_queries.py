@@ -143,3 +143,28 @@ def test_entry():
     import __spark_entry__ as e
 
     assert {"a1_doc_stats", "p3_html_blocks"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_paginate_like_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(0)
+    rows = [(d, k, rng.choice([300, 900, 2500, 6000, 12000]), rng.random() < 0.15) for d in range(12) for k in range(rng.randint(1, 30))]
+    body, columns, tolerance = 10000, 2, 200
+    want = {}
+    for d in {r[0] for r in rows}:
+        top, prev, least, fill = 0, -1, 0, {}
+        for _, k, h, forced in sorted(r for r in rows if r[0] == d):
+            slot, breaks = max(least, top // body), forced and prev >= 0
+            if breaks:
+                slot = least = max(slot, (prev // columns + 1) * columns)
+            if not breaks and top + h > (slot + 1) * body + tolerance and h < body:
+                slot += 1
+            while 0 < h < body and fill.get(slot, 0) + h > body + tolerance:
+                slot += 1
+            fill[slot] = min(body, fill.get(slot, 0) + min(h, body))
+            want[d, k] = (slot // columns, slot % columns)
+            prev, top = slot, top + h
+    df = spark.createDataFrame(rows, "doc_id int, pos int, height long, forced boolean")
+    assert {(r.doc_id, r.pos): (r.page, r.col) for r in L.paginate(df, body, columns, tolerance).collect()} == want
+    assert {r.page for r in L.paginate(df, body, columns, tolerance, most_blocks=0).collect()} == {0}
