@@ -389,3 +389,59 @@ def w7_paginate(spark, d):
 
     b = L.block_heights(paragraphs(spark, d)).withColumn("forced", F.col("pos") % 10 == 4)
     return L.paginate(b, 20000, 2)
+
+
+@query("""WITH n AS (SELECT n_regionkey AS pkg, n_nationkey, n_name, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS r FROM nation),
+rows_ AS (SELECT pkg, r, n_nationkey::VARCHAR AS a, n_name AS b FROM n UNION ALL SELECT DISTINCT pkg, 0, 'key', 'name' FROM n)
+SELECT pkg, 0 AS table_no, r AS row_no, 0 AS cell_no, r = 0 AS is_header, 1 AS col_span, 25.4::DOUBLE AS width_mm, a AS text FROM rows_
+UNION ALL SELECT pkg, 0, r, 1, r = 0, 2, 50.8, b FROM rows_""")
+def p21_office_tables(spark, d):
+    from ..operators import office as O
+
+    def cell(text, width, span=""):
+        return F.concat(F.lit(f'<w:tc><w:tcPr><w:tcW w:w="{width}"/>{span}</w:tcPr><w:p><w:r><w:t>'), text, F.lit("</w:t></w:r></w:p></w:tc>"))
+
+    wide = '<w:gridSpan w:val="2"/>'
+    row = F.concat(F.lit("<w:tr>"), cell(F.col("n_nationkey").cast("string"), 1440), cell(F.col("n_name"), 2880, wide), F.lit("</w:tr>"))
+    head = F.concat(F.lit("<w:tr><w:trPr><w:tblHeader/></w:trPr>"), cell(F.lit("key"), 1440), cell(F.lit("name"), 2880, wide), F.lit("</w:tr>"))
+    body = joined(read_table(spark, d, "nation").select(F.col("n_regionkey").alias("pkg"), "n_nationkey", "n_name"), "pkg", "n_nationkey", row, "")
+    return O.office_tables(body.select("pkg", F.concat(F.lit("<w:body><w:tbl>"), head, "text", F.lit("</w:tbl></w:body>")).alias("content")))
+
+
+@query("""SELECT doc_id AS pkg, 0 AS pos, 'word/media/' || doc_id || '.png' AS path, CASE WHEN doc_id % 4 > 0 THEN octet_length(encode(coalesce(text, '')))::INT END AS size,
+  CASE WHEN doc_id % 4 > 0 THEN sha256(coalesce(text, '')) END AS sha256 FROM documents""")
+def p22_office_images(spark, d):
+    """A picture in each document, every fourth without its part."""
+    from ..operators import office as O
+
+    k = F.col("doc_id").cast("string")
+    pairs = [
+        (F.lit("word/document.xml"), F.concat(F.lit('<w:drawing><a:blip x="1" r:embed="r'), k, F.lit('"/></w:drawing>'))),
+        (F.lit("word/_rels/document.xml.rels"), F.concat(F.lit('<Relationships><Relationship Id="r'), k, F.lit('" Target="media/'), k, F.lit('.png"/></Relationships>'))),
+        (F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("word/media/"), k, F.lit(".png"))), F.coalesce("text", F.lit(""))),
+    ]
+    parts = docs(spark, d).select(F.col("doc_id").alias("pkg"), F.explode(F.array(*[F.struct(p.alias("path"), c.alias("content")) for p, c in pairs])).alias("p")).select("pkg", "p.*").filter("path IS NOT NULL")
+    return O.office_images(parts)
+
+
+@query("""SELECT doc_id AS pkg, 'x:chart' AS kind, doc_id % 3 + 1 AS n, '[x:chart]' AS label FROM documents UNION ALL SELECT doc_id, 'w:sdt', 1, '[w:sdt]' FROM documents WHERE doc_id % 2 = 0""")
+def p23_opaque_islands(spark, d):
+    from ..operators import office as O
+
+    charts = F.repeat(F.lit('<x:chart a="1">c</x:chart>'), (F.col("doc_id") % 3 + 1).cast("int"))
+    c = F.concat(F.lit("<w:body><w:p><w:r><w:t>t</w:t></w:r></w:p>"), charts, F.when(F.col("doc_id") % 2 == 0, "<w:sdt/>").otherwise(""), F.lit("</w:body>"))
+    return O.opaque_islands(docs(spark, d).select(F.col("doc_id").alias("pkg"), c.alias("content")))
+
+
+LADDER = ", ".join(f"({k}, {w}::DOUBLE)" for k, w in enumerate((0.1, 0.12, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0)))
+
+
+@query(f"""WITH ladder(k, w) AS (VALUES {LADDER}), v AS (SELECT l_orderkey * 10 + l_linenumber AS o, l_quantity::DOUBLE / 4 - 1 AS pt, l_discount AS fill FROM lineitem),
+w AS (SELECT pt, CASE WHEN pt <= 0 THEN 0.12 ELSE (SELECT arg_min(w, abs(w - pt * 0.3527777778::DOUBLE) * 1e6 + k * 1e-9) FROM ladder) END AS mm FROM (SELECT DISTINCT pt FROM v)),
+f AS (SELECT mm, fill, min(o) AS first, count(*) AS uses FROM v JOIN w USING (pt) GROUP BY 1, 2)
+SELECT mm, fill, uses, (row_number() OVER (ORDER BY first, mm, fill) + 3)::INT AS fill_id FROM f""")
+def a8_intern_border_fills(spark, d):
+    from ..operators import office as O
+
+    c = read_table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), (F.col("l_quantity").cast("double") / 4 - 1).alias("pt"), F.col("l_discount").alias("fill"))
+    return O.intern_border_fills(c, "at")

@@ -168,3 +168,17 @@ def test_paginate_like_a_plain_loop(spark):
     df = spark.createDataFrame(rows, "doc_id int, pos int, height long, forced boolean")
     assert {(r.doc_id, r.pos): (r.page, r.col) for r in L.paginate(df, body, columns, tolerance).collect()} == want
     assert {r.page for r in L.paginate(df, body, columns, tolerance, most_blocks=0).collect()} == {0}
+
+
+def test_packages(spark, tmp_path):
+    import zipfile
+
+    from leafmill.operators.office import package_parts
+
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("mimetype", "m")
+        z.writestr("word/document.xml", "<w/>")
+    (tmp_path / "b.docx").write_bytes(b"no package")
+    files = scan_corpus(spark, str(tmp_path), "binary").withColumnRenamed("doc_id", "path")
+    got = package_parts(files).collect()
+    assert sorted((r.path, r.size, bytes(r.content)) for r in got) == [("mimetype", 1, b"m"), ("word/document.xml", 4, b"<w/>")]
