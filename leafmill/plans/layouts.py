@@ -25,6 +25,10 @@ def query(sql: str | None = None):
     return keep
 
 
+def long(df, *columns: str):
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 def pages(spark, d):
     return read_table(spark, d, "pages")
 
@@ -74,12 +78,12 @@ BODY = f"""{TOKENS}, body AS (
 
 @query(f"WITH {TOKENS} SELECT * FROM tokens")
 def p2_html_tokens(spark, d):
-    return H.html_tokens(pages(spark, d))
+    return long(H.html_tokens(pages(spark, d)), "pos")
 
 
 @query(f"WITH {BODY} SELECT * FROM blocks")
 def p3_html_blocks(spark, d):
-    return H.html_blocks(pages(spark, d))
+    return long(H.html_blocks(pages(spark, d)), "block_no")
 
 
 RUN = DECODE.format("tok")[5:-1]
@@ -87,12 +91,12 @@ RUN = DECODE.format("tok")[5:-1]
 
 @query(f"WITH {BODY} SELECT * FROM (SELECT page_id, pos, {RUN} AS text, bold > 0 AS bold, italic > 0 AS italic, CASE WHEN linked > 0 THEN href END AS url FROM placed WHERE kind = 'text') WHERE trim(text) <> ''")
 def p4_html_runs(spark, d):
-    return H.html_runs(pages(spark, d))
+    return long(H.html_runs(pages(spark, d)), "pos")
 
 
 @query(f"WITH {BODY} SELECT page_id, pos, href AS url, {DECODE.format('tok')} AS text FROM placed WHERE kind = 'text' AND linked > 0 AND {DECODE.format('tok')} <> ''")
 def p5_html_links(spark, d):
-    return H.html_links(pages(spark, d))
+    return long(H.html_links(pages(spark, d)), "pos")
 
 
 @query(f"""WITH {TOKENS}, t AS (SELECT *, sum(CASE WHEN kind <> 'text' AND name IN ('p', 'para', 'title', 'section', 'li', 'row', 'td', 'div', 'h1') THEN 1 ELSE 0 END)
@@ -100,12 +104,12 @@ def p5_html_links(spark, d):
 r AS (SELECT page_id, bid, {DECODE.format("string_agg(tok, '' ORDER BY pos)")} AS text FROM t WHERE kind = 'text' GROUP BY 1, 2)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY bid) AS n, text FROM r WHERE text <> ''""")
 def p16_xml_paragraphs(spark, d):
-    return H.xml_paragraphs(pages(spark, d))
+    return long(H.xml_paragraphs(pages(spark, d)), "n")
 
 
 @query(f"WITH {BODY} SELECT page_id, block_no, outline, text FROM blocks WHERE outline BETWEEN 1 AND 6")
 def f4_outline(spark, d):
-    return H.outline(H.html_blocks(pages(spark, d)))
+    return long(H.outline(H.html_blocks(pages(spark, d))), "block_no")
 
 
 @query(f"WITH {BODY} SELECT page_id, min_by(text, block_no) AS title FROM blocks WHERE outline = 1 GROUP BY 1")
@@ -118,12 +122,12 @@ ITEMS = "items AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY block_
 
 @query(f"WITH {BODY}, {ITEMS} SELECT page_id, list_no, max(list_level) AS level, min(block_no) AS first_block, count(*) AS items FROM items GROUP BY 1, 2")
 def w1_list_groups(spark, d):
-    return H.list_groups(H.html_blocks(pages(spark, d)))
+    return long(H.list_groups(H.html_blocks(pages(spark, d))), "first_block")
 
 
 @query(f"WITH {BODY}, {ITEMS} SELECT page_id, block_no, row_number() OVER (PARTITION BY page_id, list_no ORDER BY block_no) AS n FROM items")
 def w3_list_numbers(spark, d):
-    return H.list_numbers(H.html_blocks(pages(spark, d)))
+    return long(H.list_numbers(H.html_blocks(pages(spark, d))), "block_no", "n")
 
 
 @query(f"""WITH {BODY} SELECT page_id, string_agg(repeat('> ', quote_level) || CASE WHEN outline > 0 THEN repeat('#', outline) || ' ' WHEN kind = 'item' THEN repeat('  ', greatest(list_level - 1, 0)) || '- ' ELSE '' END
@@ -164,7 +168,7 @@ STYLE = ", ".join(f"({k}, {v[0]}::DOUBLE, {v[1]}, {v[2]}, {v[3]}::DOUBLE, {v[4]}
 SELECT page_id, block_no, outline AS level, CASE WHEN block_no % 7 = 0 THEN 9.5 ELSE p END AS size_pt, bold, italic, before, after, line_height FROM blocks JOIN style ON outline = level""")
 def j3_apply_outline_style(spark, d):
     b = H.html_blocks(pages(spark, d)).select("page_id", "block_no", F.col("outline").alias("level"), F.when(F.col("block_no") % 7 == 0, 9.5).alias("size_pt"))
-    return L.apply_outline_style(b)
+    return long(L.apply_outline_style(b), "block_no")
 
 
 LADDER = ", ".join(f"({k}, {w}::DOUBLE)" for k, w in enumerate(L.WIDTHS))
@@ -227,14 +231,14 @@ def w10_page_headers(spark, d):
 @query("""SELECT key, id, age, undo, redo FROM (SELECT user_id AS key, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age,
   lag(event_id) OVER w AS undo, lead(event_id) OVER w AS redo FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE age <= 20""")
 def w12_snapshot_history(spark, d):
-    return L.snapshot_history(read_table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 20)
+    return L.snapshot_history(read_table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 20).withColumn("age", F.col("age").cast("long"))
 
 
 @query("""WITH f AS (SELECT l_discount, l_tax, min(l_orderkey * 10 + l_linenumber) AS first, count(*) AS uses FROM lineitem GROUP BY 1, 2)
 SELECT l_discount, l_tax, uses, row_number() OVER (ORDER BY first, l_discount, l_tax) AS style_id FROM f""")
 def a7_intern_styles(spark, d):
     r = read_table(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return L.intern_styles(r, ["l_discount", "l_tax"], ["at", "l_discount", "l_tax"])
+    return long(L.intern_styles(r, ["l_discount", "l_tax"], ["at", "l_discount", "l_tax"]), "style_id")
 
 
 @query("""WITH i AS (SELECT l_orderkey, l_linenumber, (l_linenumber - 1)::INT AS page, l_quantity::DOUBLE * 7 AS y_mm FROM lineitem),
