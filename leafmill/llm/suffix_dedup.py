@@ -7,6 +7,7 @@ if two Bloom filters say that its start may recur.
 1. Equal texts are one text; those that have copies lose everything, and one copy stands for all in the sort.
 2. Tasks sort the suffixes of their texts into runs, one for each bucket of suffix starts, and send them front-coded: the
    bytes that each shares with the one before are sent as a number. Each suffix carries the bytes on its left.
+   Suffixes of a start that is very common go to several buckets, each for some windows, by what surrounds the start.
 3. A bucket's runs are merged by a loser tree that knows the common prefix of each run's head with the last output, and
    compares bytes only beyond it. Out come the sorted suffixes and their common prefixes.
 4. In a group of suffixes with a common start, a window that begins o bytes before them is repeated if another suffix
@@ -31,6 +32,9 @@ from .common import in_slices, materialize, mix, partitions, table, texts_of
 from .filters import filter_bits, may_repeat, repeat_filter
 
 LENGTH = 200
+#: Texts sampled to find starts that are hot, in how many of them one is hot, and hot starts at most. This only balances
+#: the work: a start's suffixes are dealt one way or the other with the same result.
+HOT_SAMPLE, HOT_TEXTS, HOT_STARTS = 4000, 16, 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -244,7 +248,55 @@ def repeated(lcp: np.ndarray, left: np.ndarray, right_n: np.ndarray, left_n: np.
     return low, high
 
 
-def _write_runs(held: list[tuple], buckets: int, length: int) -> Iterator[tuple]:
+def _bytes_hash(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    h = np.full(len(rows), 7, np.uint64)
+    for k in range(rows.shape[1]):
+        h = mix(h * _BASE + rows[:, k].astype(np.uint64) + np.uint64(1))
+    return h
+
+
+def deal(right: np.ndarray, left: np.ndarray, cols: dict[str, np.ndarray], h: np.ndarray, hot: np.ndarray, buckets: int, length: int) -> Iterator[tuple]:
+    """The suffixes with the buckets that they go to: one by their start, or for hot starts several.
+
+    A repeated window from o bytes before its suffix has all of its length bytes in common with another one. Copies of a
+    hot suffix serve ranges of o: each goes by the bytes that every window of its range holds, and carries no more bytes
+    on the left than they do. So the suffixes of one start spread by what surrounds it, and those that are alike in what
+    a range needs become one in each task. Ranges have buckets of their own, so no suffix meets a copy of itself.
+    """
+    at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+    is_hot = hot[at] == h if len(hot) else np.zeros(len(h), bool)
+    to = lambda x: ((x >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    rest = np.flatnonzero(~is_hot)
+    if len(rest):
+        yield right[rest], left[rest], {c: v[rest] for c, v in cols.items()} | {"bucket": to(h[rest])}
+    own = np.flatnonzero(is_hot)
+    edges = [0, 1, *(e for e in (4, 16, 48) if e < length - length // 2), length - length // 2 + 1]
+    for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True) if len(own) else (), 1):
+        some = own[(cols["left"][own] >= a) & (cols["right"][own] >= length - b + 1)]
+        if not len(some):
+            continue
+        key = mix(h[some] ^ mix(_bytes_hash(right[some, : length - b + 1]) + _bytes_hash(left[some, :a]) * _BASE + np.uint64(a)))
+        near = left[some].copy()
+        near[:, b - 1 :] = 0
+        yield right[some], near, {c: v[some] for c, v in cols.items()} | {"left": np.minimum(cols["left"][some], b - 1), "bucket": to(key) + part * buckets}
+
+
+def hot_starts(texts: DataFrame, n_texts: int, length: int) -> np.ndarray:
+    """Hashes of the starts that many of a sample of the texts (node, text) share, sorted."""
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches):
+            found = [np.unique(sampled_starts(np.frombuffer(t, np.uint8), length)[1]) for t in texts_of(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["start"])
+
+    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(max(1, n_texts // HOT_SAMPLE))) == 0).select("text")
+    counts = some.mapInArrow(starts, "start long").groupBy("start").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_TEXTS)
+    top = counts.orderBy(F.desc("n"), "start").limit(HOT_STARTS).collect()
+    return np.sort(np.array([r["start"] for r in top], np.int64).view(np.uint64))
+
+
+def _write_runs(held: list[tuple], length: int) -> Iterator[tuple]:
     """Rows (bucket, run, node, start, end) of the suffixes held: a run for each bucket, and the spans of equal ones."""
     if not held:
         return
@@ -257,10 +309,20 @@ def _write_runs(held: list[tuple], buckets: int, length: int) -> Iterator[tuple]
     equal = np.zeros(n, bool)  # like the one before, in all that is sent but its place
     equal[1:] = (right[1:] == right[:-1]).all(1) & (left[1:] == left[:-1]).all(1) & (cols["right"][1:] == cols["right"][:-1]) & (cols["left"][1:] == cols["left"][:-1]) & (cols["bucket"][1:] == cols["bucket"][:-1])
     copied = np.flatnonzero((equal | np.append(equal[1:], False)) & (cols["right"] + cols["left"] >= length))
-    for j in copied.tolist():
-        yield int(cols["bucket"][j]), None, int(cols["node"][j]), int(cols["at"][j] - cols["left"][j]), int(cols["at"][j] + cols["right"][j])
+    node, start, end = cols["node"][copied], cols["at"][copied] - cols["left"][copied], cols["at"][copied] + cols["right"][copied]
+    by = np.lexsort((start, node))
+    last: list[int] | None = None
+    for d, x, y in zip(node[by].tolist(), start[by].tolist(), end[by].tolist(), strict=True):
+        if last and last[0] == d and x <= last[2]:
+            last[2] = max(last[2], y)
+        else:
+            if last:
+                yield last[0] & 0xFFFFF, None, *last
+            last = [d, x, y]
+    if last:
+        yield last[0] & 0xFFFFF, None, *last  # dealt by text, as one start may be common
     kept = np.flatnonzero(~equal)
-    cut = np.flatnonzero(np.diff(cols["bucket"][kept], prepend=-1, append=buckets))
+    cut = np.flatnonzero(np.diff(cols["bucket"][kept], prepend=-1, append=-2))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         own = kept[a:b]
         yield int(cols["bucket"][own[0]]), encode_run(right[own], left[own], {c: v[own] for c, v in cols.items()}), None, None, None
@@ -278,17 +340,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(node, start, end): spans of the texts (node long, text) in which every byte is in a repeated window.
 
-    texts is read twice; its texts differ from one another.
+    texts is read more than once; its texts differ from one another.
     """
     spark = texts.sparkSession
     k = length // 2
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    whole = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("m")).first()
+    size = whole["n"]
 
     def starts(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         for t in texts_of(b):
             yield sampled_starts(np.frombuffer(t, np.uint8), length)[1]
 
     sent = spark.sparkContext.broadcast(repeat_filter(texts.select("text"), starts, filter_bits(size // (k // 2))))
+    hot = spark.sparkContext.broadcast(hot_starts(texts, whole["m"], length))
     buckets = max(16, partitions(spark))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,13 +368,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 wide = np.concatenate([np.zeros(k, np.uint8), x, np.zeros(length, np.uint8)])
                 right = wide[at[:, None] + np.arange(k, k + length)]
                 left = wide[at[:, None] + np.arange(k - 1, -1, -1)]
-                cols = {"node": np.full(len(at), node), "at": at, "right": np.minimum(len(x) - at, length), "left": np.minimum(at, k), "bucket": ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)}
-                held.append((right, left, cols))
+                cols = {"node": np.full(len(at), node), "at": at, "right": np.minimum(len(x) - at, length), "left": np.minimum(at, k)}
+                held.extend(deal(right, left, cols, h, hot.value, buckets, length))
                 n += len(at)
                 if n >= 60_000:
-                    yield _batch(list(_write_runs(held, buckets, length)))
+                    yield _batch(list(_write_runs(held, length)))
                     held, n = [], 0
-        yield _batch(list(_write_runs(held, buckets, length)))
+        yield _batch(list(_write_runs(held, length)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[bytes]] = {}

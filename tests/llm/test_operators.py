@@ -33,7 +33,9 @@ def test_empty_tables(spark, folder, name):
     assert QUERIES[name](spark, folder[1]).count() == 0
 
 
-def test_suffix_dedup(spark, folder, rows):
+@pytest.mark.parametrize("texts_in_common", [16, 2])
+def test_suffix_dedup(spark, folder, rows, monkeypatch, texts_in_common):
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", texts_in_common)
     seen = defaultdict(int)
     texts = [(t or "").encode() for _, t, *_ in rows]
     for t in texts:
@@ -52,30 +54,33 @@ def test_suffix_dedup(spark, folder, rows):
     assert many(got) == many(want)
 
 
-def test_suffix_core_on_small_windows():
+@pytest.mark.parametrize("all_hot", [False, True])
+@pytest.mark.parametrize("size", [8, 40])
+def test_suffix_core_on_small_windows(all_hot, size):
     rng = np.random.default_rng(0)
     for _ in range(60):
         parts = [bytes(rng.integers(0, 3, rng.integers(3, 40)).astype(np.uint8)) for _ in range(4)]
         texts = list(dict.fromkeys(b"".join(parts[i] if rng.random() < 0.6 else bytes(rng.integers(0, 200, 9).astype(np.uint8)) for i in rng.integers(0, 4, rng.integers(1, 5))) for _ in range(6)))
-        length = 8
+        length, k = size, size // 2
         n = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
         held = []
         for d, t in enumerate(texts):
             x = np.frombuffer(t, np.uint8)
-            at, _ = suffix_dedup.sampled_starts(x, length)
-            wide = np.concatenate([np.zeros(4, np.uint8), x, np.zeros(length, np.uint8)])
-            cols = {"node": np.full(len(at), d), "at": at, "right": np.minimum(len(x) - at, length), "left": np.minimum(at, 4), "bucket": np.zeros(len(at), np.int64)}
+            at, h = suffix_dedup.sampled_starts(x, length)
+            wide = np.concatenate([np.zeros(k, np.uint8), x, np.zeros(length, np.uint8)])
+            cols = {"node": np.full(len(at), d), "at": at, "right": np.minimum(len(x) - at, length), "left": np.minimum(at, k)}
             if len(at):
-                held.append((wide[at[:, None] + np.arange(4, 4 + length)], wide[at[:, None] + np.arange(3, -1, -1)], cols))
+                hot = np.unique(h) if all_hot else np.zeros(0, np.uint64)
+                held.append(list(suffix_dedup.deal(wide[at[:, None] + np.arange(k, k + length)], wide[at[:, None] + np.arange(k - 1, -1, -1)], cols, h, hot, 7, length)))
         cut = [np.zeros(len(t), bool) for t in texts]
-        runs = []
+        by_bucket = defaultdict(list)
         for part in (held[::2], held[1::2]):
-            for row in suffix_dedup._write_runs(part, 1, length):
+            for row in suffix_dedup._write_runs([x for xs in part for x in xs], length):
                 if row[1] is None:
                     cut[row[2]][row[3] : row[4]] = True
                 else:
-                    runs.append(suffix_dedup.Run(row[1]))
-        if runs:
+                    by_bucket[row[0]].append(suffix_dedup.Run(row[1]))
+        for runs in by_bucket.values():
             order, lcps = suffix_dedup.merge_runs([r.suffixes for r in runs], [r.prefixes for r in runs])
             assert [runs[a].suffixes[b] for a, b in order] == sorted(s for r in runs for s in r.suffixes)
             base = np.cumsum([0, *(len(r.suffixes) for r in runs)])
