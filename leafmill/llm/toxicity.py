@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_slices, table, texts_of
+from .common import in_slices, materialize, table, texts_of
 
 SAMPLE, TERMS, CHI_SQUARE, NEIGHBOURS, BLOCK = 2000, 2000, 20.0, 15, 256
 _EDGES = b".,;:!?|\"'()[]{}<>*_-#/\\"
@@ -217,20 +217,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 total += 1
                 if d in known.value:
                     seen.append((d, list(counts), list(counts.values())))
-        cols = [[None, *(x[0] for x in seen)], [[], *(x[1] for x in seen)], [n.tolist(), *(x[2] for x in seen)], [total, *(0 for _ in seen)]]
+        there = np.flatnonzero(n)
+        cols = [[None, *(x[0] for x in seen)], [there.tolist(), *(x[1] for x in seen)], [n[there].tolist(), *(x[2] for x in seen)], [total, *(0 for _ in seen)]]
         types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["doc_id", "at", "n", "total"])
 
-    made = rows.mapInArrow(frequencies, "doc_id long, at array<int>, n array<bigint>, total bigint")
-    per_task, examples = [], []
-    df, total = np.zeros(len(names), np.int64), 0
-    for r in made.toLocalIterator():  # a row of counts from each task, and the examples
-        if r["total"] or not r["at"] and r["doc_id"] is None:
-            per_task.append(1)
-            df += np.array(r["n"], np.int64)
-            total += r["total"]
-        else:
-            examples.append((r["doc_id"], of[r["doc_id"]], dict(zip(r["at"], r["n"], strict=True))))
+    made = materialize(rows.mapInArrow(frequencies, "doc_id long, at array<int>, n array<bigint>, total bigint"), "term-counts")
+    df, counted = np.zeros(len(names), np.int64), made.filter("doc_id IS NULL")
+    pairs = counted.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
+    for r in pairs.collect():  # a row for each term
+        df[r["at"]] = r["n"]
+    total = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
+    examples = [(r["doc_id"], of[r["doc_id"]], dict(zip(r["at"], r["n"], strict=True))) for r in made.filter("doc_id IS NOT NULL").collect()]  # the sample
     examples = sorted({d: (d, y, c) for d, y, c in examples}.values(), key=lambda x: x[0])
     return Model(names, np.log((1 + total) / (1 + df)) + 1, examples, rate)
 
