@@ -90,16 +90,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(64)]
+
+
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; a text with fewer words is one shingle, an empty one none."""
     n = len(words)
     if not n:
         return words
     width = min(width, n)
-    with np.errstate(over="ignore"):
-        h = np.full(n - width + 1, width, np.uint64)
-        for k in range(width):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[k : n - width + 1 + k])
+    h = np.full(n - width + 1, width, np.uint64)
+    for k in range(width):  # word hashes are spread already: one odd factor for each place, and one mix
+        h += words[k : n - width + 1 + k] * _FACTORS[k]
+    h = mix(h)
     return np.unique(h)
 
 
