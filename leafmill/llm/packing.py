@@ -54,7 +54,8 @@ class UnitEncoder(dict):
     """Token ids of texts by a byte-level BPE model; what recurs is encoded once.
 
     Keys are units after a lone space, or (unit,) for one that starts a text; values are their numbers. A new unit is
-    pre-tokenised, and each of its pre-tokens that is new goes through the tokenizer's model.
+    pre-tokenised, and each of its pre-tokens that is new goes through the tokenizer's model. A text that holds one of the
+    tokenizer's added tokens goes through the tokenizer whole.
     """
 
     UNITS, IDS = 700_000, 10_000_000
@@ -66,6 +67,7 @@ class UnitEncoder(dict):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.split = regex.compile(pattern).findall
         self.characters = byte_characters()
+        self.added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
         self.reset()
 
     def reset(self) -> None:
@@ -112,13 +114,19 @@ class UnitEncoder(dict):
                 self.reset()
             numbers = []
             for t in texts[at : at + 512]:
+                if any(a in t for a in self.added):
+                    numbers.append(None)
+                    continue
                 first, *rest = split_units(t) if t else [""]
                 u = np.empty(len(rest) + 1, np.int64)
                 u[0] = self[(first,)]
                 u[1:] = np.fromiter(map(self.__getitem__, rest), np.int64, len(rest))
                 numbers.append(u)
             self.flush()
-            for u in numbers:
+            for t, u in zip(texts[at : at + 512], numbers, strict=True):
+                if u is None:
+                    yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+                    continue
                 n = self.counts[u]
                 ends = np.cumsum(n)
                 yield self.pool[np.arange(ends[-1]) + np.repeat(self.starts[u] - ends + n, n)]

@@ -152,6 +152,21 @@ def test_packing(spark, folder, rows):
     assert len(by) <= total / 2048 * 1.05 + 1
 
 
+def test_packing_matches_added_tokens(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    file = P.path("byte_bpe_50k.json")
+    t, mark = Tokenizer.from_file(file), "<|endoftext|>"
+    texts = ["plain text", f"a {mark} b", mark, f"{mark}{mark}\nx", f"one\u00a0two{mark}", "a <|endoftext| > b", "", f"word {mark} " * 3000]
+    ids = {k: t.encode(x, add_special_tokens=False).ids + [0] for k, x in enumerate(texts)}
+    assert ids[1] == [64, 220, 50256, 275, 0]
+    got = defaultdict(list)
+    for r in packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), file, with_ids=True).orderBy("doc_id", "piece").collect():
+        got[r["doc_id"]] += r["ids"]
+    assert got == ids
+
+
 def test_packing_plan_uses_every_piece():
     rng = np.random.default_rng(2)
     for n in (1, 7, 500, 20000):
