@@ -1,10 +1,12 @@
 """Main text of web pages by consensus paths of each host.
 
-1. Each page's containers are scored: the deepest one that still holds most of the page's text outside menus, headers,
-   footers, adverts and the like is the page's choice. Its path, from tag names and classes without digits, is its vote.
+1. Each page's choice is the outermost article or main element around most of its text outside menus, headers, footers,
+   adverts and the like; without one, the deepest container that holds all of that text. Its path, from tag names and
+   classes without digits, is its vote.
 2. Spark sums the votes of each host by path, pre-aggregated in the tasks, so a host with a third of all pages is no
    large group; the path with most votes wins.
-3. Each page is extracted again from the containers on its host's winning path, or on its own where it has none.
+3. Each page is extracted again from the containers on its host's winning path if they hold all blocks of the page's own
+   choice, else from its own choice.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by line feeds. Null or
 empty pages, and pages without text, give an empty text; pages without a host vote together. Other columns pass through.
@@ -121,28 +123,36 @@ class Page:
         close_block()
 
     def choice(self) -> str | None:
-        """The path of the deepest container with most of the text that is not in links."""
+        """The path of the article or main element around most of the text that is not in links, else of the deepest container with all text."""
         weight: Counter = Counter()
+        whole: Counter = Counter()
         total = 0
         for text, chain, linked in self.blocks:
             n = len(text) - linked
-            if n > 0:
-                total += n
-                for c in chain:
-                    weight[c] += n
-        held: Counter = Counter()
-        for c, n in weight.items():
-            held[self.paths[c]] += n
-        good = [p for p, n in held.items() if n >= MOST * total]
-        return max(good, key=lambda p: (p.count(">"), p)) if good else None
+            total += n
+            for p in {self.paths[c] for c in chain}:
+                weight[p] += n
+                whole[p] += 1
+        if not total:
+            return None
+        articles = [p for p, n in weight.items() if n >= MOST * total and p.rsplit(">", 1)[1].split(".")[0] in ("article", "main")]
+        if articles:
+            return min(articles, key=lambda p: (p.count(">"), p))
+        return max((p for p, n in whole.items() if n == len(self.blocks)), key=lambda p: (p.count(">"), p), default=None)
+
+    def on(self, path: str | None) -> set[int]:
+        """The numbers of the blocks inside the containers on a path; of all blocks for no path."""
+        if path is None:
+            return set(range(len(self.blocks)))
+        there = {k for k, x in enumerate(self.paths) if x == path}
+        return {k for k, (_, chain, _) in enumerate(self.blocks) if not there.isdisjoint(chain)}
 
     def text(self, path: str | None) -> str:
-        """The blocks inside the containers on a path; on the page's own choice if there is none; else all blocks."""
-        for p in (path, self.choice()):
-            if p is not None and p in self.paths:
-                on = {k for k, x in enumerate(self.paths) if x == p}
-                return "\n".join(t for t, chain, _ in self.blocks if not on.isdisjoint(chain))
-        return "\n".join(t for t, _, _ in self.blocks)
+        """The blocks inside the containers on a path if these hold the page's own choice, else those of the choice."""
+        kept = self.on(self.choice())
+        if path is not None and kept <= (wide := self.on(path)):
+            kept = wide
+        return "\n".join(t for k, (t, _, _) in enumerate(self.blocks) if k in kept)
 
 
 def host_column(url):

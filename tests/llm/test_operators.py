@@ -191,6 +191,21 @@ def test_html_leaves_out_what_is_not_article():
     assert p.text(p.choice()) == "One two\nThree\nx\ny"
 
 
+def test_html_keeps_the_whole_article(spark):
+    long, rest, story = "long text " * 40, "the rest of it " * 3, "a story told elsewhere " * 30
+    parted = f"<body><article><h1>T</h1><div class=content><p>{long}</p></div><div>{rest}</div></article></body>"
+    teaser = f"<body><article><p>short teaser</p></article><div class=story><p>{story}</p></div></body>"
+    no_article = f"<body><div class=page><h1>T</h1><div class=content><p>{long}</p></div><div>{rest}</div></div><footer>f</footer></body>"
+    nested = f"<body><main><h1>T</h1><article><p>{long}</p></article></main></body>"
+    usual = f"<body><article><p>{long}</p></article></body>"
+    rows = [(k, "http://h.example/", h) for k, h in enumerate([parted, teaser, no_article, nested, *[usual] * 5])]
+    rows += [(100 + k, f"http://own{k}.example/", r[2]) for k, r in enumerate(rows[:4])]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = [f"T\n{long.strip()}\n{rest.strip()}", f"short teaser\n{story.strip()}", f"T\n{long.strip()}\n{rest.strip()}", f"T\n{long.strip()}"]
+    for k, text in enumerate(want):
+        assert got[k] == got[100 + k] == text
+
+
 def test_html_by_join(spark, folder):
     pages = spark.read.parquet(f"{folder[0]}/pages.parquet")
     a, b = (html_extract.extract(pages, small_bytes=s).select("page_id", "text").collect() for s in (1 << 20, -1))
