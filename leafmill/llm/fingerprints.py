@@ -4,8 +4,11 @@ A text's weighted terms are its five-word shingles (a shorter text is one term)
 For each of the signature's slots a term has two gamma variates r and c and a uniform b, fixed by the term; its level is
 t = floor(ln(weight) / r + b), its value ln c - r (t - b) - r, and the slot keeps the least value of all terms. Two texts
 keep the same value with a probability equal to the generalised Jaccard similarity of their weights, so the part of
-slots that agree estimates it. The variates come from a table that each worker makes from a seed: a term's hash names a
-row and a rotation of its slots.
+slots that agree estimates it.
+
+The variates come from the whole 64-bit term and the slot by three hashes, read as exponential variates z, y and x:
+c = z + y, q = ln(c / z), r = q + x and b = 1 - q / r have the distributions wanted. At weight 1 the level is 0 and the
+value ln z, which grows with the first hash, so such terms need that hash alone.
 
 Null texts are empty; an empty text has one fixed term of its own. Equal texts get equal fingerprints.
 """
@@ -22,21 +25,27 @@ from pyspark.sql import functions as F
 
 from .common import in_slices, mix, partitions, table, word_hashes
 
-SLOTS, ROWS, SEED, WIDTH = 128, 1 << 14, 20240229, 5
+SLOTS, SEED, WIDTH = 128, 20240229, 5
 
 
 @lru_cache(maxsize=1)
-def variates() -> tuple[np.ndarray, ...]:
-    """ln c, r and b of each row and slot, and the value at weight 1; rows are written twice over to be rotated."""
-    rng = np.random.default_rng(SEED)
-    ln_c = np.log(rng.gamma(2.0, 1.0, (ROWS, SLOTS))).astype(np.float32)
-    r = rng.gamma(2.0, 1.0, (ROWS, SLOTS)).astype(np.float32)
-    b = rng.random((ROWS, SLOTS), np.float32)
-    made = []
-    for x in (ln_c, r, b, ln_c + r * b - r):
-        flat = np.concatenate([x, x], 1).reshape(-1)
-        made.append(np.lib.stride_tricks.sliding_window_view(flat, SLOTS))
-    return tuple(made)
+def slot_keys() -> np.ndarray:
+    """Three odd multipliers of 64 bits for each slot."""
+    return np.random.default_rng(SEED).integers(0, 1 << 64, (3, SLOTS), np.uint64) | np.uint64(1)
+
+
+def hashes(terms: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each mixed term (rows) and slot (columns)."""
+    h = terms[:, None] * keys
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def exponential(h: np.ndarray) -> np.ndarray:
+    """The exponential variate that a hash stands for; it grows with the hash."""
+    return -np.log1p(-((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52)
 
 
 def weighted_terms(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -52,21 +61,30 @@ def weighted_terms(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndar
 
 
 def signature(text: bytes) -> np.ndarray:
-    """SLOTS 16-bit samples of a text."""
+    """SLOTS 16-bit samples of a text: of the hash and level of each slot's least value."""
     terms, weight = weighted_terms(text)
-    ln_c, r, b, at_one = variates()
-    at = ((terms >> np.uint64(7)) % np.uint64(ROWS) * np.uint64(2 * SLOTS) + (terms & np.uint64(SLOTS - 1))).astype(np.int64)
-    best = np.full(SLOTS, np.inf, np.float32)
+    keys = slot_keys()
     one = weight == 1
-    singles, more, ln_w = at[one], at[~one], np.log(weight[~one]).astype(np.float32)
-    for k in range(0, len(singles), 2048):
-        np.minimum(best, at_one[singles[k : k + 2048]].min(0), out=best)
-    for k in range(0, len(more), 2048):
-        m = more[k : k + 2048]
-        rm, bm = r[m], b[m]
-        t = np.floor(ln_w[k : k + 2048, None] / rm + bm)
-        np.minimum(best, (ln_c[m] - rm * (t - bm) - rm).min(0), out=best)
-    return (mix(best.view(np.uint32).astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2")
+    terms = mix(terms)
+    singles, more, ln_w = terms[one], terms[~one], np.log(weight[~one].astype(np.float64))
+    least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(singles), 256):
+        np.minimum(least, hashes(singles[k : k + 256], keys[0]).min(0), out=least)
+    best = np.log(exponential(least)) if len(singles) else np.full(SLOTS, np.inf)
+    level = np.zeros(SLOTS, np.int64)
+    for k in range(0, len(more), 256):
+        h = hashes(more[k : k + 256], keys[0])
+        z, y, x = exponential(h), *(exponential(hashes(more[k : k + 256], keys[i])) for i in (1, 2))
+        q = np.log1p(y / z)
+        r = q + x
+        b = 1 - q / r
+        t = np.floor(ln_w[k : k + 256, None] / r + b)
+        value = np.log(z + y) - r * (t - b) - r
+        at = value.argmin(0)[None]
+        v, h, t = (np.take_along_axis(c, at, 0)[0] for c in (value, h, t))
+        less = v < best
+        best[less], least[less], level[less] = v[less], h[less], t[less].astype(np.int64)
+    return (mix(least + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFF)).astype("<u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

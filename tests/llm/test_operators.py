@@ -359,6 +359,32 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def test_signatures_tell_all_terms_apart(monkeypatch):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, 3000, np.uint64)
+    for other in (a ^ np.uint64(1 << 40), a ^ np.uint64(1 << 63)):  # the low bits alike
+        for weight in (np.ones(3000, np.int64), rng.integers(1, 9, 3000)):
+            got = []
+            for terms in (a, other):
+                monkeypatch.setattr(fingerprints, "weighted_terms", lambda text, terms=terms, weight=weight: (terms, weight))
+                got.append(fingerprints.signature(b""))
+            assert fingerprints.likeness(*got) < 0.04
+
+
+def test_variates_have_their_distributions():
+    h = [fingerprints.hashes(fingerprints.mix(np.arange(5000, dtype=np.uint64)), k) for k in fingerprints.slot_keys()]
+    z, y, x = map(fingerprints.exponential, h)
+    c, q = z + y, np.log1p(y / z)
+    r = q + x
+    b = 1 - q / r
+    for v, mean, var in ((c, 2, 2), (r, 2, 2), (b, 0.5, 1 / 12)):
+        assert abs(v.mean() - mean) < 0.02 and abs(v.var() - var) < 0.05
+    for u, v in ((c, r), (c, b), (r, b)):
+        assert abs(np.corrcoef(u.ravel(), v.ravel())[0, 1]) < 0.01
+    neighbours = np.corrcoef(c[:, :40], rowvar=False) - np.eye(40)
+    assert np.abs(neighbours).max() < 0.08
+
+
 def test_language_model_counts(spark, folder, rows):
     got = collected(QUERIES["op9_recurrent_model"](spark, folder[0]))
     words = [[*(t or "").encode().lower().split(), None] for _, t, *_ in rows]
