@@ -16,33 +16,97 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of rows that a task sends to Python at once, where the session leaves this open.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows may hold whole texts, so batches for Python are bounded by bytes, not by rows alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "1b") == "1b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a session on one machine may leave it out and gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), "leafmill-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", at) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return at
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/leafmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).option("parquet.page.size.row.check.min", 4).parquet(path)  # rows may be large
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*stored: DataFrame) -> None:
+    """Delete the files of tables made by materialize() that no later step reads."""
+    for df in stored:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        if len(folders) == 1 and (at := folders.pop()).rsplit("/", 1)[1].startswith("leafmill-"):
+            jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(at))
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(rows, schema)
+def summed(df: DataFrame, arrays, shape: tuple[int, ...], dtype, slices: int = 16) -> np.ndarray:
+    """The sum of the arrays of one shape that tasks make (or None); added up in Spark by slices, so that the driver gets
+    one array in all, however many tasks there are."""
+    size = int(np.prod(shape))
+    edges = [size * k // slices for k in range(slices + 1)]
+
+    def rows(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], names=["slice", "data"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = arrays(batches)
+        if a is not None:
+            flat = a.astype(dtype).reshape(-1)
+            yield rows({k: flat[edges[k] : edges[k + 1]] for k in range(slices) if edges[k + 1] > edges[k]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = np.frombuffer(x, dtype)
+                parts[k] = parts[k] + found if k in parts else found
+        if parts:
+            yield rows(parts)
+
+    made = df.mapInArrow(make, "slice int, data binary").repartition(slices, "slice").mapInArrow(add, "slice int, data binary")
+    total = np.zeros(size, dtype)
+    for k, x in zip(*(c.to_pylist() for c in made.toArrow().columns), strict=True):  # a row for each slice
+        total[edges[k] : edges[k + 1]] = np.frombuffer(x, dtype)
+    return total.reshape(shape)
+
+
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """Words (word, c) of the highest counts, `most` at most: those from a count on, told by a histogram of bounded size."""
+    bucket = F.floor(F.log2("c") * 8)
+    left, least = most, None
+    for r in counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("b")).collect():  # some 500 rows at most
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["c"]
+    return counts.filter(F.col("c") >= least if least is not None else F.lit(False)).toArrow()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -61,7 +125,7 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa
 class WordHashes(dict):
     """64-bit hash of each word, kept for words seen before; emptied when it grows past a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
