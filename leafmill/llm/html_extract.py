@@ -8,14 +8,19 @@
 3. Each page is extracted again from the containers on its host's winning path if they hold all blocks of the page's own
    choice, else from its own choice.
 
+A form goes, unless it frames most of the page's paragraphs. Pages are read in one pass, in time and memory that grow with
+their length alone.
+
 Character references are decoded, white space in a block becomes one space, blocks are joined by line feeds. Null or
-empty pages, and pages without text, give an empty text; pages without a host vote together. Other columns pass through.
+empty pages, and pages without text, give an empty text; pages without a host vote together. A column called text is
+replaced and html is left out; other columns pass through.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,131 +33,255 @@ from pyspark.sql import types as T
 from .common import in_slices, materialize, table
 
 #: Element names by their role in a page.
-RAW = "script|style|title|textarea|noscript|template|iframe|svg|select|xmp"
+RAW = frozenset("script style title textarea noscript template iframe svg select xmp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("aside button dialog footer form head menu nav object".split())
+SKIPPED = frozenset("aside button dialog footer head menu nav object".split())
 CONTAINERS = frozenset("article body div main section td".split())
-#: Words in class, id or role that mark what is not the article.
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|complementary|consent|contentinfo|cookies?|disqus|footer|masthead|menu|modal|"
-    r"nav|navbar|navigation|newsletter|notice|notification|overlay|pagination|popup|promo\w*|related|reply|replies|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_\d-])",
-    re.I,
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+#: Words of a class, id or role that mark what is not the article, and those that may stand beside them. A name of other
+#: words as well ("related-work", "notice-text") marks nothing.
+NOT_ARTICLE = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer "
+    "masthead menu modal nav navbar navigation newsletter notice notification notifications overlay pagination popup promo promoted promotion related reply replies search share sharing sidebar social sponsor "
+    "sponsored subscribe toolbar widget widgets".split()
 )
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
-    re.S | re.I,
+BESIDE = frozenset(
+    "area articles aside bar block body bottom box button buttons column container content-info footer form group header holder icons inner items left links list main module outer page panel posts primary right row secondary "
+    "section site signup slot stories sub thread top unit wrap wrapper zone".split()
 )
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A quoted value, and the number of them in a tag, beyond which quotes are taken for plain characters.
+LONGEST_VALUE, MOST_VALUES = 4096, 32
 MOST = 0.8
+_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_WORDS = re.compile(r"[\s_\d-]+")
+
+
+def marks_other(names: dict[str, str]) -> bool:
+    """Whether a class, an id or a role says that an element is not of the article."""
+    for name in " ".join(names.values()).lower().split():
+        words = [w for w in _WORDS.split(name) if w]
+        if any(w in NOT_ARTICLE for w in words) and all(w in NOT_ARTICLE or w in BESIDE for w in words):
+            return True
+    return False
+
+
+def tag_end(source: str, at: int) -> int:
+    """The place of the > that ends a tag; one inside a quoted value does not. -1 if there is none."""
+    here = at
+    for _ in range(MOST_VALUES):
+        m = _STOP.search(source, here)
+        if m is None:
+            break
+        if m.group() == ">":
+            return m.start()
+        close = source.find(m.group(), m.end(), m.end() + LONGEST_VALUE)
+        if close < 0:
+            return source.find(">", m.end())
+        here = close + 1
+    return source.find(">", at)
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(tag, "/" of an end tag, attributes) or ("", "", text) of a page, in one pass; comments and raw elements are left out."""
+    at, n = 0, len(source)
+    ends = re.compile(r"</(?:" + "|".join(sorted(RAW)) + r")\s*>", re.I)
+    while at < n:
+        k = source.find("<", at)
+        if k < 0:
+            yield "", "", source[at:]
+            return
+        if k > at:
+            yield "", "", source[at:k]
+        if source.startswith("<!--", k):
+            at = source.find("-->", k + 4)
+            at = n if at < 0 else at + 3
+            continue
+        end = "/" if source.startswith("/", k + 1) else ""
+        m = _NAME.match(source, k + 1 + len(end))
+        if m is None:
+            if source[k + 1 : k + 2] in ("!", "?", "/") and (close := source.find(">", k)) >= 0:
+                at = close + 1
+            else:
+                yield "", "", "<"
+                at = k + 1
+            continue
+        close = tag_end(source, m.end())
+        if close < 0:  # no tag ends any more
+            yield "", "", source[k:]
+            return
+        tag, at = m.group().lower(), close + 1
+        if tag in RAW and not end:
+            if not source[m.end() : close].endswith("/") or tag not in ("svg", "iframe"):
+                last = next((x for x in ends.finditer(source, at) if x.group()[2:].lower().startswith(tag)), None)
+                at = n if last is None else last.end()
+            continue
+        yield tag, end, source[m.end() : close]
 
 
 class Page:
-    """The blocks of a page, each with its containers, outermost first."""
+    """The blocks of a page, each with the path of its innermost container.
+
+    Paths are numbered in a tree: `above` holds the number of each one's parent, -1 for the outermost.
+    """
 
     def __init__(self, source: str):
-        self.paths: list[str] = []  # by container number
-        self.blocks: list[tuple[str, tuple[int, ...], int]] = []
+        self.above: list[int] = []
+        self.labels: list[str] = []
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.blocks: list[tuple[str, int, int]] = []  # text, path, characters in links
         self.read(source)
 
     def read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container or -1, left out
+        stack: list[tuple[str, int, bool]] = []  # tag, path of the innermost container, left out
+        opened: dict[str, list[int]] = {}  # the places of each open tag in the stack
         parts: list[str] = []
-        linked = 0
+        linked = form = forms = 0
         in_link = False
+        form_of: list[int] = []  # of each block the form around it, 0 for none
+        article_of: list[bool] = []  # whether it is a paragraph, or in an article
 
         def close_block() -> None:
             nonlocal linked
             if parts:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 if text:
-                    self.blocks.append((text, tuple(c for _, c, _ in stack if c >= 0), min(linked, len(text))))
+                    self.blocks.append((text, stack[-1][1] if stack else -1, min(linked, len(text))))
+                    form_of.append(form)
+                    article_of.append(bool(opened.get("p") or opened.get("article") or opened.get("main")))
                 parts.clear()
             linked = 0
 
         def pop_to(k: int) -> None:
-            del stack[k:]
-
-        for m in _TOKEN.finditer(source):
-            tag = m.group("tag")
-            if tag is None:
-                t = m.group()
-                if not m.group("raw") and t[:2] not in ("<!", "<?", "</") and not (stack and stack[-1][2]):
-                    parts.append(t)
+            nonlocal form
+            while len(stack) > k:
+                tag = stack.pop()[0]
+                opened[tag].pop()
+                if tag == "form":
+                    form = 0
+
+        for tag, end, attrs in tokens(source):
+            if not tag:
+                if not (stack and stack[-1][2]):
+                    parts.append(attrs)
                     if in_link:
-                        linked += len(t.strip())
+                        linked += len(attrs.strip())
                 continue
-            tag, end = tag.lower(), m.group("end")
             if tag == "br":
                 parts.append(" ")
                 continue
             if tag == "a":
                 in_link = not end
-            names = {} if end else {a.lower(): b or c or d for a, b, c, d in _NAMES.findall(m.group("attrs"))}
-            marked = bool(names) and bool(NOT_ARTICLE.search(" ".join(names.values())))
+            names = {} if end or not attrs else {a.lower(): b or c or d for a, b, c, d in _NAMES.findall(attrs)}
+            marked = bool(names) and marks_other(names)
             if tag not in BLOCKS and tag not in SKIPPED and not marked:
-                if end and any(s[0] == tag for s in stack):  # an inline element that was left out
-                    pop_to(max(k for k, s in enumerate(stack) if s[0] == tag))
+                if end and opened.get(tag):  # an inline element that was left out
+                    pop_to(opened[tag][-1])
                 continue
             if end:
-                at = max((k for k, s in enumerate(stack) if s[0] == tag), default=-1)
                 close_block()
-                if at >= 0:
-                    pop_to(at)
+                if opened.get(tag):
+                    pop_to(opened[tag][-1])
                 continue
             close_block()
             if tag in VOID:
                 continue
             if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and tag in BLOCKS:
                 pop_to(len(stack) - 1)
-            elif tag in ("li", "dt", "dd", "tr", "td", "th"):
-                own = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}[tag]
-                limit = max((k for k, s in enumerate(stack) if s[0] in ("ul", "ol", "dl", "table")), default=-1)
-                at = min((k for k, s in enumerate(stack) if k > limit and s[0] in own), default=-1)
-                if at >= 0:
-                    pop_to(at)
-            inside = any(s[0] in ("article", "main") for s in stack)
-            out = bool(stack and stack[-1][2]) or tag in SKIPPED or tag == "header" and not inside or marked and tag not in ("html", "body", "article", "main")
-            number = -1
+            elif tag in CLOSED_BY:
+                limit = max((opened[t][-1] for t in ("ul", "ol", "dl", "table") if opened.get(t)), default=-1)
+                own = [opened[t][k] for t in CLOSED_BY[tag] if opened.get(t) and (k := bisect_right(opened[t], limit)) < len(opened[t])]
+                if own:
+                    pop_to(min(own))
+            inside = bool(opened.get("article") or opened.get("main"))
+            out = bool(stack and stack[-1][2]) or tag in SKIPPED or tag == "header" and not inside or marked and tag not in ("html", "body", "article", "main", "form")
+            path = stack[-1][1] if stack else -1
             if tag in CONTAINERS and not out:
-                label = tag + "".join("." + c for c in sorted(set(re.sub(r"\d+", "", names.get("class") or "").lower().split())))
-                above = next((self.paths[c] for _, c, _ in reversed(stack) if c >= 0), "")
-                number = len(self.paths)
-                self.paths.append(f"{above}>{label}")
-            stack.append((tag, number, out))
+                label = tag
+                if names.get("class"):
+                    label += "".join("." + c for c in sorted(set(re.sub(r"\d+", "", names["class"]).lower().split())))
+                key = path, label
+                path = self.numbers.get(key, -1)
+                if path < 0:
+                    path = self.numbers[key] = len(self.above)
+                    self.above.append(key[0])
+                    self.labels.append(label)
+            if tag == "form" and not form:
+                forms += 1
+                form = forms
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append((tag, path, out))
         close_block()
-
-    def choice(self) -> str | None:
-        """The path of the article or main element around most of the text that is not in links, else of the deepest container with all text."""
-        weight: Counter = Counter()
-        whole: Counter = Counter()
-        total = 0
-        for text, chain, linked in self.blocks:
-            n = len(text) - linked
-            total += n
-            for p in {self.paths[c] for c in chain}:
-                weight[p] += n
-                whole[p] += 1
+        if forms:  # a form goes, unless it is the frame of the whole page
+            size = [0] * (forms + 1)
+            for (text, _, _), f, good in zip(self.blocks, form_of, article_of, strict=True):
+                size[f] += len(text) * good
+            frame = [f > 0 and 2 * x > sum(size) for f, x in enumerate(size)]
+            self.blocks = [x for x, f in zip(self.blocks, form_of, strict=True) if not f or frame[f]]
+
+    def sums(self, values: list[int]) -> list[int]:
+        """The sum of a value of each block over each path and what is below it."""
+        out = [0] * len(self.above)
+        for (_, p, _), v in zip(self.blocks, values, strict=True):
+            if p >= 0:
+                out[p] += v
+        for p in range(len(out) - 1, -1, -1):  # parents have smaller numbers
+            if self.above[p] >= 0:
+                out[self.above[p]] += out[p]
+        return out
+
+    def choice(self) -> int:
+        """The path of the article or main element around most of the text that is not in links, else of the deepest
+        container with all text; -1 without any."""
+        own = [len(t) - n for t, _, n in self.blocks]
+        total = sum(own)
         if not total:
-            return None
-        articles = [p for p, n in weight.items() if n >= MOST * total and p.rsplit(">", 1)[1].split(".")[0] in ("article", "main")]
+            return -1
+        weight, whole = self.sums(own), self.sums([1] * len(own))
+        depth = [0] * len(self.above)
+        for p, a in enumerate(self.above):
+            depth[p] = depth[a] + 1 if a >= 0 else 0
+        articles = [p for p, n in enumerate(weight) if n >= MOST * total and self.labels[p].split(".")[0] in ("article", "main")]
         if articles:
-            return min(articles, key=lambda p: (p.count(">"), p))
-        return max((p for p, n in whole.items() if n == len(self.blocks)), key=lambda p: (p.count(">"), p), default=None)
-
-    def on(self, path: str | None) -> set[int]:
-        """The numbers of the blocks inside the containers on a path; of all blocks for no path."""
-        if path is None:
-            return set(range(len(self.blocks)))
-        there = {k for k, x in enumerate(self.paths) if x == path}
-        return {k for k, (_, chain, _) in enumerate(self.blocks) if not there.isdisjoint(chain)}
+            return min(articles, key=lambda p: (depth[p], self.labels[p]))
+        return max((p for p, n in enumerate(whole) if n == len(own)), key=lambda p: depth[p], default=-1)
+
+    def path(self, p: int) -> str | None:
+        """The labels of a path, outermost first."""
+        out: list[str] = []
+        while p >= 0:
+            out.append(self.labels[p])
+            p = self.above[p]
+        return " ".join(reversed(out)) or None
+
+    def number(self, path: str | None) -> int:
+        """The number of a path, -1 if the page lacks it."""
+        p = -1
+        for label in (path or "").split(" "):
+            p = self.numbers.get((p, label), -2)
+            if p < 0:
+                return -1
+        return p
+
+    def on(self, path: int) -> list[bool]:
+        """Which blocks are inside the containers on a path; all blocks for no path."""
+        if path < 0:
+            return [True] * len(self.blocks)
+        inside = [False] * len(self.above)
+        for p, a in enumerate(self.above):
+            inside[p] = p == path or a >= 0 and inside[a]
+        return [p >= 0 and inside[p] for _, p, _ in self.blocks]
 
     def text(self, path: str | None) -> str:
         """The blocks inside the containers on a path if these hold the page's own choice, else those of the choice."""
         kept = self.on(self.choice())
-        if path is not None and kept <= (wide := self.on(path)):
-            kept = wide
-        return "\n".join(t for k, (t, _, _) in enumerate(self.blocks) if k in kept)
+        if (p := self.number(path)) >= 0:
+            wide = self.on(p)
+            if all(w or not k for w, k in zip(wide, kept, strict=True)):
+                kept = wide
+        return "\n".join(t for (t, _, _), k in zip(self.blocks, kept, strict=True) if k)
 
 
 def host_column(url):
@@ -166,7 +295,8 @@ def winning_paths(pages: DataFrame) -> DataFrame:
         n: Counter = Counter()
         for b in in_slices(batches):
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                path = Page(source).choice() if source else None
+                page = Page(source) if source else None
+                path = page.path(page.choice()) if page else None
                 if path is not None:
                     n[host, path] += 1
             if len(n) > 100_000:

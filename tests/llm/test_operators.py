@@ -68,7 +68,7 @@ def test_suffix_core_on_small_windows(all_hot, size):
             x = np.frombuffer(t, np.uint8)
             at, h = suffix_dedup.sampled_starts(x, length)
             wide = np.concatenate([np.zeros(k, np.uint8), x, np.zeros(length, np.uint8)])
-            cols = {"node": np.full(len(at), d), "at": at, "right": np.minimum(len(x) - at, length), "left": np.minimum(at, k)}
+            cols = {"node": np.full(len(at), d), "more": np.full(len(at), d + 7), "at": at, "right": np.minimum(len(x) - at, length), "left": np.minimum(at, k)}
             if len(at):
                 hot = np.unique(h) if all_hot else np.zeros(0, np.uint64)
                 held.append(list(suffix_dedup.deal(wide[at[:, None] + np.arange(k, k + length)], wide[at[:, None] + np.arange(k - 1, -1, -1)], cols, h, hot, 7, length)))
@@ -77,13 +77,16 @@ def test_suffix_core_on_small_windows(all_hot, size):
         for part in (held[::2], held[1::2]):
             for row in suffix_dedup._write_runs([x for xs in part for x in xs], length):
                 if row[1] is None:
-                    cut[row[2]][row[3] : row[4]] = True
+                    assert row[3] == row[2] + 7
+                    cut[row[2]][row[4] : row[5]] = True
                 else:
-                    by_bucket[row[0]].append(suffix_dedup.Run(row[1]))
-        for runs in by_bucket.values():
-            order, lcps = suffix_dedup.merge_runs([r.suffixes for r in runs], [r.prefixes for r in runs])
-            assert [runs[a].suffixes[b] for a, b in order] == sorted(s for r in runs for s in r.suffixes)
-            base = np.cumsum([0, *(len(r.suffixes) for r in runs)])
+                    by_bucket[row[0]].append(row[1])
+        for coded in by_bucket.values():
+            whole = [list(suffix_dedup.Run(x)) for x in coded]
+            runs = [suffix_dedup.Run(x) for x in coded]
+            order, lcps = suffix_dedup.merge_runs(runs, [r.prefixes for r in runs])
+            assert [whole[a][b] for a, b in order] == sorted(s for r in whole for s in r)
+            base = np.cumsum([0, *map(len, runs)])
             at = np.array([base[a] + b for a, b in order])
             c = {k: np.concatenate([getattr(r, k) for r in runs])[at].astype(np.int64) for k in ("node", "at", "right", "left")}
             low, high = suffix_dedup.repeated(np.array(lcps), np.concatenate([r.lefts for r in runs])[at], c["right"], c["left"], length)
@@ -97,6 +100,13 @@ def test_suffix_core_on_small_windows(all_hot, size):
             assert (got == want).all()
 
 
+def test_repeats_go_beside_clashing_columns(spark):
+    t = "word " * 60
+    docs = spark.createDataFrame([(1, t + "one", 5, "k", 2), (2, t + "two", 6, "l", 3), (3, None, None, None, None)], "doc_id long, text string, n_bytes int, kept string, spans int")
+    got = collected(suffix_dedup.without_repeats(docs))
+    assert many(r.values() for r in got) == many({**r, "text": r["text"] and {1: "one", 2: "two"}[r["doc_id"]]}.values() for r in collected(docs.fillna({"text": ""})))
+
+
 def test_bpe(spark, folder, rows):
     import base64
 
@@ -188,7 +198,7 @@ def test_html_leaves_out_what_is_not_article():
     h = """<body><header>Site</header><div class="cookie-notice">We use cookies</div><div id=content><article><p>One&nbsp;two<p>Three<ul><li>x<li>y</ul>
     <aside>side</aside><form>f</form><div class="ad-slot">buy</div><script>1 < 2</script></article><section class="comments"><p>a reader says a lot of things</p></section></div><footer>c"""
     p = html_extract.Page(h)
-    assert p.text(p.choice()) == "One two\nThree\nx\ny"
+    assert p.text(p.path(p.choice())) == "One two\nThree\nx\ny"
 
 
 def test_html_keeps_the_whole_article(spark):
@@ -206,13 +216,52 @@ def test_html_keeps_the_whole_article(spark):
         assert got[k] == got[100 + k] == text
 
 
+def test_html_frames_and_names():
+    text = lambda h: html_extract.Page(h).text(None)
+    assert text("<body><form id=all><nav>menu</nav><article><h1>T</h1><p>the body of it</p></article></form>") == "T\nthe body of it"
+    assert text("<body><p>long text here it is</p><form><p>mail me</p></form><p>end</p>") == "long text here it is\nend"
+    assert text("<form><label>name</label></form>") == ""
+    inside = "<article><div class='related-work'>a</div><div class='notice-text'>b</div><div class='ad-slot'>x</div><div class='related-posts'>y</div><p>c</article>"
+    assert text(inside) == "a\nb\nc"
+    assert text("<p title=\"a > b\">x</p><p title='it\"s'>y</p><p title=\"open>z</p>") == "x\ny\nz"
+
+
+def test_html_competing_paths_of_a_host(spark):
+    """The path of most pages wins and is used where it holds the page's own choice."""
+    one = "<body><div class=wrap><div class=page{k}><div class=story><p>{t}</p></div></div><div class=more><p>{m}</p></div></div></body>"
+    few = "<body><div class=wrap><div class=story><p>{t}</p></div></div></body>"
+    rows = [(k, "http://h.example/", one.format(k=k, t=f"text {k}", m="more")) for k in range(7)] + [(k, "http://h.example/", few.format(t=f"text {k}")) for k in range(7, 11)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"text {k}\nmore" if k < 7 else f"text {k}" for k in range(11)}
+    paths = {r["path"] for r in html_extract.winning_paths(spark.createDataFrame([("h", r[2]) for r in rows], "host string, html string")).collect()}
+    assert paths == {"body div.wrap"}
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<div>a", "<p title='", "<li>x<ul>", "<script>", '<a ">'])
+def test_html_takes_time_in_proportion(part):
+    import time
+
+    took = []
+    for n in (50_000, 400_000):
+        began = time.process_time()
+        p = html_extract.Page(part * (n // len(part)))
+        p.text(p.path(p.choice()))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_html_by_join(spark, folder):
     pages = spark.read.parquet(f"{folder[0]}/pages.parquet")
     a, b = (html_extract.extract(pages, small_bytes=s).select("page_id", "text").collect() for s in (1 << 20, -1))
     assert many(a) == many(b)
 
 
-def test_top_k(spark, folder):
+@pytest.mark.parametrize("block", [8192, 30])
+def test_top_k(spark, folder, monkeypatch, block):
+    monkeypatch.setattr(topk, "DATA_BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 1 + block // 10)
+    monkeypatch.setattr(topk, "TOGETHER", 2)
+    monkeypatch.setattr(topk, "CELLS", 4)  # so that cells have several blocks
     table = [r for r in spark.read.parquet(f"{folder[0]}/embeddings.parquet").collect()]
     whole = [(r.vec_id, [int(np.floor(256 * float(x))) for x in r.embedding]) for r in table if r.vec_id is not None and r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding)]
     whole = [(v, list(x)) for v, x in {(v, tuple(x)) for v, x in whole}]
@@ -227,13 +276,35 @@ def test_top_k(spark, folder):
 
 def test_cover_tree_covers():
     x = np.random.default_rng(0).normal(size=(900, 5))
-    todo = [topk.cover_tree(x)]
-    while todo:
-        n = todo.pop()
-        assert (np.linalg.norm(x[n.rows] - n.centre, axis=1) <= n.radius + 1e-6).all()
-        if n.children:
-            assert sorted(np.concatenate([c.rows for c in n.children]).tolist()) == sorted(n.rows.tolist())
-        todo += n.children
+    t = topk.Tree(x)
+    assert sorted(t.order.tolist()) == list(range(900)) and (t.x == x[t.order]).all() and len(t.start) > 20
+    for k in range(len(t.start)):
+        own = t.x[t.start[k] : t.end[k]]
+        assert (np.linalg.norm(own - t.centre[k], axis=1) <= t.radius[k] + 1e-9).all()
+        if t.last[k]:
+            c = range(t.child[k], t.last[k])
+            assert [t.start[k], *(t.end[j] for j in c)] == [*(t.start[j] for j in c), t.end[k]]  # they part its rows
+            apart = np.linalg.norm(t.centre[c][:, None] - t.centre[c][None], axis=2) + 100 * np.eye(len(c))
+            assert apart.min() > t.radius[k] / topk.BASE - 1e-5 and max(t.radius[j] for j in c) <= t.radius[k] / topk.BASE + 1e-5
+
+
+@pytest.mark.parametrize("clusters, share", [(40, 0.3), (0, 1.0)])
+def test_dual_search_prunes_and_is_exact(clusters, share):
+    rng = np.random.default_rng(1)
+    if clusters:
+        centres = rng.normal(size=(clusters, 16)) * 256
+        x = np.floor(centres[rng.integers(0, clusters, 6000)] + rng.normal(size=(6000, 16)) * 8).astype(np.int64)
+    else:
+        x = np.floor(rng.normal(size=(3000, 16)) * 256).astype(np.int64)
+    x, own = np.concatenate([x, x[:100]]), np.arange(0, len(x), 20)  # some points twice
+    q, p = topk.Tree(x[own]), topk.Tree(x)
+    best = topk.Best(own[q.order], 5)
+    topk.dual_search(q, p, [[int(v)] for v in p.order], best)
+    for i, v in enumerate(best.own.tolist()):
+        s = x @ x[v]
+        order = [j for j in np.lexsort((np.arange(len(x)), -s))[:7].tolist() if j != v][:5]
+        assert best.found[i] == [(-int(s[j]), j) for j in order]
+    assert best.compared <= share * len(own) * len(x)
 
 
 @pytest.mark.parametrize("small", [1 << 24, -1])
@@ -296,12 +367,20 @@ def test_jaccard_splits_large_regions(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(jaccard, "REGION", 6)
     monkeypatch.setattr(jaccard, "PART", 4)
-    for rounds in (0, 2):
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    for rounds in (1, 3):
         monkeypatch.setattr(jaccard, "ROUNDS", rounds)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collected(jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")))}
         assert got == brute_classes(rows)
 
 
+def test_jaccard_ties_texts_of_one_id(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(60)) for k in "abc"]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[1] + " more"), (9, texts[0] + " more"), (7, texts[2]), (5, None), (4, "x")]
+    got = collected(jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert many((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == many([(5, 56, 3), (5, 56, 3), (3, 57, 3), (9, 57, 3), (7, 56, 7), (5, 0, 5), (4, 1, 4)])
+
+
 def test_regions_join_exactly():
     rng = np.random.default_rng(1)
     for _ in range(60):
@@ -396,6 +475,41 @@ def test_language_model_counts(spark, folder, rows):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+@pytest.mark.parametrize("words", [1 << 17, 50])
+def test_language_model_scores_by_a_plain_loop(spark, docs, rows, monkeypatch, words):
+    import xxhash
+
+    monkeypatch.setattr(lm, "VOCABULARY", words)
+    monkeypatch.setattr(lm, "CHUNK", 5000)
+    found, vocab, net = lm.score_documents(docs.select("doc_id", "text"))
+    got = collected(found)
+    hashed = [[*(xxhash.xxh3_64_intdigest(w) for w in (t or "").encode().lower().split()), int(lm.END)] for _, t, *_ in rows]
+    c = Counter(w for (d, *_), own in zip(rows, hashed) if d is None or zlib.crc32(str(d).encode()) % 7 != 2 for w in own)
+    number = {w: k for k, w in enumerate(vocab.words.tolist())}
+    assert len(number) == len(c) if words > len(c) else len(number) <= words
+    wx, u, v, b = (w.astype(float) for w in net.w)
+    k, rest = net.hidden, [c[w] for w in c if w not in number]
+    classes = Counter()
+    for w, j in number.items():
+        classes[int(vocab.class_of[j])] += c[w]
+    want = []
+    for (d, *_), own in zip(rows, hashed):
+        h, x, total = np.zeros(k), net.classes, 0.0
+        for w in own:
+            g, a = wx[x], h @ u
+            z, r = 1 / (1 + np.exp(-(g[:k] + a[:k]))), 1 / (1 + np.exp(-(g[k : 2 * k] + a[k : 2 * k])))
+            n = np.tanh(g[2 * k :] + r * a[2 * k :])
+            h = n + z * (h - n)
+            o = h @ v + b
+            x = int(vocab.class_of[number.get(w, len(number))])
+            inside = c[w] / classes[x] if w in number else (c[w] + 1) / (sum(rest) + len(rest) + 1)
+            total += (o[x] - np.log(np.exp(o).sum())) / np.log(10) + np.log10(inside)
+        want.append((d if d is not None else -1, len(own), total))
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["score"]) for r in got)
+    for x, y in zip(got, sorted(want), strict=True):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-3 + 1e-4 * abs(y[2])
+
+
 def test_language_model_gradients():
     rng = np.random.default_rng(0)
     net = lm.Network(5, 4)
@@ -424,9 +538,7 @@ def test_language_model_beats_counts_on_held_out_texts(spark):
     speech = [[f"{k}{i}" for i in range(40)] for k in "ab"]
     rows = [(i, " ".join(rng.choice(speech[i % 2]) for _ in range(80))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    train = docs.filter(~lm.held_out(docs["doc_id"]))
-    counts = lm.materialize(lm.count_words(train), "counts")
-    out = lm.score_documents(docs, counts, *lm.fit(train, counts)).filter(lm.held_out(F.col("doc_id"))).collect()
+    out = lm.score_documents(docs)[0].filter(lm.held_out(F.col("doc_id"))).collect()
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
@@ -451,25 +563,102 @@ def test_toxicity_finds_held_out_examples(spark):
     assert all(e["doc_id"] % 6 == 0 for e in got[held[0] if held[0] % 6 == 0 else next(i for i in held if i % 6 == 0)]["evidence"])
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("block", [128, 7])
+def test_nearest_is_exact(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
     rng = np.random.default_rng(0)
 
     def vector():
-        t = rng.choice(60, rng.integers(1, 9), replace=False)
-        w = rng.random(len(t))
-        return dict(zip(t.tolist(), (w / np.sqrt((w * w).sum())).tolist()))
+        t = np.sort(rng.choice(60, rng.integers(1, 9), replace=False))
+        w = rng.random(len(t)) ** 4
+        return t, w / np.sqrt((w * w).sum())
 
-    examples = sorted((vector() for _ in range(1500)), key=lambda v: max(v, key=v.get))
+    examples = sorted((vector() for _ in range(1500)), key=lambda v: v[0][np.argmax(v[1])])
     index = toxicity.BlockMaxIndex(examples, 60)
-    full = np.zeros((1500, 60), np.float32)
-    for e, v in enumerate(examples):
-        full[e, list(v)] = list(v.values())
-    for _ in range(60):
-        q = vector()
-        x = np.zeros(60, np.float32)
-        x[list(q)] = list(q.values())
-        want = np.sort(full @ x)[::-1][:15]
-        assert np.allclose([s for s, _ in index.nearest(q, 15)], want[want > 0], atol=1e-5)
+    full = np.zeros((1500, 60))
+    for e, (t, w) in enumerate(examples):
+        full[e, t] = w
+    for j in range(60):
+        t, w = examples[j] if j % 2 else vector()
+        own = full[:, t] @ w
+        if j % 2:
+            own[j] = 0
+        want = np.sort(own)[::-1][:15]
+        assert np.allclose(index.nearest(t, w, 15, j if j % 2 else -1)[0], want[want > 0], atol=1e-5)
+
+
+def test_toxicity_scores_by_brute_force(spark, folder, rows):
+    """Every step again with dictionaries: chi-squares, document frequencies, cosines, votes, calibration."""
+    from math import exp, log, sqrt
+
+    def terms(t):
+        c = Counter()
+        for w in (t or "").encode().lower().split():
+            w = w.strip(toxicity._EDGES).decode("utf-8", "ignore")
+            if w:
+                c.update([w, *("^" + w[:n] for n in (4, 6) if len(w) >= n)])
+        return c
+
+    label = {i: int(i % 6 == 0) for i in range(130) if zlib.crc32(str(i).encode()) % 4 != 2}
+    all_labels = [*label.values()] + [1] * (zlib.crc32(b"100000") % 4 != 2)  # the second label of 5 is null
+    rate = sum(all_labels) / len(all_labels)
+    text = {d: t for d, t, *_ in rows if d in label}
+    counts = {d: terms(t) for d, t in text.items()}
+    size = Counter(label[d] for d in text)
+    seen = {y: Counter(t for d in text if label[d] == y for t in counts[d]) for y in (0, 1)}
+    df, n = Counter(t for _, x, *_ in rows for t in terms(x)), len(rows)
+    weight = {}
+    for t in seen[0] | seen[1]:
+        a, c = seen[1][t], seen[0][t]
+        chi = (a * (size[0] - c) - c * (size[1] - a)) ** 2 * len(text) / ((a + c) * (len(text) - a - c) * size[0] * size[1] + 1e-9)
+        weight[t] = (log((1 + n) / (1 + df[t])) + 1) * ((chi / (chi + 20)) ** 2 + 1e-4)
+
+    def vector(c):
+        v = {t: (1 + log(k)) * weight[t] for t, k in c.items() if t in weight}
+        norm = sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {d: vector(c) for d, c in counts.items()}
+    back = {y: (rate if y else 1 - rate) / (size[y] / len(text)) for y in (0, 1)}
+    empty = [label[d] for d in text if not vectors[d]]
+    bare = (sum(back[y] * y for y in empty) + rate) / (sum(back[y] for y in empty) + 1)
+
+    def vote(v, own=None):
+        near = sorted(((sum(x * w.get(t, 0) for t, x in v.items()), d) for d, w in vectors.items() if d != own), reverse=True)
+        near = [(s, d) for s, d in near[:15] if s > 0]
+        if not near:
+            return None
+        w = [s * back[label[d]] for s, d in near]
+        return (sum(x * label[d] for x, (_, d) in zip(w, near)) + 0.5 * bare) / (sum(w) + 0.5)
+
+    odds = lambda p: log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    held = [d for d in text if vectors[d]]
+    x = [(odds(bare if (v := vote(vectors[d], d)) is None else v), label[d], back[label[d]]) for d in held]
+    slope, shift = 1.0, 0.0
+    for _ in range(50):
+        g0 = g1 = h00 = h01 = h11 = 0.0
+        for o, y, w in x:
+            p = 1 / (1 + exp(-(slope * o + shift)))
+            g0, g1 = g0 + w * (p - y) * o, g1 + w * (p - y)
+            h00, h01, h11 = h00 + w * p * (1 - p) * o * o, h01 + w * p * (1 - p) * o, h11 + w * p * (1 - p)
+        g0, g1, h00, h11 = g0 + slope - 1, g1 + shift, h00 + 1, h11 + 1
+        det = h00 * h11 - h01 * h01
+        slope, shift = slope - (g0 * h11 - g1 * h01) / det, shift - (g1 * h00 - g0 * h01) / det
+    docs, labels = (spark.read.parquet(f"{folder[0]}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert abs(model.slope - max(slope, 0.05)) < 1e-2 and abs(model.shift - shift) < 1e-2, (model.slope, model.shift, slope, shift, model.bare, bare)
+    got = {repr((r["doc_id"], r["text"])): r["score"] for r in toxicity.score_documents(docs, model).collect()}
+    for d, t, *_ in rows:
+        v = vote(vector(terms(t)))
+        want = bare if v is None else 1 / (1 + exp(-(max(slope, 0.05) * odds(v) + shift)))
+        assert abs(got[repr((d, t))] - want) < 2e-3, (d, got[repr((d, t))], want)
+
+
+def test_toxicity_with_labels_of_one_class(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    for y in (0, 1):
+        labels = spark.createDataFrame([(i, y) for i in range(40)], "doc_id long, toxic int")
+        assert {r["score"] for r in toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()} == {float(y)}
 
 
 def test_toxicity_query(spark, folder, rows):
