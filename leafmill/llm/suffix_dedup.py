@@ -15,7 +15,8 @@ if two Bloom filters say that its start may recur.
 5. The repeated windows of each text are joined to it and its bytes cut.
 
 Matches never cross documents. Null texts are empty; texts shorter than a window keep everything unless other rules
-apply. Rows with equal ids are judged by their own texts. Other columns pass through.
+apply. Rows with equal ids are judged by their own texts. Other columns pass through, but for those that have the name of a
+result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ LENGTH = 200
 #: Texts sampled to find starts that are hot, in how many of them one is hot, and hot starts at most. This only balances
 #: the work: a start's suffixes are dealt one way or the other with the same result.
 HOT_SAMPLE, HOT_TEXTS, HOT_STARTS = 4000, 16, 1 << 16
+#: A bucket for each so many bytes of text, at least: its task holds the suffixes of one bucket, front-coded.
+BUCKET_BYTES = 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,7 +109,7 @@ def common_prefixes(rows: np.ndarray) -> np.ndarray:
 
 
 #: The columns of a run, with their types; `rest` holds what each suffix does not share with the one before.
-_RUN = (("lcp", np.uint16), ("node", np.int64), ("at", np.int64), ("right", np.uint16), ("left", np.uint16))
+_RUN = (("lcp", np.uint16), ("node", np.int64), ("more", np.int64), ("at", np.int64), ("right", np.uint16), ("left", np.uint16))
 
 
 def encode_run(right: np.ndarray, left: np.ndarray, columns: dict[str, np.ndarray]) -> bytes:
@@ -119,7 +122,7 @@ def encode_run(right: np.ndarray, left: np.ndarray, columns: dict[str, np.ndarra
 
 
 class Run:
-    """A front-coded run, read from its start."""
+    """A front-coded run; its suffixes are decoded one after another, as the merge asks for them."""
 
     def __init__(self, data: bytes):
         n, width, side = np.frombuffer(data, np.int64, 3).tolist()
@@ -128,14 +131,21 @@ class Run:
             setattr(self, c, np.frombuffer(data, t, n, at))
             at += n * np.dtype(t).itemsize
         self.lefts = np.frombuffer(data, np.uint8, n * side, at).reshape(n, side)
-        rest, at = data[at + n * side :], 0
         self.prefixes = self.lcp.tolist()
-        self.suffixes: list[bytes] = []
-        last = b""
-        for shared in self.prefixes:
-            last = last[:shared] + rest[at : at + width - shared]
-            at += width - shared
-            self.suffixes.append(last)
+        self.rest, self.width, self.here, self.done, self.last = memoryview(data)[at + n * side :], width, 0, 0, b""
+
+    def __len__(self) -> int:
+        return len(self.prefixes)
+
+    def __getitem__(self, at: int) -> bytes:
+        if at == self.done:
+            shared = self.prefixes[at]
+            end = self.here + self.width - shared
+            self.last = self.last[:shared] + bytes(self.rest[self.here : end])
+            self.here, self.done = end, at + 1
+        elif at != self.done - 1:
+            raise IndexError("a run is read in order")
+        return self.last
 
 
 def shared_beyond(a: bytes, b: bytes, known: int) -> int:
@@ -146,7 +156,7 @@ def shared_beyond(a: bytes, b: bytes, known: int) -> int:
     return len(a) - (((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) >> 3)
 
 
-def merge_runs(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list[tuple[int, int]], list[int]]:
+def merge_runs(runs: list, prefixes: list[list[int]]) -> tuple[list[tuple[int, int]], list[int]]:
     """The order (run, place) of the sorted runs' strings, and each one's common prefix with the one before.
 
     A loser tree: each match keeps its loser and the prefix that the loser shares with the winner. On the way up a
@@ -301,7 +311,7 @@ def _write_runs(held: list[tuple], length: int) -> Iterator[tuple]:
     if not held:
         return
     right, left = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-    cols = {c: np.concatenate([h[2][c] for h in held]) for c in ("node", "at", "right", "left", "bucket")}
+    cols = {c: np.concatenate([h[2][c] for h in held]) for c in ("node", "more", "at", "right", "left", "bucket")}
     whole = np.ascontiguousarray(np.concatenate([right, left], 1)).view(f"S{right.shape[1] + left.shape[1]}").reshape(-1)
     order = np.lexsort((whole, cols["bucket"]))
     right, left, cols = right[order], left[order], {c: v[order] for c, v in cols.items()}
@@ -309,38 +319,38 @@ def _write_runs(held: list[tuple], length: int) -> Iterator[tuple]:
     equal = np.zeros(n, bool)  # like the one before, in all that is sent but its place
     equal[1:] = (right[1:] == right[:-1]).all(1) & (left[1:] == left[:-1]).all(1) & (cols["right"][1:] == cols["right"][:-1]) & (cols["left"][1:] == cols["left"][:-1]) & (cols["bucket"][1:] == cols["bucket"][:-1])
     copied = np.flatnonzero((equal | np.append(equal[1:], False)) & (cols["right"] + cols["left"] >= length))
-    node, start, end = cols["node"][copied], cols["at"][copied] - cols["left"][copied], cols["at"][copied] + cols["right"][copied]
-    by = np.lexsort((start, node))
+    node, more, start, end = cols["node"][copied], cols["more"][copied], cols["at"][copied] - cols["left"][copied], cols["at"][copied] + cols["right"][copied]
+    by = np.lexsort((start, more, node))
     last: list[int] | None = None
-    for d, x, y in zip(node[by].tolist(), start[by].tolist(), end[by].tolist(), strict=True):
-        if last and last[0] == d and x <= last[2]:
-            last[2] = max(last[2], y)
+    for d, e, x, y in zip(node[by].tolist(), more[by].tolist(), start[by].tolist(), end[by].tolist(), strict=True):
+        if last and last[:2] == [d, e] and x <= last[3]:
+            last[3] = max(last[3], y)
         else:
             if last:
                 yield last[0] & 0xFFFFF, None, *last
-            last = [d, x, y]
+            last = [d, e, x, y]
     if last:
         yield last[0] & 0xFFFFF, None, *last  # dealt by text, as one start may be common
     kept = np.flatnonzero(~equal)
     cut = np.flatnonzero(np.diff(cols["bucket"][kept], prepend=-1, append=-2))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         own = kept[a:b]
-        yield int(cols["bucket"][own[0]]), encode_run(right[own], left[own], {c: v[own] for c, v in cols.items()}), None, None, None
+        yield int(cols["bucket"][own[0]]), encode_run(right[own], left[own], {c: v[own] for c, v in cols.items()}), None, None, None, None
 
 
-_ROWS = "bucket int, run binary, node long, start long, end long"
+_ROWS = "bucket int, run binary, node long, more long, start long, end long"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "run", "node", "start", "end"])
+    kinds = [pa.int32(), pa.binary(), *[pa.int64()] * 4]
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "run", "node", "more", "start", "end"])
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(node, start, end): spans of the texts (node long, text) in which every byte is in a repeated window.
+    """(node, more, start, end): spans of the texts (node long, more long, text) in which every byte is in a repeated window.
 
-    texts is read more than once; its texts differ from one another.
+    node and more name a text together. texts is read more than once; its texts differ from one another.
     """
     spark = texts.sparkSession
     k = length // 2
@@ -353,12 +363,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     sent = spark.sparkContext.broadcast(repeat_filter(texts.select("text"), starts, filter_bits(size // (k // 2))))
     hot = spark.sparkContext.broadcast(hot_starts(texts, whole["m"], length))
-    buckets = max(16, partitions(spark))
+    buckets = max(16, partitions(spark), size // BUCKET_BYTES)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in in_slices(batches):
-            for node, t in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
+            for node, more, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b), strict=True):
                 x = np.frombuffer(t, np.uint8)
                 at, h = sampled_starts(x, length)
                 hit = may_repeat(sent.value, h)
@@ -368,7 +378,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 wide = np.concatenate([np.zeros(k, np.uint8), x, np.zeros(length, np.uint8)])
                 right = wide[at[:, None] + np.arange(k, k + length)]
                 left = wide[at[:, None] + np.arange(k - 1, -1, -1)]
-                cols = {"node": np.full(len(at), node), "at": at, "right": np.minimum(len(x) - at, length), "left": np.minimum(at, k)}
+                cols = {"node": np.full(len(at), node), "more": np.full(len(at), more), "at": at, "right": np.minimum(len(x) - at, length), "left": np.minimum(at, k)}
                 held.extend(deal(right, left, cols, h, hot.value, buckets, length))
                 n += len(at)
                 if n >= 60_000:
@@ -387,42 +397,48 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     own.setdefault(bucket, []).append(run)
         for bucket in sorted(own):
             read = [Run(x) for x in own.pop(bucket)]
-            order, lcps = merge_runs([r.suffixes for r in read], [r.prefixes for r in read])
-            base = np.cumsum([0, *(len(r.suffixes) for r in read)])
+            order, lcps = merge_runs(read, [r.prefixes for r in read])
+            base = np.cumsum([0, *map(len, read)])
             at = np.array([base[r] + p for r, p in order], np.int64)
-            cols = {c: np.concatenate([getattr(r, c) for r in read])[at].astype(np.int64) for c in ("node", "at", "right", "left")}
+            cols = {c: np.concatenate([getattr(r, c) for r in read])[at].astype(np.int64) for c in ("node", "more", "at", "right", "left")}
             low, high = repeated(np.array(lcps, np.int64), np.concatenate([r.lefts for r in read])[at], cols["right"], cols["left"], length)
             hit = np.flatnonzero(high >= 0)
             m = len(hit)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, bucket, np.int32)), pa.nulls(m, pa.binary()), pa.array(cols["node"][hit]), pa.array(cols["at"][hit] - high[hit]), pa.array(cols["at"][hit] - low[hit] + length)],
-                names=["bucket", "run", "node", "start", "end"],
+                [pa.array(np.full(m, bucket, np.int32)), pa.nulls(m, pa.binary()), *(pa.array(c) for c in (cols["node"][hit], cols["more"][hit], cols["at"][hit] - high[hit], cols["at"][hit] - low[hit] + length))],
+                names=["bucket", "run", "node", "more", "start", "end"],
             )
 
-    sorted_runs = texts.select("node", "text").mapInArrow(runs, _ROWS).repartition(buckets, "bucket")
-    return sorted_runs.mapInArrow(merge, _ROWS).select("node", "start", "end")
+    sorted_runs = texts.select("node", "more", "text").mapInArrow(runs, _ROWS).repartition(buckets, "bucket")
+    return sorted_runs.mapInArrow(merge, _ROWS).select("node", "more", "start", "end")
+
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH, out: tuple[str, str, str, str] = ("kept", "n_bytes", "n_removed", "spans")) -> DataFrame:
+    """docs (doc_id, text, ...) with kept binary, n_bytes, n_removed and spans (starts and ends) of the bytes removed.
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, spans: str = "spans") -> DataFrame:
-    """docs (doc_id, text, ...) with kept binary, n_bytes, n_removed and spans (starts and ends) of the bytes removed."""
+    These four take the names in `out`; columns of docs with such a name are left out.
+    """
     fields = docs.schema.fields
-    names = [f.name for f in fields if f.name not in ("kept", "n_bytes", "n_removed", spans)]
+    names = [f.name for f in fields if f.name not in out]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*names).withColumn("_text", text).withColumn("_node", F.xxhash64("_text", F.octet_length("_text")))
-    long = rows.filter(F.octet_length("_text") >= length).select(F.col("_node").alias("node"), F.col("_text").alias("text"))
-    copies = materialize(long.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "copied-texts")
+    # a text is told by 128 bits
+    rows = docs.select(*names, text.alias("_text")).withColumn("_node", F.xxhash64("_text", F.octet_length("_text"))).withColumn("_more", F.xxhash64(F.lit(length), "_text"))
+    key = ["node", "more"]
+    long = rows.filter(F.octet_length("_text") >= length).select(F.col("_node").alias("node"), F.col("_more").alias("more"), F.col("_text").alias("text"))
+    copies = materialize(long.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "copied-texts")
     # one of each text: those with copies pass a shuffle, whose map side keeps one of each
-    many = long.join(copies, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    many = long.join(copies, key, "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
     many = materialize(many, "texts-with-copies")
-    single = long.join(copies, "node", "left_anti")
+    single = long.join(copies, key, "left_anti")
     found = repeated_spans(single.unionByName(many), length)
-    own = found.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    cut = materialize(own.join(copies, "node", "left_anti").unionByName(copies.select("node", F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("_spans"))).withColumn("_hit", F.lit(True)), "spans")
-    cut = cut.withColumnRenamed("node", "_cut")
-    joined = rows.join(cut, rows["_node"] == cut["_cut"], "left").select(*names, "_text", "_hit", "_spans")
+    own = found.groupBy(*key).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))  # at most as many as the text is long
+    whole = copies.select(*key, F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("_spans"))
+    cut = materialize(own.join(copies, key, "left_anti").unionByName(whole).withColumn("_hit", F.lit(True)), "spans")
+    cut = cut.withColumnsRenamed({"node": "_cut", "more": "_cut_more"})
+    joined = rows.join(cut, (rows["_node"] == cut["_cut"]) & (rows["_more"] == cut["_cut_more"]), "left").select(*names, "_text", "_hit", "_spans")
     kept = [f for f in fields if f.name in names]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*kept, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(spans, span)])
+    schema = T.StructType([*kept, T.StructField(out[0], T.BinaryType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.LongType()), T.StructField(out[3], span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
@@ -441,7 +457,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, spans: str = "spans")
                 cuts.append([{"start": a, "end": z} for a, z in removed])
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             made = [pa.array(c, k) for c, k in zip((left, n_bytes, n_removed, cuts), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *made], names=[*names, "kept", "n_bytes", "n_removed", spans])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *made], names=[*names, *out])
 
     return joined.mapInArrow(run, schema)
 
@@ -453,14 +469,15 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with its text cut; a character of which a byte is cut goes as a whole."""
+    """docs with its text cut; a character of which a byte is cut goes as a whole. All other columns stay."""
     names = docs.columns
+    out = ("_left", "_n_bytes", "_n_removed", "_removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches):
+        for b in batches:
             cols = [b.column(b.schema.get_field_index(c)) for c in names]
-            cols[names.index("text")] = pa.array([t.decode("utf-8", "ignore") for t in texts_of(b, "kept")], pa.string())
+            cols[names.index("text")] = pa.array([t.decode("utf-8", "ignore") for t in texts_of(b, out[0])], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    cut = remove_repeats(docs, length)
-    return cut.select(*names, "kept").mapInArrow(run, docs.schema)
+    cut = remove_repeats(docs, length, out)
+    return cut.select(*[c for c in names if c != "text"], F.lit(None).cast("string").alias("text"), out[0]).select(*names, out[0]).mapInArrow(run, docs.schema)
