@@ -1,7 +1,8 @@
 """A cleaning pipeline over documents: toxicity, line dedup, n-gram Jaccard join, suffix-array dedup, best-fit packing.
 
 Every stage takes and returns whole documents (doc_id, text, lang, source, n_chars) but the last, which returns the
-places of all token pieces. Texts that a stage empties leave with it; texts that were empty before stay.
+places of all token pieces. Other columns are dropped by the first stage. Texts that a stage empties leave with it; texts
+that were empty before stay.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC."""
     docs = _documents(docs)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score_documents(docs, model).filter(F.col("score") < TOXIC).select(*COLUMNS)
+    return toxicity.score_documents(docs, model, evidence=False).filter(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ every document, once per document, in a filter of keys seen and a filter of keys
 that they set, slices of the filters are merged apart. Only the second filter is gathered; its size has a fixed upper
 bound, and a fuller filter lets more keys through without changing the result. Pass 2 shuffles the keys that may repeat
 and counts their documents exactly. The frequent keys go to all tasks when they are small by measure; otherwise they are
-joined to the documents.
+joined to the documents, where adaptive execution splits keys that very many documents have.
 
 Null and empty texts are one empty line, whose empty key is never dropped. Every row counts as a document of its own,
-also where ids repeat or are null. Other columns pass through.
+also where ids repeat or are null. Columns called n_lines or n_dropped are replaced; other columns pass through.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", bits: i
     """docs (doc_id, text, ...) with frequent lines dropped from text, and n_lines and n_dropped added.
 
     A line is frequent if its key, of at least one character, is in min_docs documents or more. keep="none" drops all
-    of its lines; keep="first" leaves the first line of the smallest doc_id.
+    of its lines; keep="first" leaves the first line in each row with the smallest doc_id that has it.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(repeat_filter(docs.select("text"), document_hashes, bits or filter_bits(docs.count() * 16)))
@@ -116,17 +116,19 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, pos, parts[pos] AS line,
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), lines AS (
+  SELECT r, doc_id, pos, parts[pos] AS line,
          translate(trim(parts[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+  FROM (SELECT r, doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos
+        FROM (SELECT r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM rows))
 ), frequent AS (
-  SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+  SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.k IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN frequent f USING (k)
-GROUP BY doc_id
+GROUP BY r, doc_id
 """
