@@ -77,6 +77,13 @@ def html_links(pages: DataFrame) -> DataFrame:
     return html_runs(pages).filter("url IS NOT NULL").select("page_id", "pos", "url", F.trim("text").alias("text"))
 
 
+def link_counts(links: DataFrame) -> DataFrame:
+    """links with how many there are on their page and to their target, by partial counts and joins."""
+    page = links.groupBy("page_id").agg(F.count("*").alias("on_page"))
+    target = links.groupBy("url").agg(F.count("*").alias("to_target"))
+    return links.join(page, "page_id").join(target, "url").select(*links.columns, "on_page", "to_target")
+
+
 def outline(blocks: DataFrame, least: int = 1, most: int = 6) -> DataFrame:
     return blocks.filter(F.col("outline").between(least, most)).select("page_id", "block_no", "outline", "text")
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .text import numbered
+
 #: Paper sizes in millimetres, upright.
 PAPERS = {
     "A0": (841, 1189), "A1": (594, 841), "A2": (420, 594), "A3": (297, 420), "A4": (210, 297), "A5": (148, 210), "A6": (105, 148), "A7": (74, 105),
@@ -98,10 +100,22 @@ def snapshot_history(versions: DataFrame, depth: int = 100) -> DataFrame:
     return v.filter(F.col("age") <= depth).select("key", "id", "age", "undo", "redo")
 
 
-def intern_styles(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys, style_id, uses): an id for each combination, by first appearance from 1."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("uses"))
-    return first.withColumn("style_id", F.row_number().over(W.orderBy("first"))).drop("first")
+def intern_styles(rows: DataFrame, keys: list[str], order: list[str], default: dict | None = None, digits: int = 2) -> DataFrame:
+    """(keys, style_id, uses): an id for each combination, by first appearance from 1; the default one is 0.
+
+    Keys that are numbers are rounded to some digits first, so that what prints alike is one style.
+    """
+    numbers = {f.name for f in rows.schema.fields if f.dataType.typeName() in ("double", "float", "decimal")}
+    rows = rows.withColumns({k: F.round(F.col(k).cast("double"), digits) for k in keys if k in numbers})
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("uses"))
+    plain = F.lit(False)
+    if default is not None:
+        plain = F.lit(True)
+        for k in keys:
+            plain = plain & F.col(k).eqNullSafe(F.lit(default.get(k)))
+    first = first.withColumn("_plain", plain)
+    others = numbered(first.filter("NOT _plain"), ["_first", *keys], "style_id")
+    return others.unionByName(first.filter("_plain").withColumn("style_id", F.lit(0).cast("long"))).drop("_first", "_plain")
 
 
 def page_coordinates(items: DataFrame, height: float, gap: float = 10.0) -> DataFrame:

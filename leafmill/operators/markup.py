@@ -70,7 +70,10 @@ def md_runs(docs: DataFrame) -> DataFrame:
 
 
 def md_tables(docs: DataFrame) -> DataFrame:
-    """(doc_id, table_no, row_no, cell_no, is_header, align, text): pipe tables, told by their row of dashes."""
+    """(doc_id, table_no, row_no, cell_no, is_header, align, text): pipe tables, told by their row of dashes.
+
+    Rows with fewer cells than the rule are padded; cells beyond it have no alignment.
+    """
     w = W.partitionBy("doc_id").orderBy("line_no")
     t = _lines(docs).withColumn("pipe", F.col("line").rlike(r"^\s*\|.*\|\s*$"))
     t = t.withColumn("new", (F.col("pipe") & ~F.coalesce(F.lag("pipe").over(w), F.lit(False))).cast("int"))
@@ -79,11 +82,15 @@ def md_tables(docs: DataFrame) -> DataFrame:
     own = W.partitionBy("doc_id", "table_no").orderBy("line_no")
     t = t.withColumn("r", F.row_number().over(own) - 1)
     t = t.withColumn("cells", F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"))
+    width = F.max(F.when(F.col("rule"), F.size("cells"))).over(W.partitionBy("doc_id", "table_no"))
+    short = F.greatest(F.coalesce(width, F.lit(0)) - F.size("cells"), F.lit(0))
+    t = t.withColumn("cells", F.concat("cells", F.array_repeat(F.lit(""), short)))
     t = t.select("doc_id", "table_no", "r", "rule", F.posexplode("cells").alias("cell_no", "text"))
     aligned = t.filter("rule").select("doc_id", "table_no", "cell_no", F.when(F.trim("text").rlike("^:-+:$"), "center").when(F.trim("text").rlike("-:$"), "right").when(F.trim("text").rlike("^:"), "left").otherwise("none").alias("align"))
-    body = t.filter("NOT rule").join(aligned, ["doc_id", "table_no", "cell_no"])
+    ruled = t.filter("rule").select("doc_id", "table_no").distinct()  # lines of bars without a rule are no table
+    body = t.filter("NOT rule").join(ruled, ["doc_id", "table_no"], "left_semi").join(aligned, ["doc_id", "table_no", "cell_no"], "left")
     text = F.trim(F.replace("text", F.lit("\\|"), F.lit("|")))
-    return body.select("doc_id", "table_no", F.when(F.col("r") == 0, 0).otherwise(F.col("r") - 1).alias("row_no"), "cell_no", (F.col("r") == 0).alias("is_header"), "align", text.alias("text"))
+    return body.select("doc_id", "table_no", F.when(F.col("r") == 0, 0).otherwise(F.col("r") - 1).alias("row_no"), "cell_no", (F.col("r") == 0).alias("is_header"), F.coalesce("align", F.lit("none")).alias("align"), text.alias("text"))
 
 
 def html_cells(pages: DataFrame) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import decode_entities, twips_to_mm
 from .layout import snap_to_standard
+from .text import numbered
 
 #: Elements that the paragraph, table and image jobs read.
 KNOWN = ("w:document", "w:body", "w:p", "w:pPr", "w:pStyle", "w:outlineLvl", "w:r", "w:rPr", "w:t", "w:br", "w:tbl", "w:tblPr", "w:tr", "w:trPr", "w:tc", "w:tcPr", "w:tcW", "w:gridSpan", "w:vMerge", "w:tblHeader", "w:drawing", "a:blip", "w:sectPr")
@@ -44,11 +44,18 @@ def opaque_islands(parts: DataFrame) -> DataFrame:
     return out.select("pkg", "kind", "n", F.concat(F.lit("["), "kind", F.lit("]")).alias("label"))
 
 
+SIDES = ("left", "right", "top", "bottom")
+
+
 def intern_border_fills(cells: DataFrame, order: str) -> DataFrame:
-    """(pt, fill, mm, uses, fill_id): ids from 4 of each border width, snapped, and fill, by first appearance."""
-    s = snap_to_standard(cells)
-    first = s.groupBy("mm", "fill").agg(F.min(order).alias("first"), F.count("*").alias("uses"))
-    return first.withColumn("fill_id", F.row_number().over(W.orderBy("first", "mm", "fill")) + 3).drop("first")
+    """(left_mm, ..., bottom_mm, fill, uses, fill_id): ids from 4 of each set of four border widths (left_pt, ..., bottom_pt),
+    snapped to standard ones, and fill, by first appearance."""
+    s = cells
+    for side in SIDES:
+        s = snap_to_standard(s, f"{side}_pt").withColumnRenamed("mm", f"{side}_mm")
+    keys = [*(f"{side}_mm" for side in SIDES), "fill"]
+    first = s.groupBy(*keys).agg(F.min(order).alias("_first"), F.count("*").alias("uses"))
+    return numbered(first, ["_first", *keys], "fill_id", 4).drop("_first")
 
 
 def package_parts(files: DataFrame) -> DataFrame:

@@ -86,10 +86,12 @@ def find_all(blocks: DataFrame, query: str, case_sensitive: bool = True) -> Data
     if not case_sensitive:
         t, q = F.lower(t), F.lower(q)
     parts = F.split(t, "\\Q" + (query if case_sensitive else query.lower()) + "\\E", -1)
-    sized = blocks.filter(t.contains(q)).select("doc_id", "pos", F.transform(parts, lambda p: F.length(p)).alias("sizes"))
+    sized = blocks.filter(t.contains(q)).select("doc_id", "pos", F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p)).alias("sizes"))
     n = len(query)
-    ends = F.transform(F.sequence(F.lit(1), F.size("sizes") - 1), lambda k: F.aggregate(F.slice("sizes", 1, k), F.lit(0), lambda a, x: a + x) + (k - 1) * n)
-    return sized.select("doc_id", "pos", F.posexplode(ends).alias("hit", "off"))
+    # one row for each hit with the length before it; offsets are running sums
+    hits = sized.select("doc_id", "pos", F.posexplode("sizes").alias("hit", "size"))
+    before = F.sum("size").over(W.partitionBy("doc_id", "pos").orderBy("hit").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return hits.select("doc_id", "pos", "hit", (before + F.col("hit") * n).cast("int").alias("off"))
 
 
 def find_next(hits: DataFrame, start_pos, start_at) -> DataFrame:
@@ -110,15 +112,24 @@ def replace_all(docs: DataFrame, query: str, replacement: str, case_sensitive: b
     return docs.withColumn("n_replaced", n).withColumn("text", F.regexp_replace(t, pattern, quoted))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
+    """rows with a running number in an order of all of them, without bringing them to one task.
+
+    Rows are sorted in ranges; a range's numbers start after the counts of those before it, of which there is one row each.
+    """
+    spread = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
+    own = W.partitionBy("_range").orderBy(*order)
+    ranked = spread.withColumn("_rank", F.row_number().over(own))
+    sizes = spread.groupBy("_range").agg(F.count("*").alias("_m"))
+    before = sizes.withColumn("_before", F.sum("_m").over(W.orderBy("_range")) - F.col("_m")).drop("_m")
+    return ranked.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_rank") + (start - 1)).drop("_range", "_rank", "_before")  # a row for each range
+
+
 def dedupe_resources(resources: DataFrame) -> DataFrame:
     """resources (pos, content, ...) with sha256, the number and path of their stored part, in order of appearance."""
     hashed = resources.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
     first = hashed.groupBy("sha256").agg(F.min("pos").alias("first"), F.count("*").alias("copies"))
-    # numbers by appearance without a single task: ranks in ranges of positions, then the ranges' totals before
-    spans = first.withColumn("span", F.floor(F.col("first") / 4096))
-    sizes = spans.groupBy("span").agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(W.orderBy("span")) - F.col("m"))
-    number = F.col("before") + F.row_number().over(W.partitionBy("span").orderBy("first"))
-    parts = spans.join(sizes, "span").select("sha256", "copies", number.alias("number"))
+    parts = numbered(first, ["first"], "number").select("sha256", "copies", "number")
     path = F.format_string("resources/images/img-%04d.bin", F.col("number"))
     return hashed.join(parts.withColumn("path", path), "sha256")
 
@@ -139,7 +150,7 @@ def merge_fragments(fragments: DataFrame) -> DataFrame:
 
 def diff_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, pos, status) of blocks between two versions: added, removed, modified or clean."""
-    a = old.select("doc_id", "pos", F.xxhash64("text").alias("a"))
-    b = new.select("doc_id", "pos", F.xxhash64("text").alias("b"))
+    a = old.select("doc_id", "pos", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("a"))
+    b = new.select("doc_id", "pos", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("b"))
     status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified").otherwise("clean")
     return a.join(b, ["doc_id", "pos"], "full").select("doc_id", "pos", status.alias("status"))

@@ -110,7 +110,7 @@ def s11_seal_parts(spark, d):
 
 
 @query("""
-WITH wanted AS (SELECT doc_id AS id, source AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE doc_id % 2 = 0),
+WITH wanted AS (SELECT doc_id AS id, source AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
 existing AS (SELECT DISTINCT source AS name, 0 AS k FROM documents WHERE source <> 'src3'
              UNION SELECT DISTINCT source, (doc_id % 17)::INT FROM documents WHERE doc_id % 6 = 1 AND doc_id % 17 > 0),
 numbers AS (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) AS r
@@ -120,7 +120,7 @@ SELECT id, wanted.name || CASE WHEN k > 0 THEN '-' || k ELSE '' END || '.txt' AS
 FROM wanted JOIN numbers ON wanted.name = numbers.name AND wanted.r = numbers.r""")
 def s13_safe_output_names(spark, d):
     """A name per source, of which plain ones and some numbers are taken."""
-    wanted = docs(spark, d).filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.lit("txt").alias("ext"))
+    wanted = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("name"), F.lit("txt").alias("ext"))
     plain = docs(spark, d).filter("source <> 'src3'").select(F.col("source").alias("name"), F.lit("txt").alias("ext"))
     numbered = docs(spark, d).filter("doc_id % 6 = 1 AND doc_id % 17 > 0").select(F.concat("source", F.lit("-"), (F.col("doc_id") % 17).cast("string")).alias("name"), F.lit("txt").alias("ext"))
     return A.safe_output_names(wanted, plain.unionByName(numbered).distinct())

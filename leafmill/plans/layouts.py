@@ -94,9 +94,10 @@ def p4_html_runs(spark, d):
     return long(H.html_runs(pages(spark, d)), "pos")
 
 
-@query(f"WITH {BODY} SELECT page_id, pos, href AS url, {DECODE.format('tok')} AS text FROM placed WHERE kind = 'text' AND linked > 0 AND {DECODE.format('tok')} <> ''")
+@query(f"""WITH {BODY} SELECT page_id, pos, href AS url, {DECODE.format('tok')} AS text,
+  count(*) OVER (PARTITION BY page_id) AS on_page, count(*) OVER (PARTITION BY href) AS to_target FROM placed WHERE kind = 'text' AND linked > 0 AND {DECODE.format('tok')} <> ''""")
 def p5_html_links(spark, d):
-    return long(H.html_links(pages(spark, d)), "pos")
+    return long(H.link_counts(H.html_links(pages(spark, d))), "pos")
 
 
 @query(f"""WITH {TOKENS}, t AS (SELECT *, sum(CASE WHEN kind <> 'text' AND name IN ('p', 'para', 'title', 'section', 'li', 'row', 'td', 'div', 'h1') THEN 1 ELSE 0 END)
@@ -234,11 +235,14 @@ def w12_snapshot_history(spark, d):
     return L.snapshot_history(read_table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 20).withColumn("age", F.col("age").cast("long"))
 
 
-@query("""WITH f AS (SELECT l_discount, l_tax, min(l_orderkey * 10 + l_linenumber) AS first, count(*) AS uses FROM lineitem GROUP BY 1, 2)
-SELECT l_discount, l_tax, uses, row_number() OVER (ORDER BY first, l_discount, l_tax) AS style_id FROM f""")
+@query("""WITH r AS (SELECT round(l_quantity::DOUBLE / 3, 1) AS size, l_returnflag AS face, l_orderkey * 10 + l_linenumber AS o FROM lineitem),
+f AS (SELECT size, face, min(o) AS first, count(*) AS uses FROM r GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (ORDER BY first, size, face) AS style_id FROM f WHERE NOT (size = 5 AND face = 'N'))
+SELECT size, face, uses, style_id FROM n UNION ALL SELECT size, face, uses, 0 FROM f WHERE size = 5 AND face = 'N'""")
 def a7_intern_styles(spark, d):
-    r = read_table(spark, d, "lineitem").withColumn("at", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return long(L.intern_styles(r, ["l_discount", "l_tax"], ["at", "l_discount", "l_tax"]), "style_id")
+    """Sizes, rounded to a tenth, and faces of runs; 5 and N is the default."""
+    r = read_table(spark, d, "lineitem").select((F.col("l_quantity").cast("double") / 3).alias("size"), F.col("l_returnflag").alias("face"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return L.intern_styles(r, ["size", "face"], ["at"], {"size": 5.0, "face": "N"}, 1)
 
 
 @query("""WITH i AS (SELECT l_orderkey, l_linenumber, (l_linenumber - 1)::INT AS page, l_quantity::DOUBLE * 7 AS y_mm FROM lineitem),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import html as H
 from ..operators import joins as J
 from ..operators import markup as M
+from ..operators.layout import WIDTHS
 from ..sources.tables import read_table
 from ..streaming import streams as S
 from .documents import LINES, STATS, docs, paragraphs
@@ -59,25 +61,34 @@ def p11_md_blocks(spark, d):
     return M.md_blocks(joined(plain_lines(spark, d), "doc_id", "pos", line, "\n\n")).withColumn("checked", F.col("checked").cast("string"))
 
 
-@query(f"""WITH {LINES}, l AS (SELECT doc_id, pos, {PLAIN} AS t FROM lines WHERE pos < 6)
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, pos, {PLAIN} AS t FROM lines)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS run_no, ['strong', 'em', 'strike', 'code', 'link', 'math'][pos % 6 + 1] AS kind, t AS text,
   CASE WHEN pos % 6 = 4 THEN 'u/' || pos END AS url FROM l WHERE t <> ''""")
 def p12_md_runs(spark, d):
     k, t = F.col("pos") % 6, F.col("t")
     wrap = lambda m: F.concat(F.lit(m), t, F.lit(m))
     line = F.when(k == 0, wrap("**")).when(k == 1, wrap("*")).when(k == 2, wrap("~~")).when(k == 3, wrap("`")).when(k == 4, F.concat(F.lit("["), t, F.lit("](u/"), F.col("pos").cast("string"), F.lit(")"))).otherwise(wrap("$"))
-    return M.md_runs(joined(plain_lines(spark, d).filter("pos < 6"), "doc_id", "pos", line, ""))
+    return M.md_runs(joined(plain_lines(spark, d), "doc_id", "pos", line, ""))
 
 
-NATION = "n AS (SELECT n_regionkey AS doc_id, n_nationkey, n_name, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS r FROM nation)"
+#: A table for each order, with a row for each item.
+ITEMS = """i AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, max(l_returnflag || l_linestatus) AS name FROM lineitem GROUP BY 1, 2),
+n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT AS r FROM i)"""
 
 
-@query(f"""WITH {NATION}, rows_ AS (SELECT doc_id, r, n_nationkey::VARCHAR AS a, n_name AS b FROM n UNION ALL SELECT DISTINCT doc_id, 0, 'key', 'a|b' FROM n)
+def items(spark, d, key: str):
+    i = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias(key), F.col("l_linenumber").alias("k"))
+    return i.agg(F.max(F.concat("l_returnflag", "l_linestatus")).alias("name"))
+
+
+@query(f"""WITH {ITEMS}, rows_ AS (SELECT doc_id, r, k::VARCHAR AS a, CASE WHEN r % 3 = 0 THEN '' ELSE name END AS b FROM n UNION ALL SELECT DISTINCT doc_id, 0, 'key', 'a|b' FROM n)
 SELECT doc_id, 1 AS table_no, r AS row_no, 0 AS cell_no, r = 0 AS is_header, 'right' AS align, a AS text FROM rows_
-UNION ALL SELECT doc_id, 1, r, 1, r = 0, 'left', b FROM rows_""")
+UNION ALL SELECT doc_id, 1, r, 1, r = 0, 'left', b FROM rows_ UNION ALL SELECT doc_id, 1, r, 2, false, 'none', 'more' FROM n WHERE r % 3 = 1""")
 def p13_md_tables(spark, d):
-    n = read_table(spark, d, "nation").select(F.col("n_regionkey").alias("doc_id"), "n_nationkey", "n_name")
-    body = joined(n, "doc_id", "n_nationkey", F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), "n_name", F.lit(" |")))
+    """Every third row lacks a cell, which is padded; another third has one beyond the rule."""
+    cells = F.when(F.col("r") % 3 == 0, F.lit(" |")).when(F.col("r") % 3 == 1, F.concat(F.lit(" | "), "name", F.lit(" | more |"))).otherwise(F.concat(F.lit(" | "), "name", F.lit(" |")))
+    n = items(spark, d, "doc_id").withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("k")))
+    body = joined(n, "doc_id", "k", F.concat(F.lit("| "), F.col("k").cast("string"), cells))
     t = body.select("doc_id", F.concat(F.lit("text before\n\n| key | a\\|b |\n| ---: | :--- |\n"), "text", F.lit("\n\nafter")).alias("text"))
     out = M.md_tables(t)
     return out.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("table_no", "row_no", "cell_no")], "is_header", "align", "text")
@@ -92,23 +103,22 @@ def p14_md_images(spark, d):
 # ---- HTML -----------------------------------------------------------------------------------------------------------
 
 
-def nation_tables(spark, d):
-    n = read_table(spark, d, "nation")
-    row = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit('</td><td rowspan="1" colspan="2">'), "n_name", F.lit("</td></tr>"))
-    body = joined(n.select(F.col("n_regionkey").alias("page_id"), "n_nationkey", "n_name"), "page_id", "n_nationkey", row, "")
+def item_tables(spark, d):
+    row = F.concat(F.lit("<tr><td>"), F.col("k").cast("string"), F.lit('</td><td rowspan="1" colspan="2">'), "name", F.lit("</td></tr>"))
+    body = joined(items(spark, d, "page_id"), "page_id", "k", row, "")
     head = "<table><thead><tr><th>key</th><th colspan=2>name &amp; all</th></tr></thead><tbody>"
     return body.select("page_id", F.concat(F.lit(head), "text", F.lit("</tbody></table>")).alias("html"))
 
 
-@query(f"""WITH {NATION}, rows_ AS (SELECT doc_id, r, n_nationkey::VARCHAR AS a, n_name AS b FROM n UNION ALL SELECT DISTINCT doc_id, 0, 'key', 'name & all' FROM n)
+@query(f"""WITH {ITEMS}, rows_ AS (SELECT doc_id, r, k::VARCHAR AS a, name AS b FROM n UNION ALL SELECT DISTINCT doc_id, 0, 'key', 'name & all' FROM n)
 SELECT doc_id AS page_id, r AS row_no, 0 AS cell_no, r = 0 AS is_header, 1 AS row_span, 1 AS col_span, a AS text FROM rows_ UNION ALL SELECT doc_id, r, 1, r = 0, 1, 2, b FROM rows_""")
 def p7_html_cells(spark, d):
-    return M.html_cells(nation_tables(spark, d)).drop("table_no")
+    return M.html_cells(item_tables(spark, d)).drop("table_no")
 
 
-@query("SELECT n_regionkey AS page_id, count(*) + 1 AS n_rows, 3::BIGINT AS n_cols, 1::BIGINT AS n_heads, 3 * (count(*) + 1) AS grid FROM nation GROUP BY 1")
+@query("SELECT l_orderkey AS page_id, count(DISTINCT l_linenumber) + 1 AS n_rows, 3::BIGINT AS n_cols, 1::BIGINT AS n_heads, 3 * (count(DISTINCT l_linenumber) + 1) AS grid FROM lineitem GROUP BY 1")
 def a11_table_shape(spark, d):
-    return M.table_shape(M.html_cells(nation_tables(spark, d)), "page_id").drop("table_no")
+    return M.table_shape(M.html_cells(item_tables(spark, d)), "page_id").drop("table_no")
 
 
 @query("""SELECT doc_id AS page_id, CASE WHEN doc_id % 2 = 0 THEN 'image/jpeg' ELSE 'image/gif' END AS media, source AS alt, round((doc_id % 500) * 25.4::DOUBLE / 96.0::DOUBLE, 3) AS width_mm,
@@ -337,14 +347,13 @@ def st5_undo_state(spark, d):
 # ---- Formats and layout ---------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, 0 AS code, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '\\n$', ''), '\\n', chr(10) || chr(10), 'g')) AS sha256 FROM documents
-  WHERE NOT regexp_matches(coalesce(text, ''), '[\\\\`*_\\[\\]<>#~|^]')""")
+@query("""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 4 ELSE 0 END AS code, CASE WHEN coalesce(text, '') <> '' THEN
+  sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\n$', ''), '\\r(\\n|$)', '\\1', 'g'), '([\\\\`*_\\[\\]<>#~|^])', '\\\\\\1', 'g'), '\\n', chr(10) || chr(10), 'g')) END AS sha256 FROM documents""")
 def u1_codec_registry(spark, d):
-    """Plain text to Markdown by registered formats, for documents without characters that Markdown escapes."""
+    """Plain text to Markdown by registered formats."""
     from ..operators.codecs import default_registry
 
-    plain = docs(spark, d).filter(~F.coalesce("text", F.lit("")).rlike(r"[\\`*_\[\]<>#~|^]")).select("doc_id", "text")
-    return default_registry(spark).convert(plain, "txt", "md").select("doc_id", "code", F.sha2("text", 256).alias("sha256"))
+    return default_registry(spark).convert(docs(spark, d).select("doc_id", "text"), "txt", "md").select("doc_id", "code", F.sha2("text", 256).alias("sha256"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'textbox' WHEN 1 THEN 'table' WHEN 2 THEN 'image' ELSE 'shape' END AS kind,
@@ -391,8 +400,7 @@ def w7_paginate(spark, d):
     return L.paginate(b, 20000, 2)
 
 
-@query("""WITH n AS (SELECT n_regionkey AS pkg, n_nationkey, n_name, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT AS r FROM nation),
-rows_ AS (SELECT pkg, r, n_nationkey::VARCHAR AS a, n_name AS b FROM n UNION ALL SELECT DISTINCT pkg, 0, 'key', 'name' FROM n)
+@query(f"""WITH {ITEMS}, rows_ AS (SELECT doc_id AS pkg, r, k::VARCHAR AS a, name AS b FROM n UNION ALL SELECT DISTINCT doc_id, 0, 'key', 'name' FROM n)
 SELECT pkg, 0 AS table_no, r AS row_no, 0 AS cell_no, r = 0 AS is_header, 1 AS col_span, 25.4::DOUBLE AS width_mm, a AS text FROM rows_
 UNION ALL SELECT pkg, 0, r, 1, r = 0, 2, 50.8, b FROM rows_""")
 def p21_office_tables(spark, d):
@@ -402,9 +410,9 @@ def p21_office_tables(spark, d):
         return F.concat(F.lit(f'<w:tc><w:tcPr><w:tcW w:w="{width}"/>{span}</w:tcPr><w:p><w:r><w:t>'), text, F.lit("</w:t></w:r></w:p></w:tc>"))
 
     wide = '<w:gridSpan w:val="2"/>'
-    row = F.concat(F.lit("<w:tr>"), cell(F.col("n_nationkey").cast("string"), 1440), cell(F.col("n_name"), 2880, wide), F.lit("</w:tr>"))
+    row = F.concat(F.lit("<w:tr>"), cell(F.col("k").cast("string"), 1440), cell(F.col("name"), 2880, wide), F.lit("</w:tr>"))
     head = F.concat(F.lit("<w:tr><w:trPr><w:tblHeader/></w:trPr>"), cell(F.lit("key"), 1440), cell(F.lit("name"), 2880, wide), F.lit("</w:tr>"))
-    body = joined(read_table(spark, d, "nation").select(F.col("n_regionkey").alias("pkg"), "n_nationkey", "n_name"), "pkg", "n_nationkey", row, "")
+    body = joined(items(spark, d, "pkg"), "pkg", "k", row, "")
     return O.office_tables(body.select("pkg", F.concat(F.lit("<w:body><w:tbl>"), head, "text", F.lit("</w:tbl></w:body>")).alias("content")))
 
 
@@ -433,15 +441,18 @@ def p23_opaque_islands(spark, d):
     return O.opaque_islands(docs(spark, d).select(F.col("doc_id").alias("pkg"), c.alias("content")))
 
 
-LADDER = ", ".join(f"({k}, {w}::DOUBLE)" for k, w in enumerate((0.1, 0.12, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0)))
+LADDER = ", ".join(f"({k}, {w}::DOUBLE)" for k, w in enumerate(WIDTHS))
 
 
-@query(f"""WITH ladder(k, w) AS (VALUES {LADDER}), v AS (SELECT l_orderkey * 10 + l_linenumber AS o, l_quantity::DOUBLE / 4 - 1 AS pt, l_discount AS fill FROM lineitem),
-w AS (SELECT pt, CASE WHEN pt <= 0 THEN 0.12 ELSE (SELECT arg_min(w, abs(w - pt * 0.3527777778::DOUBLE) * 1e6 + k * 1e-9) FROM ladder) END AS mm FROM (SELECT DISTINCT pt FROM v)),
-f AS (SELECT mm, fill, min(o) AS first, count(*) AS uses FROM v JOIN w USING (pt) GROUP BY 1, 2)
-SELECT mm, fill, uses, (row_number() OVER (ORDER BY first, mm, fill) + 3)::INT AS fill_id FROM f""")
+@query(f"""WITH ladder(k, w) AS (VALUES {LADDER}), v AS (SELECT l_orderkey * 10 + l_linenumber AS o, l_quantity::DOUBLE / 4 - 1 AS l, l_linenumber::DOUBLE AS r, l_discount AS fill FROM lineitem),
+w AS (SELECT pt, CASE WHEN pt <= 0 THEN 0.12 ELSE (SELECT arg_min(w, abs(w - pt * 0.3527777778::DOUBLE) * 1e6 + k * 1e-9) FROM ladder) END AS mm FROM (SELECT l AS pt FROM v UNION SELECT r FROM v UNION SELECT 1.0 UNION SELECT 0.0)),
+f AS (SELECT a.mm AS left_mm, b.mm AS right_mm, fill, min(o) AS first, count(*) AS uses FROM v JOIN w a ON a.pt = l JOIN w b ON b.pt = r GROUP BY 1, 2, 3)
+SELECT left_mm, right_mm, (SELECT mm FROM w WHERE pt = 1) AS top_mm, 0.12::DOUBLE AS bottom_mm, fill, uses, (row_number() OVER (ORDER BY first, left_mm, right_mm, fill) + 3)::BIGINT AS fill_id FROM f""")
 def a8_intern_border_fills(spark, d):
     from ..operators import office as O
 
-    c = read_table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), (F.col("l_quantity").cast("double") / 4 - 1).alias("pt"), F.col("l_discount").alias("fill"))
+    c = read_table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), (F.col("l_quantity").cast("double") / 4 - 1).alias("left_pt"), F.col("l_linenumber").cast("double").alias("right_pt"),
+        F.lit(1.0).alias("top_pt"), F.lit(0.0).alias("bottom_pt"), F.col("l_discount").alias("fill"),
+    )
     return O.intern_border_fills(c, "at")

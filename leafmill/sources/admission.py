@@ -52,25 +52,41 @@ def binary_reject(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("rejected", F.coalesce(looks_binary(F.col(content)), F.lit(False)))
 
 
+#: Declared names and the character sets that decode them; other names are read as UTF-8.
+CHARSETS = {
+    "utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "ascii": "US-ASCII", "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf-16": "UTF-16BE", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE",
+    "euc-kr": "EUC-KR", "ks_c_5601-1987": "x-windows-949", "cp949": "x-windows-949", "windows-949": "x-windows-949", "uhc": "x-windows-949", "iso-2022-kr": "ISO-2022-KR",
+    "shift_jis": "Shift_JIS", "sjis": "Shift_JIS", "windows-31j": "windows-31j", "euc-jp": "EUC-JP", "iso-2022-jp": "ISO-2022-JP",
+    "gb2312": "GB2312", "gbk": "GBK", "gb18030": "GB18030", "big5": "Big5", "koi8-r": "KOI8-R", "koi8-u": "KOI8-U", "macintosh": "x-MacRoman", "ibm866": "IBM866",
+    **{f"windows-{n}": f"windows-{n}" for n in range(1250, 1259)}, **{f"iso-8859-{n}": f"ISO-8859-{n}" for n in (2, 3, 4, 5, 6, 7, 8, 9, 13, 15)},
+}
 def detect_encoding(files: DataFrame, content: str = "content", kind: str = "html") -> DataFrame:
     """files with encoding and decoded text: by byte order mark, then the declaration in the head, else UTF-8."""
     raw = F.col(content)
     mark = F.hex(F.substring(raw, 1, 4))
     head = F.decode(F.substring(raw, 1, 4096 if kind == "html" else 256), "ISO-8859-1")
     said = F.lower(F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)" if kind == "html" else r"(?i)<\?xml[^>]*encoding\s*=\s*[\"']([A-Za-z0-9_:.-]+)", 1))
-    known = {"utf-8": "utf-8", "utf8": "utf-8", "us-ascii": "us-ascii", "iso-8859-1": "iso-8859-1", "latin1": "iso-8859-1", "utf-16": "utf-16", "utf-16le": "utf-16le", "utf-16be": "utf-16be"}
+    names = {k: k if k not in ("utf8", "latin1", "ascii") else v.lower() for k, v in CHARSETS.items()}
     enc = (
         F.when(mark.startswith("EFBBBF"), "utf-8-bom").when(mark.startswith("FFFE"), "utf-16le-bom").when(mark.startswith("FEFF"), "utf-16be-bom")
-        .otherwise(_lookup(said, known, "utf-8"))
-    )
-    text = (
-        F.when(F.col("encoding") == "utf-8-bom", F.decode(F.substring(raw, 4, 2147483647), "UTF-8"))
-        .when(F.col("encoding") == "utf-16le-bom", F.decode(F.substring(raw, 3, 2147483647), "UTF-16LE"))
-        .when(F.col("encoding") == "utf-16be-bom", F.decode(F.substring(raw, 3, 2147483647), "UTF-16BE"))
-        .when(F.col("encoding") == "utf-16le", F.decode(raw, "UTF-16LE")).when(F.col("encoding").isin("utf-16", "utf-16be"), F.decode(raw, "UTF-16BE"))
-        .when(F.col("encoding").isin("iso-8859-1", "us-ascii"), F.decode(raw, "ISO-8859-1")).otherwise(F.decode(raw, "UTF-8"))
+        .otherwise(_lookup(said, names, "utf-8"))
     )
-    return files.withColumn("encoding", enc).withColumn("text", text)
+    out = files.withColumn("encoding", enc)
+    e = F.col("encoding")
+    text = F.when(e == "utf-8-bom", F.decode(F.substring(raw, 4, 2147483647), "UTF-8"))
+    for bom, charset in (("utf-16le-bom", "UTF-16LE"), ("utf-16be-bom", "UTF-16BE")):
+        text = text.when(e == bom, F.decode(F.substring(raw, 3, 2147483647), charset))
+    spark = files.sparkSession
+    setting = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")  # read when the expression is made: other character sets than the few of the standard
+    try:
+        for charset in dict.fromkeys(CHARSETS.values()):
+            own = [k for k, v in names.items() if CHARSETS[k] == charset]
+            text = text.when(e.isin(*own, *(names[k] for k in own)), F.decode(raw, "ISO-8859-1" if charset == "US-ASCII" else charset))
+        return out.withColumn("text", text.otherwise(F.decode(raw, "UTF-8")))
+    finally:
+        spark.conf.set(setting, before)
 
 
 def sniff_xhtml(docs: DataFrame, content: str = "content") -> DataFrame:
@@ -98,19 +114,19 @@ def verify_manifest(parts: DataFrame, manifest: DataFrame, verify: bool = True)
 def safe_output_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """(id, target) for wanted (id, name, ext): name.ext, or the first free name-1.ext, name-2.ext, ...
 
-    Free numbers are found per name by a window over the numbers that existing files (name, ext) use up.
+    Free numbers are found per name by one window over the wanted rows and the numbers that existing files (name, ext)
+    use up, so the work grows with the rows of a name, not with their pairs.
     """
-    base = F.regexp_extract("name", r"^(.*)-([1-9][0-9]{0,3})$", 1)
-    taken = existing.select("name", "ext", F.lit(0).alias("k")).unionByName(
-        existing.select(base.alias("name"), "ext", F.regexp_extract("name", r"^(.*)-([1-9][0-9]{0,3})$", 2).try_cast("int").alias("k")).filter(F.col("k").isNotNull() & (F.col("name") != ""))
-    ).distinct()
+    rx = r"^(.*)-([1-9][0-9]{0,17})$"
+    numbered = existing.select(F.regexp_extract("name", rx, 1).alias("name"), "ext", F.regexp_extract("name", rx, 2).try_cast("long").alias("k"))
+    taken = existing.select("name", "ext", F.lit(0).cast("long").alias("k")).unionByName(numbered.filter(F.col("k").isNotNull() & (F.col("name") != ""))).distinct()
     # the n-th free number of a name is n-1 plus the used numbers before it: used numbers k_j shift ranks past k_j - j
-    w = W.partitionBy("name", "ext").orderBy("k")
-    steps = taken.withColumn("shift_at", F.col("k") - F.row_number().over(w) + 1).groupBy("name", "ext", "shift_at").agg(F.count("*").alias("m"))
-    ranked = wanted.withColumn("r", F.row_number().over(W.partitionBy("name", "ext").orderBy("id")) - 1)
-    shifted = ranked.join(steps, (ranked["name"] == steps["name"]) & (ranked["ext"] == steps["ext"]) & (steps["shift_at"] <= ranked["r"]), "left").groupBy(ranked["id"], ranked["name"], ranked["ext"], "r").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"))
-    k = F.col("r") + F.col("m")
-    return shifted.select("id", F.concat("name", F.when(k > 0, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit("."), "ext").alias("target"))
+    own = W.partitionBy("name", "ext")
+    steps = taken.select("name", "ext", (F.col("k") - F.row_number().over(own.orderBy("k")) + 1).alias("at"), F.lit(0).alias("asked"), F.lit(None).alias("id"))
+    ranked = wanted.select("name", "ext", (F.row_number().over(own.orderBy("id")) - 1).cast("long").alias("at"), F.lit(1).alias("asked"), "id")
+    used = F.sum(1 - F.col("asked")).over(own.orderBy("at", "asked").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = steps.withColumn("id", F.col("id").cast(ranked.schema["id"].dataType)).unionByName(ranked).withColumn("k", F.col("at") + used).filter("asked = 1")
+    return placed.select("id", F.concat("name", F.when(F.col("k") > 0, F.concat(F.lit("-"), F.col("k").cast("string"))).otherwise(""), F.lit("."), "ext").alias("target"))
 
 
 def seal_parts(parts: DataFrame, key: bytes) -> DataFrame:
