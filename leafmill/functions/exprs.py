@@ -159,3 +159,14 @@ def infer_heading(points) -> F.Column:
     for level, least in ((6, 11.5), (5, 12.5), (4, 14), (3, 16), (2, 19), (1, 23)):
         out = F.when(points >= least, level).otherwise(out)
     return out.cast("int")
+
+
+def field_text(field, at=None, page=None, pages=None, author=None, title=None) -> F.Column:
+    """What a field placeholder of a run shows: date, time, page, pages, author or title; empty for what is not known."""
+    none = F.lit(None).cast("string")
+    text = lambda c: none if c is None else c.cast("string")
+    shown = {"date": none if at is None else F.date_format(at, "yyyy-MM-dd"), "time": none if at is None else F.date_format(at, "HH:mm"), "page": text(page), "pages": text(pages), "author": text(author), "title": text(title)}
+    out = F.lit(None).cast("string")
+    for name, value in shown.items():
+        out = F.when(F.lower(field) == name, value).otherwise(out)
+    return F.coalesce(out, F.lit(""))

@@ -17,6 +17,7 @@ Transform = Callable[[DataFrame], DataFrame]
 class Codec:
     to_blocks: Transform | None
     from_blocks: Transform | None
+    refuse: Callable | None = None  # a text column to an outcome code, 0 for what can be read
 
 
 class CodecRegistry:
@@ -25,25 +26,54 @@ class CodecRegistry:
     def __init__(self):
         self._codecs: dict[str, Codec] = {}
 
-    def register(self, format_id: str, to_blocks: Transform | None = None, from_blocks: Transform | None = None) -> None:
-        self._codecs[format_id] = Codec(to_blocks, from_blocks)
+    def register(self, format_id: str, to_blocks: Transform | None = None, from_blocks: Transform | None = None, refuse: Callable | None = None) -> None:
+        self._codecs[format_id] = Codec(to_blocks, from_blocks, refuse)
 
     def __contains__(self, format_id: str) -> bool:
         return format_id in self._codecs
 
     def convert(self, docs: DataFrame, source: str, target: str) -> DataFrame:
-        """(doc_id, text, code) of (doc_id, text): 0 converted, 3 for no such pair of formats, 4 for an empty document."""
+        """(doc_id, text, code) of (doc_id, text): 0 converted, 3 for no such pair of formats, 4 for an empty document, 5 for one
+        that is damaged or not allowed, 6 for one of too old a version."""
         a, b = self._codecs.get(source), self._codecs.get(target)
         empty = F.coalesce("text", F.lit("")) == ""
         if a is None or b is None or a.to_blocks is None or b.from_blocks is None:
             return docs.select("doc_id", F.lit(None).cast("string").alias("text"), F.when(empty, 4).otherwise(3).alias("code"))
-        out = b.from_blocks(a.to_blocks(docs.filter(~empty)))
-        return docs.select("doc_id", empty.alias("_e")).join(out, "doc_id", "left").select("doc_id", "text", F.when(F.col("_e"), 4).otherwise(0).alias("code"))
+        code = F.when(empty, 4).otherwise(a.refuse(F.col("text")) if a.refuse else F.lit(0)).alias("_code")
+        out = b.from_blocks(a.to_blocks(docs.filter(code == 0).select("doc_id", "text")))
+        return docs.select("doc_id", code).join(out, "doc_id", "left").select("doc_id", "text", F.col("_code").alias("code"))
 
     def views(self, docs: DataFrame, source: str) -> None:
-        """Temporary views `blocks` and `documents_in` for use from spark.sql."""
+        """Temporary views `documents_in`, `blocks`, `runs`, `cells`, `notes` and `parts` for use from spark.sql, as far as the
+        format has them."""
         docs.createOrReplaceTempView("documents_in")
         self._codecs[source].to_blocks(docs).createOrReplaceTempView("blocks")
+        page = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))
+        if source in ("html", "xhtml"):
+            html.html_runs(page).createOrReplaceTempView("runs")
+            markup.html_cells(page).createOrReplaceTempView("cells")
+            markup.html_notes(page).createOrReplaceTempView("notes")
+        elif source == "md":
+            markup.md_runs(docs).createOrReplaceTempView("runs")
+            markup.md_tables(docs).createOrReplaceTempView("cells")
+        docs.select(F.col("doc_id").alias("pkg"), F.lit("document").alias("path"), F.col("text").cast("binary").alias("content")).createOrReplaceTempView("parts")
+
+
+def convert_corpus(registry: CodecRegistry, docs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(from, to, doc_id, text, code) of documents (doc_id, from, to, text): each converted as it asks for.
+
+    pairs are the formats that are asked for; a document that asks for another pair has code 3.
+    """
+    wanted = [F.lit(False)] + [(F.col("from") == a) & (F.col("to") == b) for a, b in pairs]
+    known = wanted[0]
+    for w in wanted[1:]:
+        known = known | w
+    none = F.lit(None).cast("string")
+    out = docs.filter(~F.coalesce(known, F.lit(False))).select("from", "to", "doc_id", none.alias("text"), F.when(F.coalesce("text", F.lit("")) == "", 4).otherwise(3).alias("code"))
+    for (a, b), w in zip(pairs, wanted[1:], strict=True):
+        done = registry.convert(docs.filter(w).select("doc_id", "text"), a, b)
+        out = out.unionByName(done.select(F.lit(a).alias("from"), F.lit(b).alias("to"), "doc_id", "text", "code"))
+    return out
 
 
 def _from_txt(docs: DataFrame) -> DataFrame:
@@ -61,6 +91,27 @@ def _from_md(docs: DataFrame) -> DataFrame:
     return b.select("doc_id", F.col("block_no").alias("pos"), kind.alias("kind"), F.when(F.col("kind") == "heading", F.col("level")).otherwise(0).alias("level"), "text")
 
 
+def _from_xml(docs: DataFrame) -> DataFrame:
+    b = html.xml_paragraphs(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html")))
+    return b.select(F.col("page_id").alias("doc_id"), F.col("n").alias("pos"), F.lit("paragraph").alias("kind"), F.lit(0).alias("level"), "text")
+
+
+def _from_docx(docs: DataFrame) -> DataFrame:
+    b = markup.office_paragraphs(docs.select(F.col("doc_id").alias("pkg"), F.col("text").alias("content")))
+    return b.select(F.col("pkg").alias("doc_id"), "pos", F.when(F.col("outline") > 0, "heading").otherwise("paragraph").alias("kind"), F.col("outline").alias("level"), "text")
+
+
+def has_doctype_entities(text) -> F.Column:
+    """5 for XML whose document type declares anything, 0 otherwise."""
+    return F.when(F.substring(text, 1, 4096).rlike(r"(?is)<!DOCTYPE[^>]*\[|<!ENTITY"), 5).otherwise(0)
+
+
+def too_old(text, least: float = 15.0) -> F.Column:
+    """6 for a document part with an application version below the least one, 0 otherwise and without any."""
+    v = F.regexp_extract(text, r"<AppVersion>(\d+(?:\.\d+)?)", 1).try_cast("double")
+    return F.when(v < least, 6).otherwise(0)
+
+
 def _page_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.col("doc_id").alias("page_id"), F.col("pos").alias("block_no"), "kind", F.col("level").alias("outline"), F.lit(1).alias("list_level"), F.lit(0).alias("quote_level"), "text")
 
@@ -75,5 +126,7 @@ def default_registry(spark: SparkSession | None = None) -> CodecRegistry:
     r.register("txt", _from_txt, lambda b: text.to_plain_text(b))
     r.register("html", _from_html, lambda b: _rename(markup.to_html(_page_blocks(b))))
     r.register("xhtml", _from_html, lambda b: _rename(markup.to_html(_page_blocks(b), xhtml=True)))
+    r.register("xml", _from_xml, None, has_doctype_entities)
+    r.register("docx", _from_docx, None, too_old)
     r.register("md", _from_md, lambda b: _rename(html.to_markdown(_page_blocks(b))))
     return r

@@ -20,11 +20,13 @@ def resolve_notes(refs: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def rehydrate_resources(images: DataFrame, parts: DataFrame, external) -> DataFrame:
-    """images (doc_id, path) with size and status: external, ok, or missing where no part has the path."""
-    p = parts.select("path", F.octet_length("content").alias("size"), F.lit(True).alias("_there")).dropDuplicates(["path"])
-    out = images.withColumn("_external", external).join(p, "path", "left")
+    """images (doc_id, path) with content, size and status: external, ok, or missing where no part (doc_id, path) has the path."""
+    p = parts.select("doc_id", "path", "content", F.lit(True).alias("_there")).dropDuplicates(["doc_id", "path"])
+    out = images.withColumn("_external", external)
+    out = out.join(p, ["doc_id", "path"], "left")
     status = F.when(F.col("_external"), "external").when(F.col("_there"), "ok").otherwise("missing")
-    return out.select("doc_id", "path", F.when(~F.col("_external"), F.col("size")).alias("size"), status.alias("status"))
+    content = F.when(~F.col("_external"), F.col("content"))
+    return out.select("doc_id", "path", content.alias("content"), F.octet_length(content).alias("size"), status.alias("status"))
 
 
 def resolve_part_path(refs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -64,6 +66,19 @@ def provenance_join(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     return b.join(a, ["doc_id", "node_id"], "full").select("doc_id", "node_id", state.alias("state"))
 
 
+def provenance_coverage(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(format, state, n): how many nodes of each format are anchored, unanchored (no format) or orphans."""
+    b = blocks.select("doc_id", "node_id", F.lit(True).alias("b"))
+    a = anchors.select("doc_id", "node_id", "format", F.lit(True).alias("a"))
+    state = F.when(F.col("a").isNull(), "unanchored").when(F.col("b").isNull(), "orphan").otherwise("anchored")
+    return b.join(a, ["doc_id", "node_id"], "full").groupBy("format", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def status_rollup(blocks: DataFrame) -> DataFrame:
+    """(doc_id, clean, modified, opaque, degraded): blocks (doc_id, status) by status."""
+    return blocks.groupBy("doc_id").agg(*[F.count(F.when(F.col("status") == k, 1)).alias(k) for k in ("clean", "modified", "opaque", "degraded")])
+
+
 def export_plan(blocks: DataFrame, anchors: DataFrame, target: str) -> DataFrame:
     """(doc_id, node_id, action) for blocks (status) and anchors (format): what a writer of the target format does."""
     same = F.coalesce(F.col("format") == target, F.lit(False))
@@ -74,20 +89,34 @@ def export_plan(blocks: DataFrame, anchors: DataFrame, target: str) -> DataFrame
     return blocks.join(anchors.select("doc_id", "node_id", "format"), ["doc_id", "node_id"], "left").select("doc_id", "node_id", action.alias("action"))
 
 
+#: Rows of a catalogue up to which it is sent to all tasks.
+SMALL_CATALOGUE = 10_000
+
+
 def resolve_emoji(runs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """runs (id, key) with the catalogue's (section, name, glyph) for Section_name; unknown keys stay as text."""
     r = runs.withColumns({"section": F.regexp_extract("key", "^([^_]*)_", 1), "name": F.regexp_extract("key", "^[^_]*_(.*)$", 1)})
-    return r.join(F.broadcast(catalogue), ["section", "name"], "left").select("id", F.coalesce("glyph", "key").alias("text"))  # a fixed catalogue
+    small = catalogue.limit(SMALL_CATALOGUE + 1).count() <= SMALL_CATALOGUE
+    return r.join(F.broadcast(catalogue) if small else catalogue, ["section", "name"], "left").select("id", F.coalesce("glyph", "key").alias("text"))
 
 
-def package_admission(parts: DataFrame, least=(15, 0)) -> DataFrame:
-    """(pkg, code): 0 taken in, 5 damaged (no mimetype or document, or encrypted), 6 written by too old a version."""
-    has = lambda p: F.max((F.col("path") == p).cast("int"))
-    version = F.max(F.when(F.col("path") == "docProps/app.xml", F.regexp_extract("content", "<AppVersion>([0-9.]+)</AppVersion>", 1)))
-    p = parts.groupBy("pkg").agg(has("mimetype").alias("mime"), has("word/document.xml").alias("core"), has("encryption.xml").alias("locked"), version.alias("v"))
-    numbers = F.transform(F.split("v", r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
-    old = F.coalesce(F.col("v") != "", F.lit(False)) & (F.concat(numbers, F.array(F.lit(0))) < F.array(*map(F.lit, least)))
-    return p.select("pkg", F.when((F.col("mime") == 0) | (F.col("core") == 0) | (F.col("locked") == 1), 5).when(old, 6).otherwise(0).alias("code"))
+def package_admission(parts: DataFrame, least_docx=(15, 0), least_hwpx=(1, 2)) -> DataFrame:
+    """(pkg, code): 0 taken in, 5 damaged (no mimetype or document, or encrypted), 6 written by too old a version.
+
+    A package with version.xml is HWPX and must hold a section; others are DOCX. A missing version is taken in.
+    """
+    has = lambda c: F.max(c.cast("int"))
+    path = F.col("path")
+    find = lambda at, rx: F.max(F.when(path == at, F.regexp_extract("content", rx, 1)))
+    p = parts.groupBy("pkg").agg(
+        has(path == "mimetype").alias("mime"), has(path == "version.xml").alias("hwpx"), has(path == "word/document.xml").alias("docx_core"), has(F.lower("path").rlike(r"contents/section\d*\.xml$")).alias("hwpx_core"),
+        has(path.isin("encryption.xml", "EncryptedPackage")).alias("locked"), find("docProps/app.xml", "<AppVersion>([0-9.]+)</AppVersion>").alias("docx_v"), find("version.xml", r'xmlVersion="([0-9.]+)"').alias("hwpx_v"),
+    )
+    numbers = lambda v: F.concat(F.transform(F.split(v, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0))), F.array(F.lit(0)))
+    old = lambda v, least: F.coalesce(F.col(v) != "", F.lit(False)) & (numbers(F.col(v)) < F.array(*map(F.lit, least)))
+    hwpx = F.col("hwpx") == 1
+    damaged = (F.col("mime") == 0) | (F.col("locked") == 1) | (F.when(hwpx, F.col("hwpx_core")).otherwise(F.col("docx_core")) == 0)
+    return p.select("pkg", F.when(damaged, 5).when(F.when(hwpx, old("hwpx_v", least_hwpx)).otherwise(old("docx_v", least_docx)), 6).otherwise(0).alias("code"))
 
 
 def spine_sections(parts: DataFrame) -> DataFrame:
@@ -103,11 +132,24 @@ def spine_sections(parts: DataFrame) -> DataFrame:
 
 
 def package_metadata(parts: DataFrame) -> DataFrame:
-    """(pkg, title, author, language): from the core properties part; defaults where a field is missing."""
-    get = lambda tag: F.max(F.when(F.col("path") == "docProps/core.xml", F.nullif(F.regexp_extract("content", f"(?s)<{tag}>(.*?)</{tag}>", 1), F.lit(""))))
-    return parts.groupBy("pkg").agg(get("dc:title").alias("title"), get("dc:creator").alias("author"), F.coalesce(get("dc:language"), F.lit("ko-KR")).alias("language"))
+    """(pkg, title, author, language, created, modified, application, version) of each package; defaults where a field is missing.
+
+    From the core and application properties; an HWPX package tells its application and version in version.xml.
+    """
+    of = lambda at, rx: F.max(F.when(F.col("path") == at, F.nullif(F.trim(F.regexp_extract("content", rx, 1)), F.lit(""))))
+    core = lambda tag: of("docProps/core.xml", rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>")
+    p = parts.groupBy("pkg").agg(
+        core("dc:title").alias("title"), core("dc:creator").alias("author"), F.coalesce(core("dc:language"), F.lit("ko-KR")).alias("language"), core("dcterms:created").try_cast("timestamp").alias("created"),
+        core("dcterms:modified").try_cast("timestamp").alias("modified"), F.coalesce(of("docProps/app.xml", "<Application>(.*?)</Application>"), of("version.xml", r'\bapplication="([^"]*)"')).alias("application"),
+        F.coalesce(of("version.xml", r'\bxmlVersion="([^"]*)"'), of("docProps/app.xml", "<AppVersion>(.*?)</AppVersion>")).alias("version"),
+    )
+    return p
 
 
-def resolve_style_ids(paragraphs: DataFrame, styles: DataFrame, default: str) -> DataFrame:
-    """paragraphs (pkg, id, ...) with the attributes of their style; the default's name for an unknown id."""
-    return paragraphs.join(styles, ["pkg", "id"], "left").withColumn("font", F.coalesce("font", F.lit(default)))
+def resolve_style_ids(rows: DataFrame, styles: DataFrame, defaults: dict, key: str = "id") -> DataFrame:
+    """rows (pkg, key, ...) with the attributes of the style (pkg, key, attributes) that they name; defaults for an unknown id.
+
+    Called once for each family of a header: character, paragraph, border and fill, font.
+    """
+    out = rows.join(styles.select("pkg", key, *defaults), ["pkg", key], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.exprs import resolve_tokens
 from .text import numbered
 
 #: Paper sizes in millimetres, upright.
@@ -93,6 +94,23 @@ def outline_numbers(headings: DataFrame, levels: int = 3) -> DataFrame:
     return out.withColumn("number", text).drop(*[f"{c}{k}" for c in "gn" for k in range(1, levels + 1)])
 
 
+def split_overlay(blocks: DataFrame) -> DataFrame:
+    """blocks (kind, wrap) with overlay: text boxes always float, tables unless they wrap as blocks, images and shapes by wrap."""
+    kind, wrap = F.col("kind"), F.col("wrap")
+    return blocks.withColumn("overlay", (kind == "textbox") | ((kind == "table") & (wrap != "block")) | (kind.isin("image", "shape") & wrap.isin("front", "behind", "square")))
+
+
+def page_headers(pages: DataFrame, templates: list[tuple[str, str, str]], start: int = 1) -> DataFrame:
+    """(doc_id, page, part, slot, text): each page's header and footer slots with tokens filled in; empty ones are skipped.
+
+    pages (doc_id, page from 0, pages, title); templates (part, slot, template). Page numbers begin at start.
+    """
+    slots = F.array(*[F.struct(F.lit(a).alias("part"), F.lit(b).alias("slot"), F.lit(t).alias("template")) for a, b, t in templates if t])
+    p = pages.withColumn("s", F.explode(slots))
+    text = resolve_tokens(F.col("s.template"), page=F.col("page") + start, pages=F.col("pages"), title=F.col("title"))
+    return p.select("doc_id", "page", "s.part", "s.slot", text.alias("text"))
+
+
 def snapshot_history(versions: DataFrame, depth: int = 100) -> DataFrame:
     """versions (key, id, ts) that undo can reach, the newest first, with the ones before and after."""
     w = W.partitionBy("key").orderBy("ts", "id")
@@ -127,11 +145,16 @@ def page_coordinates(items: DataFrame, height: float, gap: float = 10.0) -> Data
     return out.withColumns({"back_page": page, "back_y_mm": F.round(inside * 25.4 / 96.0, 6), "y_dip": F.round("y_dip", 6)})
 
 
-def edit_bursts(events: DataFrame, gap_seconds: int) -> DataFrame:
-    """(key, burst, started, n): runs of events less than a gap apart."""
+def edit_bursts(events: DataFrame, gap_seconds: float) -> DataFrame:
+    """(key, burst, started, n): runs of edits less than a gap apart, that no other action of the key interrupts.
+
+    events (key, id, ts) and, where there are other actions, edit: whether an event is an edit.
+    """
+    e = events if "edit" in events.columns else events.withColumn("edit", F.lit(True))
     w = W.partitionBy("key").orderBy("ts", "id")
-    new = F.coalesce((F.col("ts") - F.lag("ts").over(w) >= F.expr(f"INTERVAL {int(gap_seconds)} SECOND")), F.lit(True)).cast("int")
-    e = events.withColumn("burst", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    goes_on = F.lag("edit").over(w) & (F.col("ts") - F.lag("ts").over(w) < F.expr(f"INTERVAL {gap_seconds} SECOND"))
+    e = e.withColumn("new", F.when(F.col("edit"), F.coalesce(~goes_on, F.lit(True)).cast("int")).otherwise(0))
+    e = e.withColumn("burst", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).filter("edit")
     return e.groupBy("key", "burst").agg(F.min("ts").alias("started"), F.count("*").alias("n"))
 
 

@@ -69,6 +69,18 @@ def md_runs(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", "run_no", kind.alias("kind"), text.alias("text"), url.alias("url"))
 
 
+def md_images(docs: DataFrame) -> DataFrame:
+    """(doc_id, block_no, kind, text, url, media): paragraphs; one that is only an image is an image, and images within
+    text become [alt](url)."""
+    rx = r"(?s)^\s*!\[([^\]]*)\]\(([^)\s]*)(?:\s+\"[^\"]*\")?\)\s*$"
+    p = md_blocks(docs).filter("kind = 'paragraph'")
+    image = F.col("text").rlike(rx)
+    url = F.when(image, F.regexp_extract("text", rx, 2))
+    text = F.when(image, F.regexp_extract("text", rx, 1)).otherwise(F.regexp_replace("text", r"!(\[[^\]]*\]\([^)]*\))", "$1"))
+    media = F.when(image, media_type(F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"\.(\w+)$", 1)))
+    return p.select("doc_id", "block_no", F.when(image, "image").otherwise("paragraph").alias("kind"), text.alias("text"), url.alias("url"), media.alias("media"))
+
+
 def md_tables(docs: DataFrame) -> DataFrame:
     """(doc_id, table_no, row_no, cell_no, is_header, align, text): pipe tables, told by their row of dashes.
 

@@ -58,10 +58,10 @@ def intern_border_fills(cells: DataFrame, order: str) -> DataFrame:
     return numbered(first, ["_first", *keys], "fill_id", 4).drop("_first")
 
 
-def package_parts(files: DataFrame) -> DataFrame:
-    """(pkg, path, size, content) of the parts of ZIP packages (path, content); a broken package gives no rows."""
+def zip_parts(packages: DataFrame) -> DataFrame:
+    """(path, content): ZIP files of (path, parts), parts an array of (path, content)."""
 
-    def unzip(batches):
+    def pack(batches):
         import io
         import zipfile
 
@@ -69,12 +69,50 @@ def package_parts(files: DataFrame) -> DataFrame:
 
         for b in batches:
             rows = []
+            for path, parts in zip(b["path"], b["parts"], strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for p in parts:
+                        z.writestr(p["path"], bytes(p["content"]))
+                rows.append((path, out.getvalue()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return packages.select("path", "parts").mapInPandas(pack, "path string, content binary")
+
+
+#: Bytes of a part up to which its content is read.
+MOST_PART = 256 << 20
+
+
+def package_parts(files: DataFrame, most: int = MOST_PART) -> DataFrame:
+    """(pkg, path, size, content) of the parts of ZIP packages (path, content), a row at a time.
+
+    A broken package gives no rows. A part of more than `most` bytes has its size and null content, so that a small file
+    that unpacks to very much stays harmless.
+    """
+
+    def unzip(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        names = ["pkg", "path", "size", "content"]
+        for b in batches:
+            rows, held = [], 0
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(path, i.filename, i.file_size, z.read(i)) for i in z.infolist() if not i.is_dir()]
+                        for i in z.infolist():
+                            if not i.is_dir():
+                                data = z.read(i) if i.file_size <= most else None
+                                rows.append((path, i.filename, i.file_size, data))
+                                held += len(data or b"")
+                            if held > 16 << 20:
+                                yield pd.DataFrame(rows, columns=names)
+                                rows, held = [], 0
                 except (zipfile.BadZipFile, TypeError):
                     continue
-            yield pd.DataFrame(rows, columns=["pkg", "path", "size", "content"])
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(unzip, "pkg string, path string, size long, content binary")

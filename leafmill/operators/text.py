@@ -154,3 +154,12 @@ def diff_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     b = new.select("doc_id", "pos", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("b"))
     status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified").otherwise("clean")
     return a.join(b, ["doc_id", "pos"], "full").select("doc_id", "pos", status.alias("status"))
+
+
+def quote_groups(blocks: DataFrame) -> DataFrame:
+    """(doc_id, depth, grp, first_pos, last_pos): runs of neighbouring quoted blocks (doc_id, pos, level) at each depth."""
+    l = blocks.filter("level > 0").select("doc_id", "pos", F.explode(F.sequence(F.lit(1), F.col("level"))).alias("depth"))
+    w = W.partitionBy("doc_id", "depth").orderBy("pos")
+    new = F.coalesce((F.col("pos") - F.lag("pos").over(w) != 1).cast("int"), F.lit(1))
+    l = l.withColumn("grp", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return l.groupBy("doc_id", "depth", "grp").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))

@@ -221,12 +221,8 @@ UNION ALL SELECT doc_id, i::INT, 'footer', 'center', '- ' || (i + 5) || ' / ' ||
 def w10_page_headers(spark, d):
     """Header and footer slots of each page, numbered from 5, with tokens filled in; empty slots are skipped."""
     s = docs(spark, d).select("doc_id", "source", F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 2000.0)).cast("int").alias("n"))
-    p = s.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    parts = [("header", "left", "{TITLE}"), ("header", "center", ""), ("footer", "center", "- {PAGE} / {numpages} -")]
-    slot = F.explode(F.array(*[F.struct(F.lit(a).alias("part"), F.lit(b).alias("slot"), F.lit(t).alias("template")) for a, b, t in parts]))
-    p = p.withColumn("s", slot).select("doc_id", "page", "source", "n", "s.*").filter("template <> ''")
-    text = E.resolve_tokens(F.col("template"), page=F.col("page") + 5, pages=F.col("n"), title=F.col("source"))
-    return p.select("doc_id", "page", "part", "slot", text.alias("text"))
+    p = s.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("page"), F.col("n").alias("pages"), F.col("source").alias("title"))
+    return L.page_headers(p, [("header", "left", "{TITLE}"), ("header", "center", ""), ("footer", "center", "- {PAGE} / {numpages} -")], 5)
 
 
 @query("""SELECT key, id, age, undo, redo FROM (SELECT user_id AS key, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age,
@@ -253,11 +249,12 @@ def l10_page_coordinates(spark, d):
     return L.page_coordinates(i, 1000.0)
 
 
-@query("""WITH e AS (SELECT user_id AS key, event_id AS id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-b AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts, id)::BIGINT AS burst FROM e)
-SELECT key, burst, min(ts) AS started, count(*) AS n FROM b GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT user_id AS key, event_id AS id, ts, event_id % 5 <> 0 AS edit, CASE WHEN event_id % 5 = 0 OR (lag(event_id) OVER w) % 5 <> 0 AND ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts, id)::BIGINT AS burst FROM e)
+SELECT key, burst, min(ts) AS started, count(*) AS n FROM b WHERE edit GROUP BY 1, 2""")
 def st4_edit_bursts(spark, d):
-    return L.edit_bursts(read_table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts"), 1800)
+    """Four of five events are edits; the others close a burst."""
+    return L.edit_bursts(read_table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", (F.col("event_id") % 5 != 0).alias("edit")), 1800)
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -266,11 +263,36 @@ def st4_hourly_events(spark, d):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
-@query("""SELECT kind AS "from", target AS "to", code, count(*) AS n FROM (
-  SELECT 'txt' AS kind, ['txt', 'md', 'html', 'docx'][doc_id % 4 + 1] AS target, CASE WHEN coalesce(text, '') = '' THEN 4 WHEN doc_id % 4 = 3 THEN 3 ELSE 0 END AS code FROM documents) GROUP BY 1, 2, 3""")
+ESCAPE_MD = "regexp_replace({}, '([\\\\`*_\\[\\]<>#~|^])', '\\\\\\1', 'g')"
+ESCAPE_HTML = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+LETTERS = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
+HTML_HEAD, HTML_TAIL = len("<!DOCTYPE html>\n<html><body>\n"), len("\n</body></html>\n")
+
+
+@query(f"""WITH {BODY}, {LINES},
+plain AS (SELECT d.doc_id, d.doc_id % 4 AS t, coalesce(d.text, '') = '' AS none, coalesce(sum(length(l.text)) + count(l.text) - 1, 0) AS txt, coalesce(sum(length({ESCAPE_MD.format("l.text")}) + 2) - 2, 0) AS md,
+  coalesce(sum(length({ESCAPE_HTML.format("l.text")}) + 8) - 1, 0) + {HTML_HEAD + HTML_TAIL} AS html FROM documents d LEFT JOIN lines l USING (doc_id) GROUP BY 1, 2, 3),
+page AS (SELECT p.page_id, p.page_id % 2 AS t, coalesce(sum(length(b.text)) + count(*) - 1, 0) AS txt,
+  coalesce(sum(2 * quote_level + CASE WHEN outline > 0 THEN outline + 1 WHEN kind = 'item' THEN 2 * greatest(list_level - 1, 0) + 2 ELSE 0 END + length({ESCAPE_MD.format("b.text")}) + 2) - 2, 0) AS md FROM pages p JOIN blocks b USING (page_id) GROUP BY 1, 2),
+every AS (
+  SELECT 'txt' AS "from", ['txt', 'md', 'html', 'docx'][t + 1] AS "to", CASE WHEN none THEN 4 WHEN t = 3 THEN 3 ELSE 0 END AS code, CASE WHEN NOT none THEN CASE t WHEN 0 THEN txt WHEN 1 THEN md WHEN 2 THEN html END END AS n FROM plain
+  UNION ALL SELECT 'html', CASE WHEN t = 0 THEN 'txt' ELSE 'md' END, 0, CASE WHEN t = 0 THEN txt ELSE md END FROM page
+  UNION ALL SELECT 'xml', 'txt', CASE WHEN doc_id % 5 = 0 THEN 5 ELSE 0 END, CASE WHEN doc_id % 5 <> 0 AND {LETTERS} <> '' THEN length({LETTERS}) END FROM documents
+  UNION ALL SELECT 'docx', 'txt', CASE WHEN doc_id % 7 = 0 THEN 6 ELSE 0 END, CASE WHEN doc_id % 7 <> 0 THEN length({LETTERS}) END FROM documents)
+SELECT "from", "to", code, count(*) AS docs, coalesce(sum(n), 0)::BIGINT AS chars FROM every GROUP BY 1, 2, 3""")
 def s12_convert_corpus(spark, d):
-    """Documents asked for in four formats, with an outcome code each: 0 done, 3 no such pair, 4 empty."""
-    target = F.element_at(F.array(*map(F.lit, ("txt", "md", "html", "docx"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    out = docs(spark, d).select(F.lit("txt").alias("from"), target.alias("to"), F.coalesce("text", F.lit("")).alias("text"))
-    code = F.when(F.col("text") == "", 4).when(~F.col("to").isin("txt", "md", "html"), 3).otherwise(0)
-    return out.groupBy("from", "to", code.alias("code")).agg(F.count("*").alias("n"))
+    """Documents, pages, XML and DOCX documents made of the texts, each converted to the format asked for; documents and
+    characters by outcome: 0 done, 3 no such pair, 4 empty, 5 damaged or not allowed, 6 too old."""
+    from ..operators.codecs import convert_corpus, default_registry
+
+    letters = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    t, one = docs(spark, d), lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("doc_id") % len(x) + 1).cast("int"))
+    plain = t.select("doc_id", F.lit("txt").alias("from"), one("txt", "md", "html", "docx").alias("to"), F.coalesce("text", F.lit("")).alias("text"))
+    page = pages(spark, d).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")).select("doc_id", F.lit("html").alias("from"), one("txt", "md").alias("to"), "text")
+    kind = F.when(F.col("doc_id") % 5 == 0, '<!DOCTYPE d [<!ENTITY a "b">]>').otherwise("")
+    xml = t.select("doc_id", F.lit("xml").alias("from"), F.lit("txt").alias("to"), F.concat(kind, F.lit("<d><p>"), letters, F.lit("</p></d>")).alias("text"))
+    version = F.when(F.col("doc_id") % 7 == 0, "14.0300").otherwise("16.0000")
+    docx = t.select("doc_id", F.lit("docx").alias("from"), F.lit("txt").alias("to"), F.concat(F.lit("<Properties><AppVersion>"), version, F.lit("</AppVersion></Properties><w:body><w:p><w:r><w:t>"), letters, F.lit("</w:t></w:r></w:p></w:body>")).alias("text"))
+    pairs = [("txt", x) for x in ("txt", "md", "html", "docx")] + [("html", "txt"), ("html", "md"), ("xml", "txt"), ("docx", "txt")]
+    done = convert_corpus(default_registry(spark), plain.unionByName(page).unionByName(xml).unionByName(docx), pairs)
+    return done.groupBy("from", "to", "code").agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))

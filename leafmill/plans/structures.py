@@ -9,7 +9,8 @@ from ..functions import exprs as E
 from ..operators import html as H
 from ..operators import joins as J
 from ..operators import markup as M
-from ..operators.layout import WIDTHS
+from ..operators import text as X
+from ..operators.layout import WIDTHS, split_overlay
 from ..sources.tables import read_table
 from ..streaming import streams as S
 from .documents import LINES, STATS, docs, paragraphs
@@ -94,10 +95,13 @@ def p13_md_tables(spark, d):
     return out.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("table_no", "row_no", "cell_no")], "is_header", "align", "text")
 
 
-@query("""SELECT doc_id, 'image' AS kind, source AS text, 'img/' || doc_id || '.png' AS url, 'image/png' AS media FROM documents""")
+@query("""SELECT doc_id, 1 AS block_no, CASE WHEN doc_id % 3 = 0 THEN 'paragraph' ELSE 'image' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'see [' || source || '](img/' || doc_id || '.png) here' ELSE source END AS text,
+  CASE WHEN doc_id % 3 <> 0 THEN 'img/' || doc_id || '.png' END AS url, CASE WHEN doc_id % 3 <> 0 THEN 'image/png' END AS media FROM documents""")
 def p14_md_images(spark, d):
-    t = docs(spark, d).select("doc_id", F.concat(F.lit("!["), "source", F.lit("](img/"), F.col("doc_id").cast("string"), F.lit(".png)")).alias("text"))
-    return M.md_runs(t).select("doc_id", "kind", "text", "url", E.media_type(F.regexp_extract("url", r"\.(\w+)$", 1)).alias("media"))
+    """A paragraph with an image alone, or with one inside its text."""
+    image = F.concat(F.lit("!["), "source", F.lit("](img/"), F.col("doc_id").cast("string"), F.lit(".png)"))
+    t = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("see "), image, F.lit(" here"))).otherwise(image).alias("text"))
+    return M.md_images(t).withColumn("block_no", F.col("block_no").cast("int"))
 
 
 # ---- HTML -----------------------------------------------------------------------------------------------------------
@@ -202,19 +206,21 @@ def p17_office_paragraphs(spark, d):
 def package_parts(spark, d):
     """A few parts for each document: some packages lack one, some are encrypted, some are old."""
     k = F.col("doc_id")
-    version = F.concat(F.lit("<Properties><AppVersion>"), F.when(k % 7 == 0, "14.0300").when(k % 7 == 1, "").otherwise("16.0000"), F.lit("</AppVersion></Properties>"))
-    core = F.concat(F.lit("<c><dc:title>"), "source", F.lit("</dc:title><dc:creator>"), F.when(k % 2 == 0, F.col("lang")).otherwise(""), F.lit("</dc:creator></c>"))
+    hwpx = k % 5 == 0
+    hwpx_version = F.concat(F.lit('<hv application="H" xmlVersion="'), F.when(k % 15 == 0, "1.1").when(k % 15 == 5, "1.2").otherwise("1.10"), F.lit('"/>'))
+    version = F.concat(F.lit("<Properties><Application>W</Application><AppVersion>"), F.when(k % 7 == 0, "14.0300").when(k % 7 == 1, "").otherwise("16.0000"), F.lit("</AppVersion></Properties>"))
+    core = F.concat(F.lit("<c><dc:title>"), "source", F.lit("</dc:title><dc:creator>"), F.when(k % 2 == 0, F.col("lang")).otherwise(""), F.lit("</dc:creator>"), F.when(k % 2 == 0, F.concat(F.lit('<dcterms:created t="x">2024-01-0'), (k % 9 + 1).cast("string"), F.lit("T10:00:00Z</dcterms:created>"))).otherwise(""), F.lit("</c>"))
     spine = F.lit('<opf><item id="b" href="Contents/section1.xml"/><item id="a" href="Contents/section0.xml"/><spine><itemref idref="a"/><itemref idref="b"/></spine></opf>')
     plain = F.lit('<opf><item id="section1" href="Contents/x1.xml"/><item id="section0" href="Contents/x0.xml"/></opf>')
     pairs = [
-        (F.lit("mimetype"), F.lit("m")), (F.when(k % 11 != 0, "word/document.xml"), F.lit("<w/>")), (F.when(k % 13 == 0, "encryption.xml"), F.lit("x")), (F.lit("docProps/app.xml"), version),
+        (F.lit("mimetype"), F.lit("m")), (F.when((k % 11 != 0) & ~hwpx, "word/document.xml"), F.lit("<w/>")), (F.when(hwpx, "version.xml"), hwpx_version), (F.when(k % 13 == 0, "encryption.xml"), F.lit("x")), (F.lit("docProps/app.xml"), version),
         (F.lit("docProps/core.xml"), core), (F.when(k % 3 != 2, "content.hpf"), F.when(k % 3 == 0, spine).otherwise(plain)), (F.lit("Contents/Section9.xml"), F.lit("s")), (F.lit("Contents/section8.xml"), F.lit("s")),
     ]
     parts = F.array(*[F.struct(p.alias("path"), c.alias("content")) for p, c in pairs])
     return docs(spark, d).select(k.alias("pkg"), F.explode(parts).alias("p")).select("pkg", "p.path", "p.content").filter("path IS NOT NULL")
 
 
-@query("SELECT doc_id AS pkg, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 5 WHEN doc_id % 7 = 0 THEN 6 ELSE 0 END AS code FROM documents")
+@query("SELECT doc_id AS pkg, CASE WHEN doc_id % 13 = 0 THEN 5 WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 15 = 0 THEN 6 ELSE 0 END WHEN doc_id % 11 = 0 THEN 5 WHEN doc_id % 7 = 0 THEN 6 ELSE 0 END AS code FROM documents")
 def s6_package_admission(spark, d):
     return J.package_admission(package_parts(spark, d))
 
@@ -232,15 +238,23 @@ def s8_resolve_part_path(spark, d):
     return J.resolve_part_path(docs(spark, d).select(F.col("doc_id").alias("pkg"), ref.alias("ref")), package_parts(spark, d)).select("pkg", "ref", "path")
 
 
-@query("SELECT doc_id AS pkg, source AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS author, 'ko-KR' AS language FROM documents")
+@query("""SELECT doc_id AS pkg, source AS title, CASE WHEN doc_id % 2 = 0 THEN lang END AS author, 'ko-KR' AS language, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-01 10:00:00' + to_days((doc_id % 9)::INT) END AS created,
+  NULL::TIMESTAMP AS modified, 'W' AS application, CASE WHEN doc_id % 15 = 0 THEN '1.1' WHEN doc_id % 15 = 5 THEN '1.2' WHEN doc_id % 5 = 0 THEN '1.10' WHEN doc_id % 7 = 0 THEN '14.0300' WHEN doc_id % 7 = 1 THEN NULL ELSE '16.0000' END AS version FROM documents""")
 def s15_package_metadata(spark, d):
     return J.package_metadata(package_parts(spark, d))
 
 
-@query("SELECT l_orderkey AS pkg, l_linenumber AS id, CASE WHEN l_linenumber <= 4 THEN 'font' || l_linenumber ELSE 'Default' END AS font FROM lineitem")
+@query("""SELECT l_orderkey AS pkg, l_linenumber AS id, CASE WHEN l_linenumber <= 4 THEN 'font' || l_linenumber ELSE 'Default' END AS font, CASE WHEN l_linenumber <= 4 THEN l_linenumber * 100 ELSE 1000 END::INT AS size,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'right' ELSE 'left' END AS align, CASE WHEN l_linenumber = 1 THEN 0.4 ELSE 0.12 END::DOUBLE AS border_mm FROM lineitem""")
 def j5_resolve_style_ids(spark, d):
+    """Character, paragraph and border styles of paragraphs; some packages lack some ids."""
     p = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pkg"), F.col("l_linenumber").alias("id"))
-    return J.resolve_style_ids(p, p.filter("id <= 4").distinct().withColumn("font", F.concat(F.lit("font"), F.col("id").cast("string"))), "Default")
+    ids = p.distinct()
+    char = ids.filter("id <= 4").select("pkg", "id", F.concat(F.lit("font"), F.col("id").cast("string")).alias("font"), (F.col("id") * 100).cast("int").alias("size"))
+    para = ids.filter("id % 2 = 0").select("pkg", "id", F.lit("right").alias("align"))
+    border = ids.filter("id = 1").select("pkg", "id", F.lit(0.4).alias("border_mm"))
+    out = J.resolve_style_ids(p, char, {"font": "Default", "size": 1000})
+    return J.resolve_style_ids(J.resolve_style_ids(out, para, {"align": "left"}), border, {"border_mm": 0.12})
 
 
 # ---- Notes, resources, provenance -----------------------------------------------------------------------------------
@@ -265,12 +279,12 @@ def w11_note_numbers(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'https://x/' || doc_id WHEN doc_id % 5 = 1 THEN 'gone/' || doc_id ELSE 'img/' || doc_id END AS path,
-  CASE WHEN doc_id % 5 > 1 THEN octet_length(encode(coalesce(text, '')))::INT END AS size, CASE WHEN doc_id % 5 = 0 THEN 'external' WHEN doc_id % 5 = 1 THEN 'missing' ELSE 'ok' END AS status FROM documents""")
+  CASE WHEN doc_id % 5 > 1 THEN octet_length(encode(coalesce(text, '')))::INT END AS size, CASE WHEN doc_id % 5 > 1 THEN sha256(coalesce(text, '')) END AS sha256, CASE WHEN doc_id % 5 = 0 THEN 'external' WHEN doc_id % 5 = 1 THEN 'missing' ELSE 'ok' END AS status FROM documents""")
 def j2_rehydrate_resources(spark, d):
     k = F.col("doc_id").cast("string")
     path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://x/"), k)).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("gone/"), k)).otherwise(F.concat(F.lit("img/"), k))
-    parts = docs(spark, d).select(F.concat(F.lit("img/"), k).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    return J.rehydrate_resources(docs(spark, d).select("doc_id", path.alias("path")), parts, E.is_external_ref(F.col("path")))
+    parts = docs(spark, d).select("doc_id", F.concat(F.lit("img/"), k).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return J.rehydrate_resources(docs(spark, d).select("doc_id", path.alias("path")), parts, E.is_external_ref(F.col("path"))).select("doc_id", "path", "size", F.sha2("content", 256).alias("sha256"), "status")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN '*' WHEN 'view' THEN 'o' ELSE 'Web_' || event_type END AS text FROM events")
@@ -302,6 +316,12 @@ def j8_provenance_join(spark, d):
     return J.provenance_join(*anchored(spark, d))
 
 
+@query(f"""WITH {LINES}, s AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'docx' WHEN doc_id % 2 = 0 THEN 'hwpx' END AS format, CASE WHEN doc_id % 2 = 0 THEN 'anchored' ELSE 'unanchored' END AS state FROM lines
+UNION ALL SELECT 'docx', 'orphan' FROM documents WHERE doc_id % 2 = 0) SELECT format, state, count(*) AS n FROM s GROUP BY 1, 2""")
+def j8_provenance_coverage(spark, d):
+    return J.provenance_coverage(*anchored(spark, d))
+
+
 @query(f"""WITH {LINES} SELECT doc_id, pos::VARCHAR AS node_id, CASE WHEN pos % 4 = 0 AND doc_id % 4 = 0 THEN 'reuse' WHEN pos % 4 = 2 AND doc_id % 4 = 0 THEN 're-emit' WHEN pos % 4 = 2 THEN 'placeholder'
   WHEN pos % 4 = 3 THEN 'degraded' ELSE 'reserialise' END AS action FROM lines""")
 def j9_export_plan(spark, d):
@@ -313,7 +333,7 @@ def j9_export_plan(spark, d):
   count(*) FILTER (WHERE pos % 4 = 3) AS degraded FROM lines GROUP BY 1""")
 def a10_status_rollup(spark, d):
     b, _ = anchored(spark, d)
-    return b.groupBy("doc_id").pivot("status", ["clean", "modified", "opaque", "degraded"]).count().fillna(0)
+    return J.status_rollup(b)
 
 
 # ---- Streams --------------------------------------------------------------------------------------------------------
@@ -326,15 +346,18 @@ def st1_stream_ingest(spark, d):
 
 @query("SELECT DISTINCT sha256(coalesce(text, '')) AS sha256 FROM documents")
 def st2_stream_dedupe(spark, d):
-    return S.run_available(S.stream_dedupe(S.read_stream(spark, f"{d}/documents.parquet")), "dedupe")
+    """With an event time and bounded state; here no copy comes later than the delay."""
+    t = S.read_stream(spark, f"{d}/documents.parquet").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")))
+    return S.run_available(S.stream_dedupe(t, "at", "1000 days"), "dedupe")
 
 
 @query("""WITH p AS (SELECT user_id AS job, event_id, (greatest(0, least(100, event_id % 140 - 20)))::INT AS percent, event_type AS message FROM events WHERE event_id % 4 <> 0)
 SELECT job, arg_max(percent, event_id) AS percent, arg_max(message, event_id) AS message FROM p GROUP BY 1""")
 def st3_progress(spark, d):
-    """Progress lines made of events, a quarter of them malformed."""
+    """A stream of progress lines made of events, a quarter of them malformed; the last state of each job."""
     line = F.when(F.col("event_id") % 4 == 0, "PROGRESS:x:bad").otherwise(F.concat(F.lit("PROGRESS:"), (F.col("event_id") % 140 - 20).cast("string"), F.lit(":"), "event_type"))
-    return S.stream_progress(read_table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), line.alias("line")))
+    e = S.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), line.alias("line"))
+    return S.run_latest(S.stream_progress(e), "progress")
 
 
 @query()
@@ -363,15 +386,14 @@ def f2_split_overlay(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("textbox", "table", "image", "shape"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
     wrap = F.when(kind == "table", F.when(F.col("l_quantity") > 10, "square").otherwise("block")).otherwise(F.when(F.col("l_quantity") > 25, "behind").otherwise("inline"))
     b = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), wrap.alias("wrap"))
-    overlay = (F.col("kind") == "textbox") | ((F.col("kind") == "table") & (F.col("wrap") != "block")) | (F.col("kind").isin("image", "shape") & F.col("wrap").isin("front", "behind", "square"))
-    return b.select("l_orderkey", "l_linenumber", "kind", overlay.alias("overlay"))
+    return split_overlay(b).select("l_orderkey", "l_linenumber", "kind", "overlay")
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%H:%M') WHEN 2 THEN (event_id % 9 + 1)::VARCHAR ELSE event_type END AS text FROM events""")
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%H:%M') WHEN 2 THEN (event_id % 9 + 1)::VARCHAR WHEN 3 THEN '12' WHEN 4 THEN user_id::VARCHAR WHEN 5 THEN event_type ELSE '' END AS text FROM events""")
 def l4_fields(spark, d):
-    """Field placeholders of runs: date, time, page and title."""
-    f = F.element_at(F.array(*map(F.lit, ("date", "time", "page", "title"))), (F.col("event_id") % 4 + 1).cast("int"))
-    text = F.when(f == "date", F.date_format("ts", "yyyy-MM-dd")).when(f == "time", F.date_format("ts", "HH:mm")).when(f == "page", (F.col("event_id") % 9 + 1).cast("string")).otherwise(F.col("event_type"))
+    """Field placeholders of runs: date, time, page, pages, author and title, and an unknown one."""
+    f = F.element_at(F.array(*map(F.lit, ("date", "time", "page", "pages", "author", "Title", "other"))), (F.col("event_id") % 7 + 1).cast("int"))
+    text = E.field_text(f, at=F.col("ts"), page=F.col("event_id") % 9 + 1, pages=F.lit(12), author=F.col("user_id"), title=F.col("event_type"))
     return read_table(spark, d, "events").select("event_id", text.alias("text"))
 
 
@@ -381,14 +403,7 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, depth ORDER BY pos)::BIGINT
 SELECT doc_id, depth, grp, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos FROM g GROUP BY 1, 2, 3""")
 def w2_quote_groups(spark, d):
     """Runs of quoted blocks at each depth, with quote levels by line number."""
-    from pyspark.sql import Window as W
-
-    q = paragraphs(spark, d).withColumn("level", (F.col("pos") % 4).cast("int")).filter("level > 0")
-    l = q.select("doc_id", "pos", F.explode(F.sequence(F.lit(1), F.col("level"))).alias("depth"))
-    w = W.partitionBy("doc_id", "depth").orderBy("pos")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(w) != 1).cast("int"), F.lit(1))
-    l = l.withColumn("grp", F.sum(new).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return l.groupBy("doc_id", "depth", "grp").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    return X.quote_groups(paragraphs(spark, d).withColumn("level", (F.col("pos") % 4).cast("int")))
 
 
 @query()
@@ -456,3 +471,24 @@ def a8_intern_border_fills(spark, d):
         F.lit(1.0).alias("top_pt"), F.lit(0.0).alias("bottom_pt"), F.col("l_discount").alias("fill"),
     )
     return O.intern_border_fills(c, "at")
+
+
+@query("""SELECT doc_id || '.zip' AS pkg, 'mimetype' AS path, 5::BIGINT AS size, sha256('a/zip') AS sha256 FROM documents UNION ALL SELECT doc_id || '.zip', 'content/text.txt', octet_length(encode(coalesce(text, '')))::BIGINT, sha256(coalesce(text, '')) FROM documents""")
+def s5_package_parts(spark, d):
+    """Documents packed as ZIP files, and their parts."""
+    from ..operators import office as O
+
+    packed = O.zip_parts(docs(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), F.array(
+        F.struct(F.lit("mimetype").alias("path"), F.lit("a/zip").cast("binary").alias("content")), F.struct(F.lit("content/text.txt").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    ).alias("parts")))
+    return O.package_parts(packed).select("pkg", "path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT doc_id, 'txt' AS format, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def s14_write_rendered(spark, d):
+    """Documents written by the sink, one row each, and read back."""
+    from ..sources.tables import write_rendered
+
+    at = S.shared_path(spark, "rendered")
+    write_rendered(docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), at, "txt")
+    return spark.read.parquet(at).select("doc_id", "format", F.sha2("text", 256).alias("sha256"))

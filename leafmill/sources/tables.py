@@ -27,10 +27,17 @@ def extension(path) -> F.Column:
     return F.lower(F.regexp_extract(F.regexp_replace(path, r"[?#].*$", ""), r"[^/\\]\.([A-Za-z0-9]+)$", 1))
 
 
-def write_rendered(df: DataFrame, path: str, fmt: str = "txt", per_document: bool = True) -> None:
-    """Write (doc_id, text) as UTF-8 with line feeds, in a folder per format; Spark's committer makes it atomic."""
+def write_rendered(df: DataFrame, path: str, fmt: str = "txt", per_document: bool = True, files: bool = False) -> None:
+    """Write (doc_id, text) as UTF-8 with line feeds, in a folder per format; Spark's committer makes it atomic.
+
+    A row for each document in Parquet; with files, a text file for each, in a folder named by its id (for few documents);
+    without per_document, plain text files of all of them.
+    """
     out = df.withColumn("format", F.lit(fmt))
-    if per_document:
+    if files:
+        rows = out.select("format", "doc_id", F.col("text").alias("value")).repartition("doc_id")
+        rows.write.partitionBy("format", "doc_id").option("lineSep", "\n").text(path)
+    elif per_document:
         out.select("doc_id", "format", "text").write.partitionBy("format").parquet(path)
     else:
         out.select("format", F.col("text").alias("value")).write.partitionBy("format").text(path)

@@ -11,10 +11,14 @@ from ..operators.text import doc_stats
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in spark.checkpoint.dir; only a session on one machine may leave that out."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="leafmill-streams-")
     return f"{base}/stream-{name}-{uuid.uuid4().hex}"
 
@@ -28,6 +32,19 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def run_latest(stream: DataFrame, name: str) -> DataFrame:
+    """Run an aggregating stream over what is there now; the table holds the last state of every group."""
+    spark = stream.sparkSession
+    at = shared_path(spark, name)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/state").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files at a path, which may be one file."""
     schema = spark.read.parquet(path).schema
@@ -40,9 +57,12 @@ def stream_ingest(docs: DataFrame) -> DataFrame:
     return doc_stats(docs)
 
 
-def stream_dedupe(resources: DataFrame) -> DataFrame:
-    """The first of each content hash."""
-    return resources.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["sha256"]).select("sha256")
+def stream_dedupe(resources: DataFrame, at: str | None = None, delay: str = "1 day") -> DataFrame:
+    """The first of each content hash. With an event time, state is kept for `delay` only, and a later copy is let in again."""
+    hashed = resources.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    if at is None:
+        return hashed.dropDuplicates(["sha256"]).select("sha256")
+    return hashed.withWatermark(at, delay).dropDuplicatesWithinWatermark(["sha256"]).select("sha256")
 
 
 def stream_progress(lines: DataFrame) -> DataFrame:
