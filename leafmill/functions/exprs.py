@@ -32,12 +32,17 @@ def media_extension(media) -> F.Column:
     return F.coalesce(F.element_at(_map(EXTENSIONS), media), F.lit(".bin"))
 
 
-def decode_entities(text) -> F.Column:
-    """Named entities of the common kind, and white-space runs as one space; &amp; last."""
+def decode_characters(text) -> F.Column:
+    """Named entities of the common kind; &amp; last."""
     out = text
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(out, "[ \\t\\n\\r\\f\\x0B]+", " ")
+    return out
+
+
+def decode_entities(text) -> F.Column:
+    """decode_characters, and white-space runs as one space."""
+    return F.regexp_replace(decode_characters(text), "[ \\t\\n\\r\\f\\x0B]+", " ")
 
 
 def escape_markdown(text) -> F.Column:

@@ -89,7 +89,12 @@ def p3_html_blocks(spark, d):
 RUN = DECODE.format("tok")[5:-1]
 
 
-@query(f"WITH {BODY} SELECT * FROM (SELECT page_id, pos, {RUN} AS text, bold > 0 AS bold, italic > 0 AS italic, CASE WHEN linked > 0 THEN href END AS url FROM placed WHERE kind = 'text') WHERE trim(text) <> ''")
+STYLE_SUMS = ", ".join(f"{_open(*names)} > 0 AS {k}" for k, names in H.STYLES.items())
+
+
+@query(f"""WITH {BODY}, styled AS (SELECT page_id, pos, kind, name, tok, linked, href, {STYLE_SUMS} FROM (SELECT * EXCLUDE (bold, italic) FROM placed) WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT page_id, pos, text, {", ".join(H.STYLES)}, url FROM (SELECT *, CASE WHEN kind = 'text' THEN {RUN} WHEN kind = 'tag' AND name = 'br' THEN chr(10) END AS text, CASE WHEN linked > 0 THEN href END AS url FROM styled)
+WHERE trim(text, ' ') <> ''""")
 def p4_html_runs(spark, d):
     return long(H.html_runs(pages(spark, d)), "pos")
 
@@ -296,3 +301,89 @@ def s12_convert_corpus(spark, d):
     pairs = [("txt", x) for x in ("txt", "md", "html", "docx")] + [("html", "txt"), ("html", "md"), ("xml", "txt"), ("docx", "txt")]
     done = convert_corpus(default_registry(spark), plain.unionByName(page).unionByName(xml).unionByName(docx), pairs)
     return done.groupBy("from", "to", "code").agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))
+
+
+# ---- All blocks of pages -------------------------------------------------------------------------------------------
+
+#: By line number modulo 8: the markup of a line, and the elements that it stands for: kind, outline, list_kind, list_level,
+#: number, checked, quote_level, language, text and src; {t} is the line.
+MARKUP = [
+    "<h2>{t}</h2>", "<p>{t}<br/>{t}</p>", "<ul><li>{t}</li><li>u</li></ul>", '<ol start="5"><li>{t}</li><li value=9><input type="checkbox" checked>{t}</li></ol>',
+    "<blockquote><p>{t}</p><blockquote><p>q</p></blockquote></blockquote>", '<pre><code class="language-py">\n{t}  ``` &lt;x\n</code></pre>', '<hr><iframe src="u/7"></iframe>', "<img src='a.png' alt=\"{t}\"><div>{t}</div>",
+]
+ELEMENTS = [
+    (0, 0, "heading", 2, None, 0, None, None, 0, None, "{t}", None), (1, 0, "paragraph", 0, None, 0, None, None, 0, None, "{t}\n{t}", None), (2, 0, "item", 0, "bullet", 1, None, None, 0, None, "{t}", None),
+    (2, 1, "item", 0, "bullet", 1, None, None, 0, None, "u", None), (3, 0, "item", 0, "ordered", 1, 5, None, 0, None, "{t}", None), (3, 1, "item", 0, "ordered", 1, 9, True, 0, None, "{t}", None),
+    (4, 0, "paragraph", 0, None, 0, None, None, 1, None, "{t}", None), (4, 1, "paragraph", 0, None, 0, None, None, 2, None, "q", None), (5, 0, "code", 0, None, 0, None, None, 0, "py", "{t}  ``` <x", None),
+    (6, 0, "rule", 0, None, 0, None, None, 0, None, "", ""), (6, 1, "media", 0, None, 0, None, None, 0, None, "[iframe u/7]", "u/7"), (7, 0, "image", 0, None, 0, None, None, 0, None, "{t}", "a.png"), (7, 1, "text", 0, None, 0, None, None, 0, None, "{t}", None),
+]
+
+
+def _sql(v) -> str:
+    return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+ELEMENT_ROWS = f"""made AS (SELECT doc_id AS page_id, pos, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS t FROM lines),
+shapes(k, sub, kind, outline, list_kind, list_level, number, checked, quote_level, language, shape, src) AS (VALUES {", ".join("(" + ", ".join(map(_sql, e)) + ")" for e in ELEMENTS)}),
+e AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos, sub) AS block_no, kind, outline, list_kind, list_level, number, checked, quote_level, language, replace(shape, '{{t}}', t) AS text, src
+  FROM made JOIN shapes ON k = pos % 8 WHERE t <> '')"""
+
+
+def marked_pages(spark, d):
+    """A page for each document, with its lines in all kinds of elements by turns."""
+    t = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    line = F.element_at(F.array(*map(F.lit, MARKUP)), (F.col("pos") % 8 + 1).cast("int"))
+    rows = paragraphs(spark, d).withColumn("t", t).filter("t <> ''").select("doc_id", "pos", F.replace(line, F.lit("{t}"), F.col("t")).alias("x"))
+    body = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("r"))
+    html = F.concat(F.lit("<html><head><title>no</title><style>p {}</style></head><body>"), F.array_join(F.transform("r", lambda x: x["x"]), "\n"), F.lit("</body></html>"))
+    return body.select(F.col("doc_id").alias("page_id"), html.alias("html"))
+
+
+@query(f"WITH {LINES}, {ELEMENT_ROWS} SELECT * REPLACE (checked::VARCHAR AS checked) FROM e")
+def p3_html_elements(spark, d):
+    return long(H.html_elements(marked_pages(spark, d)), "block_no").withColumn("checked", F.col("checked").cast("string"))
+
+
+LISTED = "coalesce(block_no - lag(block_no) OVER w = 1 AND list_level = lag(list_level) OVER w AND list_kind = lag(list_kind) OVER w, false)"
+
+
+@query(f"""WITH {LINES}, {ELEMENT_ROWS}, i AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY block_no)::BIGINT AS list_no FROM (SELECT *, {LISTED} AS goes_on FROM e WHERE kind = 'item' WINDOW w AS (PARTITION BY page_id ORDER BY block_no)))
+SELECT page_id, list_no, max(list_kind) AS list_kind, max(list_level) AS level, min(block_no) AS first_block, count(*) AS items, CASE WHEN max(list_kind) = 'ordered' AND arg_min(number, block_no) <> 1 THEN arg_min(number, block_no) END AS start FROM i GROUP BY 1, 2""")
+def w1_element_lists(spark, d):
+    return long(H.element_lists(H.html_elements(marked_pages(spark, d))), "first_block")
+
+
+MD_TEXT = "replace(regexp_replace(text, '([\\\\`*_\\[\\]<>#~|^])', '\\\\\\1', 'g'), chr(10), '  ' || chr(10))"
+
+
+@query(f"""WITH {LINES}, {ELEMENT_ROWS}, b AS (SELECT *, CASE kind WHEN 'heading' THEN repeat('#', outline) || ' ' || {MD_TEXT} WHEN 'item' THEN repeat('  ', list_level - 1) || CASE list_kind WHEN 'ordered' THEN number || '. ' ELSE '- ' END
+  || CASE WHEN checked THEN '[x] ' ELSE '' END || {MD_TEXT} WHEN 'code' THEN '````' || language || chr(10) || text || chr(10) || '````' WHEN 'rule' THEN '---' WHEN 'image' THEN '![' || text || '](' || src || ')' ELSE {MD_TEXT} END AS body FROM e),
+l AS (SELECT page_id, block_no, CASE WHEN lag(kind) OVER w IS NULL THEN '' WHEN kind = 'item' AND lag(kind) OVER w = 'item' THEN chr(10) ELSE chr(10) || chr(10) END || repeat('> ', quote_level) || body AS line FROM b WINDOW w AS (PARTITION BY page_id ORDER BY block_no))
+SELECT page_id, sha256(string_agg(line, '' ORDER BY block_no)) AS sha256 FROM l GROUP BY 1""")
+def r2_elements_to_markdown(spark, d):
+    return H.elements_to_markdown(H.html_elements(marked_pages(spark, d))).select("page_id", F.sha2("text", 256).alias("sha256"))
+
+
+def _elements_html(xhtml: bool) -> str:
+    end, head = (" />", """'<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml"><body>' || chr(10)""") if xhtml else (">", "'<!DOCTYPE html>' || chr(10) || '<html><body>' || chr(10)")
+    box = f'<input type="checkbox" disabled="disabled" checked="checked"{end} ' if xhtml else '<input type="checkbox" disabled checked> '
+    t = ESCAPE_HTML.format("text")
+    t = f"""replace(replace({t}, '"', '&quot;'), '''', '&apos;')""" if xhtml else t
+    t = f"CASE WHEN kind = 'code' THEN {t} ELSE replace({t}, chr(10), '<br{end}') END"
+    return f"""WITH {LINES}, {ELEMENT_ROWS}, g AS (SELECT *, {t} AS x, CASE WHEN kind = 'item' THEN list_kind || ':' || list_level || ':' || quote_level END AS grp FROM e),
+n AS (SELECT *, lag(grp) OVER w AS g0, lead(grp) OVER w AS g1, coalesce(lag(quote_level) OVER w, 0) AS q0, coalesce(lead(quote_level) OVER w, 0) AS q1 FROM g WINDOW w AS (PARTITION BY page_id ORDER BY block_no)),
+l AS (SELECT page_id, block_no, repeat('<blockquote>' || chr(10), greatest(quote_level - q0, 0)) || CASE WHEN kind = 'item' AND g0 IS DISTINCT FROM grp THEN CASE list_kind WHEN 'ordered' THEN '<ol' || CASE WHEN number <> 1 THEN ' start="' || number || '"' ELSE '' END || '>' ELSE '<ul>' END || chr(10) ELSE '' END
+  || CASE kind WHEN 'item' THEN '<li>' || CASE WHEN checked THEN '{box}' ELSE '' END || x || '</li>' WHEN 'heading' THEN '<h' || outline || '>' || x || '</h' || outline || '>' WHEN 'code' THEN '<pre><code class="language-' || language || '">' || x || '</code></pre>'
+    WHEN 'rule' THEN '<hr{end}' WHEN 'image' THEN '<img src="' || src || '" alt="' || text || '"{end}' ELSE '<p>' || x || '</p>' END
+  || CASE WHEN kind = 'item' AND g1 IS DISTINCT FROM grp THEN chr(10) || CASE list_kind WHEN 'ordered' THEN '</ol>' ELSE '</ul>' END ELSE '' END || repeat(chr(10) || '</blockquote>', greatest(quote_level - q1, 0)) AS line FROM n)
+SELECT page_id, sha256({head} || string_agg(line, chr(10) ORDER BY block_no) || chr(10) || '</body></html>' || chr(10)) AS sha256 FROM l GROUP BY 1"""
+
+
+@query(_elements_html(False))
+def r3_elements_to_html(spark, d):
+    return H.elements_to_html(H.html_elements(marked_pages(spark, d))).select("page_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query(_elements_html(True))
+def r4_elements_to_xhtml(spark, d):
+    return H.elements_to_html(H.html_elements(marked_pages(spark, d)), xhtml=True).select("page_id", F.sha2("text", 256).alias("sha256"))

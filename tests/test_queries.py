@@ -182,3 +182,86 @@ def test_packages(spark, tmp_path):
     files = scan_corpus(spark, str(tmp_path), "binary").withColumnRenamed("doc_id", "path")
     got = package_parts(files).collect()
     assert sorted((r.path, r.size, bytes(r.content)) for r in got) == [("mimetype", 1, b"m"), ("word/document.xml", 4, b"<w/>")]
+
+
+def test_declared_character_sets(spark):
+    rows = []
+    for k, (name, codec, text) in enumerate([("euc-kr", "euc-kr", "한글"), ("ks_c_5601-1987", "cp949", "똠방각하"), ("windows-1252", "cp1252", "“naïve” €"), ("Shift_JIS", "shift_jis", "日本"), ("gb18030", "gb18030", "中文"), ("no-such-set", "utf-8", "é")]):
+        rows.append((k, bytearray(f"<meta charset={name}><p>".encode() + text.encode(codec)), text))
+    got = A.detect_encoding(spark.createDataFrame([r[:2] for r in rows], "k int, content binary")).orderBy("k").collect()
+    assert [r.text.split("<p>")[1] for r in got] == [r[2] for r in rows]
+    assert [r.encoding for r in got] == ["euc-kr", "ks_c_5601-1987", "windows-1252", "shift_jis", "gb18030", "utf-8"]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
+
+
+def test_output_names_like_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(1)
+    existing = {("a", k) for k in (0, 1, 2, 4, 12000, 12001)} | {("b", k) for k in range(0, 9, 2)}
+    wanted = [(i, rng.choice("abc")) for i in range(60)]
+    taken, want = set(existing), {}
+    for i, name in wanted:
+        k = next(k for k in range(100) if (name, k) not in taken)
+        taken.add((name, k))
+        want[i] = f"{name}-{k}.txt" if k else f"{name}.txt"
+    files = [(f"{n}-{k}" if k else n, "txt") for n, k in existing] + [("a-01", "txt"), ("a-x", "txt")]
+    got = A.safe_output_names(spark.createDataFrame([(i, n, "txt") for i, n in wanted], "id long, name string, ext string"), spark.createDataFrame(files, "name string, ext string"))
+    assert {r.id: r.target for r in got.collect()} == want
+    many = [(f"d-{k}" if k else "d", "txt") for k in range(12_000)]
+    got = A.safe_output_names(spark.createDataFrame([(1, "d", "txt")], "id long, name string, ext string"), spark.createDataFrame(many, "name string, ext string"))
+    assert got.first().target == "d-12000.txt"
+
+
+def test_undo_like_a_plain_loop(spark):
+    import random
+
+    from leafmill.streaming.streams import undo_state
+
+    rng = random.Random(2)
+    rows = [(key, n, rng.choice(["push", "push", "undo", "redo", "other"])) for key in range(8) for n in range(rng.randint(1, 60))]
+    want = {}
+    for key, _, action in sorted(rows):
+        undo, redo = want.get(key, (0, 0))
+        if action == "push":
+            undo, redo = min(undo + 1, 7), 0
+        elif action == "undo" and undo:
+            undo, redo = undo - 1, redo + 1
+        elif action == "redo" and redo:
+            undo, redo = undo + 1, redo - 1
+        want[key] = (undo, redo)
+    got = undo_state(spark.createDataFrame(rows, "key int, n int, action string"), 7).collect()
+    assert {r.key: (r.undo, r.redo) for r in got} == want
+
+
+def test_bursts_end_at_other_actions(spark):
+    rows = [(1, 0, "00:00:00", True), (1, 1, "00:00:01", True), (1, 2, "00:00:01", False), (1, 3, "00:00:02", True), (1, 4, "00:00:09", True), (1, 5, "00:00:10", True)]
+    df = spark.createDataFrame(rows, "key int, id int, t string, edit boolean").withColumn("ts", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "t")))
+    assert sorted(r.n for r in L.edit_bursts(df, 1.5).collect()) == [1, 2, 2]
+
+
+def test_hits_by_running_sums(spark):
+    got = X.find_all(docs(spark, "ababab\nxabx").transform(X.txt_paragraphs), "ab").collect()
+    assert sorted((r.pos, r.hit, r.off) for r in got) == [(0, 0, 0), (0, 1, 2), (0, 2, 4), (1, 0, 1)]
+
+
+def test_numbers_without_one_task(spark):
+    rows = [(x, x % 7) for x in range(500)]
+    got = X.numbered(spark.createDataFrame(rows, "x int, k int").repartition(9), ["k", "x"], "n", 4).collect()
+    assert [(r.k, r.x) for r in sorted(got, key=lambda r: r.n)] == sorted((k, x) for x, k in rows) and sorted(r.n for r in got) == list(range(4, 504))
+
+
+def test_conversion_codes(spark):
+    from leafmill.operators.codecs import convert_corpus, default_registry
+
+    rows = [(1, "txt", "md", "a*b\nc"), (2, "txt", "pdf", "x"), (3, "txt", "md", ""), (4, "xml", "txt", "<!DOCTYPE a [<!ENTITY x 'y'>]><a><p>t</p></a>"), (5, "xml", "txt", "<a><p>t &amp; u</p><p>v</p></a>"), (6, "docx", "txt", "<AppVersion>12.0</AppVersion><w:p><w:r><w:t>x</w:t></w:r></w:p>")]
+    d = spark.createDataFrame(rows, "doc_id long, from string, to string, text string")
+    got = {r.doc_id: (r.text, r.code) for r in convert_corpus(default_registry(spark), d, [("txt", "md"), ("xml", "txt"), ("docx", "txt")]).collect()}
+    assert got == {1: ("a\\*b\n\nc", 0), 2: (None, 3), 3: (None, 4), 4: (None, 5), 5: ("t & u\nv", 0), 6: (None, 6)}
+
+
+def test_files_of_documents(spark, tmp_path):
+    out = str(tmp_path / "files")
+    write_rendered(docs(spark, "a\nb", "c"), out, "txt", files=True)
+    got = spark.read.text(out, wholetext=True)
+    assert sorted((r.doc_id, r.value) for r in got.collect()) == [(0, "a\nb\n"), (1, "c\n")]
