@@ -43,12 +43,18 @@ def page_geometry(sections: DataFrame) -> DataFrame:
 
 
 def apply_outline_style(blocks: DataFrame) -> DataFrame:
-    """blocks (level, and size_pt where set directly) with the style of their level; direct values win."""
+    """blocks (level, and any of size_pt, bold, italic, before, after, line_height where set directly) with the style of their
+    level: a direct value wins, then the level's, then the plain text's."""
     spark = blocks.sparkSession
     rows = [(k, *v) for k, v in OUTLINE.items()]
-    preset = spark.createDataFrame(rows, "level int, p_size double, bold boolean, italic boolean, before double, after double, line_height double")
+    names = ("size_pt", "bold", "italic", "before", "after", "line_height")
+    preset = spark.createDataFrame(rows, "level int, _size_pt double, _bold boolean, _italic boolean, _before double, _after double, _line_height double")
     out = blocks.join(F.broadcast(preset), "level", "left")  # 7 rows
-    return out.withColumn("size_pt", F.coalesce("size_pt", "p_size", F.lit(11.0))).drop("p_size")
+    plain = dict(zip(names, OUTLINE.get(0, (11.0, False, False, 0.0, 0.0, 1.0)), strict=False))
+    for c in names:
+        given = [F.col(c)] if c in blocks.columns else []
+        out = out.withColumn(c, F.coalesce(*given, F.col(f"_{c}"), F.lit(plain[c])))
+    return out.drop(*(f"_{c}" for c in names))
 
 
 def snap_to_standard(values: DataFrame, points: str = "pt") -> DataFrame:

@@ -15,41 +15,53 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def md_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, block_no, kind, level, checked, number, text): headings, items, quotes, fences, rules and paragraphs.
+    """(doc_id, block_no, kind, level, checked, number, language, text): headings, items, quotes, code, tables, math, HTML,
+    rules and paragraphs.
 
-    ATX headings, bullet and numbered items with task marks, quotes by depth, fences, rules; other lines that touch are
-    one paragraph. Lazy continuation, reference links and fences inside lists are not told apart.
+    Headings by marks before or a line of = or - below; bullet and numbered items with task marks; quotes by depth; fences
+    with the language that they name; tables by their bars; display math between lines of $$; HTML lines; other lines that
+    touch are one paragraph. Lazy continuation, reference links and fences inside lists are not told apart.
     """
     w = W.partitionBy("doc_id").orderBy("line_no")
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = _lines(docs).withColumn("fence", F.col("line").rlike(r"^\s{0,3}(```|~~~)"))
+    line = F.col("line")
+    t = _lines(docs).withColumn("fence", line.rlike(r"^\s{0,3}(```|~~~)"))
     t = t.withColumn("fences", F.sum(F.col("fence").cast("int")).over(so_far))
     inside = (F.col("fences") % 2 == 1) & ~F.col("fence")
+    t = t.withColumn("dollars", ~inside & ~F.col("fence") & (F.trim("line") == "$$")).withColumn("maths", F.sum(F.col("dollars").cast("int")).over(so_far))
+    info = F.when(F.col("fence") & (F.col("fences") % 2 == 1), F.regexp_extract("line", r"^\s*(?:```+|~~~+)\s*([^\s`]*)", 1))
+    t = t.withColumn("info", F.last(info, ignorenulls=True).over(so_far))
     kind = (
-        F.when(F.col("fence"), "fence").when(inside, "code").when(F.trim("line") == "", "blank").when(F.col("line").rlike(r"^#{1,6}\s+"), "heading")
-        .when(F.col("line").rlike(r"^\s{0,3}([-*_])\s*(\1\s*){2,}$"), "rule").when(F.col("line").rlike(r"^\s*[-*+]\s+"), "bullet").when(F.col("line").rlike(r"^\s*\d+[.)]\s+"), "ordered")
-        .when(F.col("line").rlike(r"^\s{0,3}>"), "quote").otherwise("paragraph")
+        F.when(F.col("fence"), "fence").when(inside, "code").when(F.col("dollars"), "fence").when(F.col("maths") % 2 == 1, "math").when(F.trim("line") == "", "blank").when(line.rlike(r"^#{1,6}\s+"), "heading")
+        .when(line.rlike(r"^\s{0,3}([-*_])\s*(\1\s*){2,}$"), "rule").when(line.rlike(r"^\s*[-*+]\s+"), "bullet").when(line.rlike(r"^\s*\d+[.)]\s+"), "ordered")
+        .when(line.rlike(r"^\s{0,3}>"), "quote").when(line.rlike(r"^\s*\|.*\|\s*$"), "table").when(line.rlike(r"^\s{0,3}</?[A-Za-z][^>]*>|^\s{0,3}<!--"), "html").otherwise("paragraph")
     )
-    t = t.withColumn("kind", kind).withColumn("prev", F.lag("kind").over(w))
-    joins = F.col("kind").isin("paragraph", "code") & (F.col("kind") == F.col("prev"))
+    t = t.withColumn("kind", kind)
+    below = line.rlike(r"^\s{0,3}(=+|-{2,})\s*$") & (F.lag("kind").over(w) == "paragraph")
+    t = t.withColumn("below", F.coalesce(below, F.lit(False)))
+    under = F.when(F.lead("below").over(w), F.when(F.lead("line").over(w).contains("="), 1).otherwise(2))
+    t = t.withColumn("under", under).filter("NOT below").withColumn("kind", F.when(F.col("under").isNotNull(), "heading").otherwise(F.col("kind")))
+    t = t.withColumn("prev", F.lag("kind").over(w))
+    joins = F.col("kind").isin("paragraph", "code", "table", "math", "html") & (F.col("kind") == F.col("prev"))
     t = t.filter("kind NOT IN ('blank')").withColumn("new", (~F.coalesce(joins, F.lit(False))).cast("int"))
     t = t.withColumn("bid", F.sum("new").over(so_far))
-    rows = t.filter("kind <> 'fence'").groupBy("doc_id", "bid").agg(F.max("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("r"))
+    rows = t.filter("kind <> 'fence'").groupBy("doc_id", "bid").agg(F.max("kind").alias("kind"), F.max("under").alias("under"), F.max("info").alias("info"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("r"))
     raw = F.array_join(F.transform("r", lambda x: x["line"]), "\n")
     rows = rows.withColumn("raw", raw)
     text = (
-        F.when(F.col("kind") == "heading", F.regexp_replace("raw", r"^#{1,6}\s+|\s+#+\s*$", "")).when(F.col("kind").isin("bullet", "ordered"), F.regexp_replace("raw", r"^\s*(?:[-*+]|\d+[.)])\s+(?:\[[ xX]\]\s+)?", ""))
+        F.when((F.col("kind") == "heading") & F.col("under").isNotNull(), F.trim("raw"))
+        .when(F.col("kind") == "heading", F.regexp_replace("raw", r"^#{1,6}\s+|\s+#+\s*$", "")).when(F.col("kind").isin("bullet", "ordered"), F.regexp_replace("raw", r"^\s*(?:[-*+]|\d+[.)])\s+(?:\[[ xX]\]\s+)?", ""))
         .when(F.col("kind") == "quote", F.regexp_replace("raw", r"^(?:\s{0,3}>\s?)+", "")).when(F.col("kind") == "rule", "").otherwise(F.col("raw"))
     )
     level = (
-        F.when(F.col("kind") == "heading", F.length(F.regexp_extract("raw", r"^(#+)", 1))).when(F.col("kind").isin("bullet", "ordered"), F.floor(F.length(F.regexp_extract("raw", r"^(\s*)", 1)) / 2) + 1)
+        F.when(F.col("kind") == "heading", F.coalesce("under", F.length(F.regexp_extract("raw", r"^(#+)", 1)))).when(F.col("kind").isin("bullet", "ordered"), F.floor(F.length(F.regexp_extract("raw", r"^(\s*)", 1)) / 2) + 1)
         .when(F.col("kind") == "quote", F.length(F.regexp_replace(F.regexp_extract("raw", r"^((?:\s{0,3}>\s?)+)", 1), r"[^>]", ""))).otherwise(0)
     )
     mark = F.regexp_extract("raw", r"^\s*(?:[-*+]|\d+[.)])\s+\[([ xX])\]", 1)
     checked = F.when(F.col("kind").isin("bullet", "ordered") & (mark != ""), F.lower(mark) == "x")
     number = F.when(F.col("kind") == "ordered", F.regexp_extract("raw", r"^\s*(\d+)", 1).try_cast("int"))
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("bid"))
-    return rows.select("doc_id", n.alias("block_no"), "kind", level.cast("int").alias("level"), checked.alias("checked"), number.alias("number"), text.alias("text"))
+    return rows.select("doc_id", n.alias("block_no"), "kind", level.cast("int").alias("level"), checked.alias("checked"), number.alias("number"), F.when(F.col("kind") == "code", F.col("info")).alias("language"), text.alias("text"))
 
 
 def md_runs(docs: DataFrame) -> DataFrame:

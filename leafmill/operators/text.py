@@ -148,6 +148,44 @@ def merge_fragments(fragments: DataFrame) -> DataFrame:
     return out.select("doc_id", F.array_join(F.transform("r", lambda x: x["text"]), "").alias("text"))
 
 
+def split_at(paragraphs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """paragraphs (doc_id, pos, node_id, text, marker, before, after) cut at character offsets (doc_id, pos, at), as fragments
+    with frag from 0.
+
+    Of several fragments each has the paragraph's id and its index (id§f0, id§f1, ...); one without an id gets §g and its
+    place. Only the first keeps the list marker and the space before, only the last the space after.
+    """
+    at = cuts.groupBy("doc_id", "pos").agg(F.sort_array(F.collect_set("at")).alias("_at"))
+    p = paragraphs.join(at, ["doc_id", "pos"], "left")
+    size = F.length("text")
+    inner = F.filter(F.coalesce("_at", F.array().cast("array<int>")), lambda x: (x > 0) & (x < size))
+    p = p.withColumn("_edges", F.concat(F.array(F.lit(0)), inner, F.array(size)))
+    p = p.withColumn("_n", F.size("_edges") - 1).withColumn("frag", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    start, end = F.get("_edges", F.col("frag")), F.get("_edges", F.col("frag") + 1)
+    base = F.coalesce("node_id", F.concat(F.lit("§g"), F.col("pos").cast("string")))
+    first, last = F.col("frag") == 0, F.col("frag") == F.col("_n") - 1
+    return p.select(
+        "doc_id", "pos", "frag", F.when(F.col("_n") > 1, F.concat(base, F.lit("§f"), F.col("frag").cast("string"))).otherwise(F.col("node_id")).alias("node_id"), F.substr("text", start + 1, end - start).alias("text"),
+        F.when(first, F.col("marker")).alias("marker"), F.when(first, F.col("before")).otherwise(0.0).alias("before"), F.when(last, F.col("after")).otherwise(0.0).alias("after"),
+    )
+
+
+def merge_by_ids(fragments: DataFrame) -> DataFrame:
+    """The inverse: fragments (doc_id, ord, node_id, text, marker, before, after) in the order of ord, by the ids that they share.
+
+    An index that comes again begins another paragraph; a fragment alone stays; generated ids go.
+    """
+    rx = "^(.*)§f([0-9]+)$"
+    f = fragments.withColumn("_base", F.when(F.col("node_id").rlike(rx), F.regexp_extract("node_id", rx, 1))).withColumn("_index", F.regexp_extract(F.coalesce("node_id", F.lit("")), rx, 2))
+    again = F.row_number().over(W.partitionBy("doc_id", "_base", "_index").orderBy("ord"))
+    f = f.withColumn("_copy", F.when(F.col("_base").isNotNull(), again).otherwise(0)).withColumn("_own", F.when(F.col("_base").isNull(), F.col("ord")))
+    rows = f.groupBy("doc_id", "_base", "_copy", "_own").agg(
+        F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("_r"), F.min_by("node_id", "ord").alias("_id"), F.min_by("marker", "ord").alias("marker"), F.min_by("before", "ord").alias("before"), F.max_by("after", "ord").alias("after")
+    )
+    name = F.coalesce("_base", "_id")
+    return rows.select("doc_id", "ord", F.when(~name.startswith("§g"), name).alias("node_id"), F.array_join(F.transform("_r", lambda x: x["text"]), "").alias("text"), "marker", "before", "after")
+
+
 def diff_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, pos, status) of blocks between two versions: added, removed, modified or clean."""
     a = old.select("doc_id", "pos", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("a"))

@@ -289,6 +289,30 @@ def w9_merge_fragments(spark, d):
     return X.merge_fragments(X.split_fragments(docs(spark, d), 500)).select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+def styled(spark, d):
+    """Paragraphs with ids (every fourth without), markers and spaces."""
+    p = paragraphs(spark, d).select("doc_id", F.col("pos").cast("int").alias("pos"), "text")
+    return p.select("doc_id", "pos", F.when(F.col("pos") % 4 > 0, F.concat(F.lit("n"), F.col("pos").cast("string"))).alias("node_id"), "text", F.when(F.col("pos") % 3 == 0, "bullet").alias("marker"), F.lit(6.0).alias("before"), F.lit(4.0).alias("after"))
+
+
+def cut(spark, d):
+    p = styled(spark, d)
+    return X.split_at(p, p.select("doc_id", "pos", F.explode(F.array(F.lit(40), F.lit(90))).alias("at")))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT *, 1 + (length(text) > 40)::INT + (length(text) > 90)::INT AS n, CASE WHEN pos % 4 > 0 THEN 'n' || pos END AS id FROM lines), f AS (SELECT *, unnest(range(0, n))::INT AS frag FROM p)
+SELECT doc_id, pos::INT AS pos, frag, CASE WHEN n > 1 THEN coalesce(id, '§g' || pos) || '§f' || frag ELSE id END AS node_id, substr(text, [1, 41, 91][frag + 1], [40, 50, 1000000000][frag + 1]) AS text,
+  CASE WHEN frag = 0 AND pos % 3 = 0 THEN 'bullet' END AS marker, CASE WHEN frag = 0 THEN 6 ELSE 0 END::DOUBLE AS before, CASE WHEN frag = n - 1 THEN 4 ELSE 0 END::DOUBLE AS after FROM f""")
+def w8_split_at_offsets(spark, d):
+    return cut(spark, d)
+
+
+@query(f"""WITH {LINES} SELECT doc_id, pos::BIGINT * 10 AS ord, CASE WHEN pos % 4 > 0 THEN 'n' || pos END AS node_id, text, CASE WHEN pos % 3 = 0 THEN 'bullet' END AS marker, 6.0::DOUBLE AS before, 4.0::DOUBLE AS after FROM lines""")
+def w9_merge_by_ids(spark, d):
+    f = cut(spark, d)
+    return X.merge_by_ids(f.withColumn("ord", F.col("pos").cast("long") * 10 + F.col("frag")))
+
+
 @query(f"""WITH {LINES} SELECT doc_id, pos::INT AS pos, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN contains(text, 'the') THEN 'modified' ELSE 'clean' END AS status FROM lines
 UNION ALL SELECT -1, 0, 'added'""")
 def j10_diff_versions(spark, d):

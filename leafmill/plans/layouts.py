@@ -171,9 +171,9 @@ STYLE = ", ".join(f"({k}, {v[0]}::DOUBLE, {v[1]}, {v[2]}, {v[3]}::DOUBLE, {v[4]}
 
 
 @query(f"""WITH {BODY}, style(level, p, bold, italic, before, after, line_height) AS (VALUES {STYLE})
-SELECT page_id, block_no, outline AS level, CASE WHEN block_no % 7 = 0 THEN 9.5 ELSE p END AS size_pt, bold, italic, before, after, line_height FROM blocks JOIN style ON outline = level""")
+SELECT page_id, block_no, outline AS level, CASE WHEN block_no % 7 = 0 THEN 9.5 ELSE p END AS size_pt, CASE WHEN block_no % 5 = 0 THEN block_no % 2 = 0 ELSE bold END AS bold, italic, CASE WHEN block_no % 3 = 0 THEN 1.5 ELSE before END AS before, after, line_height FROM blocks JOIN style ON outline = level""")
 def j3_apply_outline_style(spark, d):
-    b = H.html_blocks(pages(spark, d)).select("page_id", "block_no", F.col("outline").alias("level"), F.when(F.col("block_no") % 7 == 0, 9.5).alias("size_pt"))
+    b = H.html_blocks(pages(spark, d)).select("page_id", "block_no", F.col("outline").alias("level"), F.when(F.col("block_no") % 7 == 0, 9.5).alias("size_pt"), F.when(F.col("block_no") % 5 == 0, F.col("block_no") % 2 == 0).alias("bold"), F.when(F.col("block_no") % 3 == 0, 1.5).alias("before"))
     return long(L.apply_outline_style(b), "block_no")
 
 

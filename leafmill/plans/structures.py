@@ -47,18 +47,20 @@ def plain_lines(spark, d):
     return paragraphs(spark, d).withColumn("t", t).filter("t <> ''")
 
 
-@query(f"""WITH {LINES}, l AS (SELECT doc_id, pos, {PLAIN} AS t FROM lines), k AS (SELECT doc_id, pos, t, pos % 6 AS k FROM l WHERE t <> '')
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, pos, {PLAIN} AS t FROM lines), k AS (SELECT doc_id, pos, t, pos % 11 AS k FROM l WHERE t <> '')
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos)::INT AS block_no,
-  ['heading', 'bullet', 'ordered', 'quote', 'code', 'paragraph'][k + 1] AS kind, [2, 1, 1, 2, 0, 0][k + 1]::INT AS level,
-  CASE WHEN k = 1 THEN (pos % 4 = 1)::VARCHAR END AS checked, CASE WHEN k = 2 THEN pos::INT END AS number, t AS text FROM k""")
+  ['heading', 'bullet', 'ordered', 'quote', 'code', 'paragraph', 'heading', 'heading', 'table', 'math', 'html'][k + 1] AS kind, [2, 1, 1, 2, 0, 0, 1, 2, 0, 0, 0][k + 1]::INT AS level,
+  CASE WHEN k = 1 THEN (pos % 4 = 1)::VARCHAR END AS checked, CASE WHEN k = 2 THEN pos::INT END AS number, CASE WHEN k = 4 THEN 'py' END AS language,
+  CASE k WHEN 8 THEN '| ' || t || ' | x |' || chr(10) || '| --- | :-: |' WHEN 9 THEN t || chr(10) || '+ 1' WHEN 10 THEN '<div>' || t || '</div>' ELSE t END AS text FROM k""")
 def p11_md_blocks(spark, d):
-    """Lines of documents as headings, tasks, numbered items, quotes, fences and paragraphs by their number."""
-    k, t = F.col("pos") % 6, F.col("t")
+    """Lines of documents as all kinds of blocks by their number."""
+    t = F.col("t")
     task = F.when(F.col("pos") % 4 == 1, "- [x] ").otherwise("- [ ] ")
-    line = (
-        F.when(k == 0, F.concat(F.lit("## "), t)).when(k == 1, F.concat(task, t)).when(k == 2, F.concat(F.col("pos").cast("string"), F.lit(". "), t)).when(k == 3, F.concat(F.lit("> > "), t))
-        .when(k == 4, F.concat(F.lit("```\n"), t, F.lit("\n```"))).otherwise(t)
-    )
+    shapes = [
+        F.concat(F.lit("## "), t, F.lit(" ##")), F.concat(task, t), F.concat(F.col("pos").cast("string"), F.lit(". "), t), F.concat(F.lit("> > "), t), F.concat(F.lit("```py\n"), t, F.lit("\n```")), t, F.concat(t, F.lit("\n===")),
+        F.concat(t, F.lit("\n---")), F.concat(F.lit("| "), t, F.lit(" | x |\n| --- | :-: |")), F.concat(F.lit("$$\n"), t, F.lit("\n+ 1\n$$")), F.concat(F.lit("<div>"), t, F.lit("</div>")),
+    ]
+    line = F.element_at(F.array(*shapes), (F.col("pos") % 11 + 1).cast("int"))
     return M.md_blocks(joined(plain_lines(spark, d), "doc_id", "pos", line, "\n\n")).withColumn("checked", F.col("checked").cast("string"))
 
 
