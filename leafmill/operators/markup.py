@@ -65,16 +65,23 @@ def md_blocks(docs: DataFrame) -> DataFrame:
 
 
 def md_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, run_no, kind, text, url): strong, em, strike, code, link, autolink, math and plain runs of a text."""
-    rx = r"\*\*[^*]+\*\*|~~[^~]+~~|\*[^*\s][^*]*\*|`[^`]+`|!?\[[^\]]*\]\([^)]*\)|<https?://[^>]+>|\$[^$\n]+\$|[^*`\[<!$~]+|."
+    """(doc_id, run_no, kind, text, url): strong, em, strike, sub, sup, code, image, link, autolink, math, break and plain runs
+    of a text. Emphasis inside emphasis is not told apart."""
+    under = r"(?<!\w)_[^_\s](?:[^_]*[^_\s])?_(?!\w)"
+    rx = (
+        r" {2,}\n|\\\n|\*\*[^*]+\*\*|__[^_]+__|" + under + r"|~~[^~]+~~|~[^~\n]+~|\^[^\^\n]+\^|\*[^*\s][^*]*\*|``.+?``|`[^`]+`|!?\[[^\]]*\]\([^)]*\)|<(?:https?://|mailto:)[^>]+>|\$[^$\n]+\$|"
+        r"(?:(?! {2,}\n|\\\n|__|" + under + r")[^*`\[<!$~^])+|."
+    )
     t = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?s)" + rx), F.lit(0))).alias("run_no", "tok"))
     tok = F.col("tok")
+    whole = lambda rx: tok.rlike(r"(?s)^" + rx + "$")
     kind = (
-        F.when(tok.rlike(r"(?s)^\*\*.+\*\*$"), "strong").when(tok.rlike(r"(?s)^~~.+~~$"), "strike").when(tok.rlike(r"(?s)^\*.+\*$"), "em").when(tok.rlike(r"(?s)^`.+`$"), "code")
-        .when(tok.rlike(r"(?s)^!\[.*\]\(.*\)$"), "image").when(tok.rlike(r"(?s)^\[.*\]\(.*\)$"), "link").when(tok.rlike(r"^<https?://"), "autolink").when(tok.rlike(r"(?s)^\$.+\$$"), "math").otherwise("plain")
+        F.when(whole(r"( {2,}|\\)\n"), "break").when(whole(r"\*\*.+\*\*") | whole("__.+__"), "strong").when(whole("~~.+~~"), "strike").when(whole("~.+~"), "sub").when(whole(r"\^.+\^"), "sup")
+        .when(whole(r"\*.+\*") | whole("_.+_"), "em").when(whole("`.+`"), "code").when(whole(r"!\[.*\]\(.*\)"), "image").when(whole(r"\[.*\]\(.*\)"), "link").when(whole("<(https?://|mailto:).+>"), "autolink").when(whole(r"\$.+\$"), "math").otherwise("plain")
     )
+    inner = lambda n: F.substr(tok, F.lit(n + 1), F.length(tok) - 2 * n)
     text = (
-        F.when(kind.isin("strong", "strike"), F.expr("substring(tok, 3, length(tok) - 4)")).when(kind.isin("em", "code", "autolink", "math"), F.expr("substring(tok, 2, length(tok) - 2)"))
+        F.when(kind == "break", "\n").when(kind.isin("strong", "strike") | whole("``.+``"), inner(2)).when(kind.isin("em", "code", "autolink", "math", "sub", "sup"), inner(1))
         .when(kind.isin("image", "link"), F.regexp_extract("tok", r"(?s)^!?\[(.*?)\]", 1)).otherwise(tok)
     )
     url = F.when(kind.isin("image", "link"), F.regexp_extract("tok", r"(?s)\]\((.*)\)$", 1)).when(kind == "autolink", text)

@@ -65,12 +65,15 @@ def p11_md_blocks(spark, d):
 
 
 @query(f"""WITH {LINES}, l AS (SELECT doc_id, pos, {PLAIN} AS t FROM lines)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS run_no, ['strong', 'em', 'strike', 'code', 'link', 'math'][pos % 6 + 1] AS kind, t AS text,
-  CASE WHEN pos % 6 = 4 THEN 'u/' || pos END AS url FROM l WHERE t <> ''""")
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS run_no, ['strong', 'em', 'strike', 'code', 'link', 'math', 'sub', 'sup', 'break', 'strong'][pos % 10 + 1] AS kind,
+  CASE WHEN pos % 10 = 8 THEN chr(10) ELSE t END AS text, CASE WHEN pos % 10 = 4 THEN 'u/' || pos END AS url FROM l WHERE t <> ''""")
 def p12_md_runs(spark, d):
-    k, t = F.col("pos") % 6, F.col("t")
+    """Lines of documents as runs of all kinds by their number."""
+    k, t = F.col("pos") % 10, F.col("t")
     wrap = lambda m: F.concat(F.lit(m), t, F.lit(m))
-    line = F.when(k == 0, wrap("**")).when(k == 1, wrap("*")).when(k == 2, wrap("~~")).when(k == 3, wrap("`")).when(k == 4, F.concat(F.lit("["), t, F.lit("](u/"), F.col("pos").cast("string"), F.lit(")"))).otherwise(wrap("$"))
+    line = F.lit("")
+    for n, x in enumerate([wrap("**"), wrap("*"), wrap("~~"), wrap("`"), F.concat(F.lit("["), t, F.lit("](u/"), F.col("pos").cast("string"), F.lit(")")), wrap("$"), wrap("~"), wrap("^"), F.lit("  \n"), wrap("__")]):
+        line = F.when(k == n, x).otherwise(line)
     return M.md_runs(joined(plain_lines(spark, d), "doc_id", "pos", line, ""))
 
 

@@ -265,3 +265,30 @@ def test_files_of_documents(spark, tmp_path):
     write_rendered(docs(spark, "a\nb", "c"), out, "txt", files=True)
     got = spark.read.text(out, wholetext=True)
     assert sorted((r.doc_id, r.value) for r in got.collect()) == [(0, "a\nb\n"), (1, "c\n")]
+
+
+def test_markdown_runs(spark):
+    from leafmill.operators.markup import md_blocks, md_runs
+
+    got = md_runs(docs(spark, "plain **bold** and *italic* end", "H~2~O x^2^  \nnext __b__ snake_case_name _e_ ``a ` b``", "![a](b.png)<https://x.y>$a$")).orderBy("doc_id", "run_no").collect()
+    runs = [[(r.kind, r.text) for r in got if r.doc_id == k] for k in range(3)]
+    assert runs[0] == [("plain", "plain "), ("strong", "bold"), ("plain", " and "), ("em", "italic"), ("plain", " end")]
+    assert runs[1] == [("plain", "H"), ("sub", "2"), ("plain", "O x"), ("sup", "2"), ("break", "\n"), ("plain", "next "), ("strong", "b"), ("plain", " snake_case_name "), ("em", "e"), ("plain", " "), ("code", "a ` b")]
+    assert runs[2] == [("image", "a"), ("autolink", "https://x.y"), ("math", "a")]
+    blocks = md_blocks(docs(spark, "Title\n===\n\ntext\nmore\n\n```py x\na\n\nb\n```\n- [x] t\n- [ ] u\n\n$$\nE\n$$\n---\n")).orderBy("block_no").collect()
+    assert [(b.kind, b.level, b.text, b.checked, b.language) for b in blocks] == [
+        ("heading", 1, "Title", None, None), ("paragraph", 0, "text\nmore", None, None), ("code", 0, "a\n\nb", None, "py"), ("bullet", 1, "t", True, None), ("bullet", 1, "u", False, None), ("math", 0, "E", None, None), ("rule", 0, "", None, None)
+    ]
+
+
+def test_html_elements(spark):
+    page = lambda h: spark.createDataFrame([(1, h)], "page_id long, html string")
+    e = H.html_elements(page("<head><title>t</title></head><body><ul><li>a</li><li>b</li></ul><ol><li>1<ul><li>deep</li></ul></li><li>2</li></ol><ul><li><input type=checkbox checked>x</li><li><input type='checkbox'>y</li></ul><blockquote><p>1</p><blockquote><p>2</p></blockquote></blockquote><script>no</script><p>a <b>b</b><br>c</p>")).orderBy("block_no").collect()
+    assert [(r.text, r.list_kind, r.list_level, r.number, r.checked, r.quote_level) for r in e] == [
+        ("a", "bullet", 1, None, None, 0), ("b", "bullet", 1, None, None, 0), ("1", "ordered", 1, 1, None, 0), ("deep", "bullet", 2, None, None, 0), ("2", "ordered", 1, 2, None, 0), ("x", "bullet", 1, None, True, 0), ("y", "bullet", 1, None, False, 0),
+        ("1", None, 0, None, None, 1), ("2", None, 0, None, None, 2), ("a b\nc", None, 0, None, None, 0),
+    ]
+    runs = H.html_runs(page("<body><p>x<u>u</u><del>s</del>H<sub>2</sub><sup>3</sup><code>c</code><mark>m</mark><br><a href=q>l</a><img src=i alt=p></p>")).orderBy("pos").collect()
+    assert [(r.text, [k for k in H.STYLES if r[k]], r.url) for r in runs] == [
+        ("x", [], None), ("u", ["underline"], None), ("s", ["strike"], None), ("H", [], None), ("2", ["sub"], None), ("3", ["sup"], None), ("c", ["mono"], None), ("m", ["mark"], None), ("\n", [], None), ("l", ["underline"], "q"), ("[p](i)", [], None)
+    ]
