@@ -1,24 +1,27 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fit, on at most `sample` labelled rows of each class, the ones with the smallest hashes: Spark counts in how many
-examples of either class each term (a word, or its first four to six letters) occurs and keeps the terms whose
-chi-square is significant; document frequencies of these terms are then counted over all documents. Examples become
-unit TF-IDF vectors in an inverted index of blocks, with the largest weight of each term in each block. The bound on
-rows, and the one on terms, keep the index small, so every task gets it.
-
-Score: the blocks are visited by descending bound on the cosine, until no block can hold one of the k nearest. The votes
-of the nearest, weighted by cosine and drawn to the rate of examples without any such term, become a probability by a
-logistic curve that is fitted to the examples' own leave-one-out votes, with the classes weighted as in all labels.
-Labels of rows in the held-out fold, and lang, source and doc_id, are never used.
-
-Null texts are empty; they, and texts without a significant term, get the rate of such examples. Labels that are null,
-not 0 or 1, or without a document are left out. Without any label of either class every score is 0.
+Fit, on at most `sample` labelled rows of each class, the ones with the smallest hashes: all their terms (the
+first six letters of each word) are the features. Document frequencies of these terms are counted over all documents; a
+term's weight is its inverse document frequency times a factor from 0 to 1 that grows with the chi-square of its counts
+in the examples of either class, so terms that tell nothing about the label count little, and none is left out. Examples
+become unit vectors in an inverted index: each term's postings lie in blocks of examples, with the largest weight of each
+block. The bound on rows keeps the index small, so every task gets it.
+
+Score: the cosine with every example of a block is bounded by the sum of the query's weights times the block's largest;
+the most promising blocks come first, then those that may still hold one of the k nearest. The votes of the nearest,
+weighted by cosine and drawn to the rate of examples without any term, become a probability by a logistic curve that is
+fitted to the examples' own leave-one-out votes, with the classes weighted as in all labels. Labels of rows in the
+held-out fold, and lang, source and doc_id, are never used.
+
+Null texts are empty; they, and texts without any term of the examples, get the rate of such examples. Labels that are
+null, not 0 or 1, or without a document are left out; several labels of one doc_id are the largest. With labels of one
+class alone every score is that class, without any label 0. Terms are told apart by 64-bit hashes. Columns called score
+or evidence are replaced; other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,117 +30,161 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_slices, materialize, table, texts_of
+from .common import in_slices, materialize, summed, table, texts_of
 
-SAMPLE, TERMS, CHI_SQUARE, NEIGHBOURS, BLOCK = 2000, 2000, 20.0, 15, 256
+SAMPLE, LETTERS, NEIGHBOURS, BLOCK = 1000, 6, 15, 128
+#: Chi-square at which a term counts a quarter, and the least that any term counts.
+HALF, LEAST = 20.0, 1e-4
 _EDGES = b".,;:!?|\"'()[]{}<>*_-#/\\"
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """A word's terms: itself, and its first four, five and six letters."""
-    word = word.strip(_EDGES)
-    if not word:
-        return []
-    letters = word.decode("utf-8", "ignore")
-    return [word, *(b"^" + letters[:n].encode() for n in (4, 5, 6) if len(letters) >= n)]
+def term_of(word: bytes) -> bytes:
+    """A word's term: its first LETTERS letters, without marks around it; empty for marks alone."""
+    return word.strip(_EDGES).decode("utf-8", "ignore")[:LETTERS].encode()
 
 
-class TermNumbers(dict):
-    """The numbers of the chosen terms that a word has; emptied when it grows past a bound."""
+class TermHashes(dict):
+    """The 64-bit hash of each word's term, 0 for none; emptied when it grows past a bound."""
 
-    def __init__(self, chosen: dict[bytes, int]):
-        super().__init__()
-        self.chosen = chosen
+    LIMIT = 400_000
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 400_000:
-            self.clear()
-        found = self[word] = tuple(self.chosen[t] for t in terms_of(word) if t in self.chosen)
+    def find(self, word: bytes) -> int:
+        import xxhash
+
+        term = term_of(word)
+        return xxhash.xxh3_64_intdigest(term) if term else 0
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.find(word)
         return found
 
+    def of_words(self, texts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
+        """The text's number and what is found for each word of the texts."""
+        if len(self) > self.LIMIT:
+            self.clear()
+        words: list[bytes] = []
+        size = []
+        for t in texts:
+            own = t.lower().split()
+            words += own
+            size.append(len(own))
+        return np.repeat(np.arange(len(texts)), size), np.fromiter(map(self.__getitem__, words), kind, len(words))
+
+
+class TermNumbers(TermHashes):
+    """The number of each word's term among the known ones, -1 for others."""
+
+    def __init__(self, known: np.ndarray):
+        super().__init__()
+        self.known = dict(zip(known.tolist(), range(len(known)), strict=True))
+
+    def find(self, word: bytes) -> int:
+        return self.known.get(super().find(word), -1)
 
-def counts_of(text: bytes, numbers: TermNumbers) -> Counter:
-    out: Counter = Counter()
-    for found in filter(None, map(numbers.__getitem__, text.lower().split())):
-        out.update(found)
-    return out
+    def of(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The distinct terms of each text and how often each occurs."""
+        text, term = self.of_words(texts, np.int64)
+        there = term >= 0
+        each = max(len(self.known), 1)
+        key, counts = np.unique(text[there] * each + term[there], return_counts=True)
+        cut = np.searchsorted(key, np.arange(len(texts) + 1) * each)
+        key %= each
+        return [(key[a:b], counts[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The whole numbers of many ranges, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
 class BlockMaxIndex:
-    """Unit vectors of labelled examples by term and block, with the largest weight of each term in each block.
+    """Unit vectors (terms, weights) by term: its postings in blocks of examples, each with the largest weight in it.
 
     vectors come in an order that puts like ones together, so that few blocks can hold the nearest of a query.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n = len(vectors)
-        self.blocks = []
-        for at in range(0, self.n, BLOCK):
-            weights = np.zeros((n_terms, min(BLOCK, self.n - at)), np.float32)
-            for e, v in enumerate(vectors[at : at + BLOCK]):
-                weights[list(v), e] = list(v.values())
-            self.blocks.append(weights)
-        self.most = np.stack([w.max(1) for w in self.blocks], 1) if self.blocks else np.zeros((n_terms, 0), np.float32)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
+        self.blocks = -(-self.n // BLOCK)
+        terms = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        order = np.lexsort((example, terms))
+        terms, self.example, self.weight = terms[order], example[order].astype(np.int32), weights[order].astype(np.float32)
+        pair = terms * max(self.blocks, 1) + self.example // BLOCK
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.start, self.size = first.astype(np.int64), np.diff(np.append(first, len(pair)))
+        self.block = (self.example[first] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.pairs = np.searchsorted(terms[first], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k largest cosines above 0 and their examples; ties to the smaller number."""
-        if not query or not self.n:
-            return []
-        terms, weights = np.array(list(query)), np.array(list(query.values()), np.float32)
-        bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        scores, ids, kth = [], [], 0.0
-        for rank, b in enumerate(order.tolist()):
-            if bound[b] <= 0 or bound[b] < kth - 1e-6:
+        size = self.pairs[terms + 1] - self.pairs[terms] if self.n else np.zeros(0, np.int64)
+        if not size.sum():
+            return np.zeros(0), np.zeros(0, np.int64)
+        at, q = ranges(self.pairs[terms], size), np.repeat(weights, size)
+        block = self.block[at]
+        bound = np.bincount(block, q * self.most[at], self.blocks)
+        score = np.zeros(self.n)
+        left = bound > 0
+        kth = 0.0
+        while True:  # the best blocks, then all that can still matter
+            go = np.flatnonzero(left & (bound >= kth - 1e-6))
+            if not len(go):
                 break
-            s = weights @ self.blocks[b][terms]
-            if b * BLOCK <= without < (b + 1) * BLOCK:
-                s[without - b * BLOCK] = 0
-            good = np.flatnonzero((s > 0) & (s >= kth - 1e-6))
-            scores.append(s[good])
-            ids.append(good + b * BLOCK)
-            if sum(map(len, scores)) >= k and (rank < 3 or rank % 4 == 0):
-                kth = float(np.partition(np.concatenate(scores), -k)[-k])
-        if not scores:
-            return []
-        s, e = np.concatenate(scores), np.concatenate(ids)
-        top = np.lexsort((e, -s))[:k]
-        return list(zip(s[top].tolist(), e[top].tolist(), strict=True))
+            if kth == 0 and len(go) > 3:
+                go = go[np.argsort(-bound[go], kind="stable")[:3]]
+            left[go] = False
+            chosen = np.zeros(self.blocks, bool)
+            chosen[go] = True
+            some = chosen[block]
+            own = at[some]
+            rows = ranges(self.start[own], self.size[own])
+            score += np.bincount(self.example[rows], self.weight[rows] * np.repeat(q[some], self.size[own]), self.n)
+            if without >= 0:
+                score[without] = 0
+            if np.count_nonzero(score) >= k:
+                kth = float(np.partition(score, -k)[-k])
+        found = np.flatnonzero((score > 0) & (score >= kth))
+        top = found[np.lexsort((found, -score[found]))[:k]]
+        return score[top], top
 
 
 class Model:
     """Everything that a task needs to score a text."""
 
-    def __init__(self, chosen: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], rate: float):
-        self.chosen, self.idf = {t: k for k, t in enumerate(chosen)}, idf
-        share = np.mean([y for _, y, _ in examples]) if examples else 0.0
+    def __init__(self, known: np.ndarray, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], rate: float):
+        """Sorted hashes of the terms and their weights; examples (doc_id, label, term numbers, counts); rate of label 1."""
+        self.known, self.term_weight = known, weight
+        share = np.mean([e[1] for e in examples]) if examples else 0.0
         # the sample has other class sizes than all labels: weights that restore them
-        self.weight = {1: rate / max(share, 1e-9), 0: (1 - rate) / max(1 - share, 1e-9)}
-        bare = [y for _, y, c in examples if not c]
-        w = [self.weight[y] for y in bare]
-        self.bare = (sum(a * y for a, y in zip(w, bare, strict=True)) + rate) / (sum(w) + 1) if examples else 0.0
-        held = [(d, y, self.vector(c)) for d, y, c in examples if c]
-        held.sort(key=lambda x: (max(x[2], key=lambda t: (x[2][t], -t)), x[0]))  # those with one strongest term together
-        self.ids, self.labels = [d for d, _, _ in held], np.array([y for _, y, _ in held], float)
-        self.index = BlockMaxIndex([v for _, _, v in held], len(chosen))
-        votes = np.array([self.vote(self.index.nearest(v, NEIGHBOURS, without=e)) for e, (_, _, v) in enumerate(held)])
+        self.class_weight = np.array([(1 - rate) / max(1 - share, 1e-9), rate / max(share, 1e-9)])
+        bare = np.array([y for _, y, t, _ in examples if not len(t)], int)
+        self.bare = float((self.class_weight[bare] @ bare + rate) / (self.class_weight[bare].sum() + 1)) if examples else rate
+        held = [(d, y, *self.vector(t, n)) for d, y, t, n in examples if len(t)]
+        held.sort(key=lambda x: (int(x[2][np.argmax(x[3])]), x[0]))  # those with one strongest term together
+        self.ids, self.labels = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+        self.index = BlockMaxIndex([x[2:] for x in held], len(known))
+        votes = np.array([self.vote(*self.index.nearest(x[2], x[3], NEIGHBOURS, without=e)) for e, x in enumerate(held)])
         self.slope, self.shift = self.calibrate(votes, self.labels)
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        return {t: x / norm for t, x in v.items()}
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.term_weight[terms]
+        return terms, w / max(float(np.linalg.norm(w)), 1e-300)
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        w = [s * self.weight[int(self.labels[e])] for s, e in near]
-        return (sum(a * self.labels[e] for a, (_, e) in zip(w, near, strict=True)) + 0.5 * self.bare) / (sum(w) + 0.5)
+    def vote(self, cosines: np.ndarray, near: np.ndarray) -> float:
+        y = self.labels[near]
+        w = cosines * self.class_weight[y]
+        return float((w @ y + 0.5 * self.bare) / (w.sum() + 0.5))
 
     def calibrate(self, votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         """Slope and shift of a logistic curve from votes to labels, by Newton's method with a small penalty."""
         if not len(y):
             return 1.0, 0.0
         x = np.stack([self.log_odds(votes), np.ones(len(y))], 1)
-        w = np.array([self.weight[int(v)] for v in y])
+        w = self.class_weight[y]
         beta = np.array([1.0, 0.0])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -153,102 +200,89 @@ class Model:
         v = np.clip(v, 1e-4, 1 - 1e-4)
         return np.log(v / (1 - v))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
         """Probability of label 1, and the nearest examples as (cosine, doc_id)."""
-        if not counts:
-            return float(self.bare), []
-        near = self.index.nearest(self.vector(counts), NEIGHBOURS)
-        if not near:
-            return float(self.bare), []
-        p = 1 / (1 + math.exp(-(self.slope * float(self.log_odds(self.vote(near))) + self.shift)))
-        return p, [(s, self.ids[e]) for s, e in near]
+        cosines, near = self.index.nearest(*self.vector(terms, counts), NEIGHBOURS)
+        if not len(near):
+            return self.bare, []
+        p = 1 / (1 + math.exp(-(self.slope * float(self.log_odds(self.vote(cosines, near))) + self.shift)))
+        return p, list(zip(cosines.tolist(), self.ids[near].tolist(), strict=True))
 
 
 def held_out(doc_id, folds: int = 4, fold: int = 2):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Model:
+def chi_squares(n0: np.ndarray, n1: np.ndarray, all0: int, all1: int) -> np.ndarray:
+    """Chi-square of each term: in how many of the examples of either class it is."""
+    n = all0 + all1
+    return (n1 * (all0 - n0) - n0 * (all1 - n1)) ** 2 * n / ((n0 + n1) * (n - n0 - n1) * all0 * all1 + 1e-9)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """The model of (doc_id, text) rows and their labels outside the held-out fold."""
     spark = docs.sparkSession
     usable = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-    usable = usable.groupBy("doc_id").agg(F.max(label).alias("y"))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("y"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = sizes.get(1, 0) / max(sum(sizes.values()), 1)
-    chosen_rows = None
-    for y in (0, 1):  # 2 * sample rows at most
-        some = usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        chosen_rows = some if chosen_rows is None else chosen_rows.unionByName(some)
-    of = {r["doc_id"]: r["y"] for r in chosen_rows.collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return Model([], np.zeros(0), [], 0.0)
-    known = spark.sparkContext.broadcast(of)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        return Model(np.zeros(0, np.uint64), np.zeros(0), [], rate)
+    some = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
 
-    def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[bytes, list[int]] = {}
+    def examples_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TermHashes()
         for b in in_slices(batches):
-            ids = b.column(0).to_pylist()
-            keep = [k for k, d in enumerate(ids) if d in known.value]
-            for d, t in zip([ids[k] for k in keep], texts_of(b.take(pa.array(keep, pa.int64()))), strict=True):
-                for term in {x for w in set(t.lower().split()) for x in terms_of(w)}:
-                    n.setdefault(term, [0, 0])[known.value[d]] += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array([c[0] for c in n.values()], pa.int64()), pa.array([c[1] for c in n.values()], pa.int64())], names=["term", "n0", "n1"])
-
-    n0, n1 = sum(1 for y in of.values() if y == 0), sum(1 for y in of.values() if y == 1)
-    a, c = F.col("n1"), F.col("n0")
-    chi = (a * (n0 - c) - c * (n1 - a)) ** 2 * (n0 + n1) / ((a + c) * (n0 + n1 - a - c) * n0 * n1 + 1e-9)
-    found = (
-        rows.mapInArrow(term_counts, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
-        .withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARE) & (a + c >= 5)).orderBy(F.desc("chi"), "term").limit(terms)
-    )
-    names = [bytes(r["term"]) for r in found.select("term").collect()]
-    sent = spark.sparkContext.broadcast({t: k for k, t in enumerate(names)})
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts over the task's documents, and the vectors of its examples."""
-        numbers, n, total = TermNumbers(sent.value), np.zeros(len(sent.value), np.int64), 0
-        seen: list[tuple] = []
+            text, h = hashes.of_words(texts_of(b), np.uint64)
+            found = [np.unique(h[(text == k) & (h > 0)], return_counts=True) for k in range(b.num_rows)]
+            cols = [pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.int32).tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "y", "terms", "counts"])
+
+    chosen = rows.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))  # 2 * sample rows at most
+    held = materialize(chosen.mapInArrow(examples_of, "doc_id long, y int, terms binary, counts binary"), "examples").toArrow()
+    unique = {d: (d, y, np.frombuffer(t, np.uint64), np.frombuffer(n, np.int32)) for d, y, t, n in sorted(zip(*(c.to_pylist() for c in held.columns), strict=True))}
+    examples = list(unique.values())
+    known, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t for _, _, t, _ in examples)]), return_inverse=True)
+    ends = np.cumsum([0, *(len(t) for _, _, t, _ in examples)])
+    examples = [(d, y, number[a:b], n) for (d, y, _, n), a, b in zip(examples, ends[:-1], ends[1:], strict=True)]
+    n0, n1 = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for _, y, t, _ in examples if y == k)]), minlength=len(known)).astype(float) for k in (0, 1))
+    chi = chi_squares(n0, n1, sum(y == 0 for _, y, *_ in examples), sum(y == 1 for _, y, *_ in examples))
+    sent = spark.sparkContext.broadcast(known)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        """In how many of a task's documents each term is, and how many documents there are."""
+        numbers, n = TermNumbers(sent.value), np.zeros(len(sent.value) + 1, np.int64)
         for b in in_slices(batches):
-            for d, t in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
-                counts = counts_of(t, numbers)
-                n[list(counts)] += 1
-                total += 1
-                if d in known.value:
-                    seen.append((d, list(counts), list(counts.values())))
-        there = np.flatnonzero(n)
-        cols = [[None, *(x[0] for x in seen)], [there.tolist(), *(x[1] for x in seen)], [n[there].tolist(), *(x[2] for x in seen)], [total, *(0 for _ in seen)]]
-        types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["doc_id", "at", "n", "total"])
-
-    made = materialize(rows.mapInArrow(frequencies, "doc_id long, at array<int>, n array<bigint>, total bigint"), "term-counts")
-    df, counted = np.zeros(len(names), np.int64), made.filter("doc_id IS NULL")
-    pairs = counted.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
-    for r in pairs.collect():  # a row for each term
-        df[r["at"]] = r["n"]
-    total = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
-    examples = [(r["doc_id"], of[r["doc_id"]], dict(zip(r["at"], r["n"], strict=True))) for r in made.filter("doc_id IS NOT NULL").collect()]  # the sample
-    examples = sorted({d: (d, y, c) for d, y, c in examples}.values(), key=lambda x: x[0])
-    return Model(names, np.log((1 + total) / (1 + df)) + 1, examples, rate)
-
-
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, and with evidence: the nearest examples, as cosine and doc_id."""
+            held = [t for t, _ in numbers.of(texts_of(b))]
+            n += np.bincount(np.concatenate(held), minlength=len(n))
+            n[-1] += len(held)
+        return n
+
+    df = summed(rows.select("text"), frequencies, (len(known) + 1,), np.int64)
+    sent.destroy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    return Model(known, idf * ((chi / (chi + HALF)) ** 2 + LEAST), examples, rate)
+
+
+def score_documents(docs: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
+    """docs with score, and on request with evidence: the nearest examples, as cosine and doc_id."""
     fields = [f for f in docs.schema.fields if f.name not in ("score", "evidence")]
     names = [f.name for f in fields]
-    evidence = T.ArrayType(T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("doc_id", T.LongType())]))
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
+    near = T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("cosine", T.DoubleType()), T.StructField("doc_id", T.LongType())])))
+    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), *([near] if evidence else [])])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        numbers = TermNumbers(m.chosen)
+        numbers = TermNumbers(m.known)
         for b in in_slices(batches):
-            found = [m.score(counts_of(t, numbers)) for t in texts_of(b)]
-            kind = pa.list_(pa.struct([("cosine", pa.float64()), ("doc_id", pa.int64())]))
-            near = pa.array([[{"cosine": s, "doc_id": d} for s, d in e] for _, e in found], kind)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _ in found], pa.float64()), near], names=[*names, "score", "evidence"])
+            found = [m.score(*x) for x in numbers.of(texts_of(b))]
+            cols = [*b.columns, pa.array([s for s, _ in found], pa.float64())]
+            if evidence:
+                kind = pa.list_(pa.struct([("cosine", pa.float64()), ("doc_id", pa.int64())]))
+                cols.append(pa.array([[{"cosine": s, "doc_id": d} for s, d in e] for _, e in found], kind))
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(*names).mapInArrow(run, schema)
 
