@@ -60,8 +60,8 @@ def repeat_filter(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.
 
     merged = df.mapInArrow(seen, "slice int, once binary, twice binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, twice binary")
     out = np.zeros((SLICES, width // 8), np.uint8)
-    for r in merged.collect():  # bits / 8 bytes
-        out[r["slice"]] = np.frombuffer(r["twice"], np.uint8)
+    for k, twice in zip(*merged.toArrow().columns, strict=True):  # bits / 8 bytes
+        out[k.as_py()] = np.frombuffer(twice.as_buffer(), np.uint8)
     return out.reshape(-1)
 
 
