@@ -8,7 +8,10 @@ from .html_extract import OP4_SQL, op4_consensus_paths
 from .jaccard import OP7_SQL, op7_ngram_jaccard
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .lm import op9_recurrent_model
+from .mixing import OP13_SQL, op13_water_filling
+from .negatives import OP12_SQL, op12_rtree_negatives
 from .packing import op3_best_fit_packing
+from .repair import OP11_SQL, op11_run_length_repair
 from .topk import OP5_SQL, op5_dual_cover_trees
 from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op10_nearest_examples
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_weighted_sampling": op8_weighted_sampling,
     "op9_recurrent_model": op9_recurrent_model,
     "op10_nearest_examples": op10_nearest_examples,
+    "op11_run_length_repair": op11_run_length_repair,
+    "op12_rtree_negatives": op12_rtree_negatives,
+    "op13_water_filling": op13_water_filling,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +37,7 @@ ORACLES: dict[str, str] = {
     "op5_dual_cover_trees": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_ngram_jaccard": OP7_SQL,
+    "op11_run_length_repair": OP11_SQL,
+    "op12_rtree_negatives": OP12_SQL,
+    "op13_water_filling": OP13_SQL,
 }

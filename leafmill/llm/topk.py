@@ -126,11 +126,11 @@ def dual_search(q: Tree, p: Tree, ids: list[list[int]], best: Best) -> None:
     visit(0, np.array([0]))
 
 
-def whole_numbers(df: DataFrame, vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v) of the rows whose vectors are whole: each component becomes floor(scale * component)."""
+def whole_numbers(df: DataFrame, vector: str = "embedding", scale: int = 256, keep: list[str] | None = None) -> DataFrame:
+    """(vec_id, v) and the columns to keep of the rows whose vectors are whole: each component becomes floor(scale * component)."""
     x = F.col(vector)
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
-    return df.filter(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
+    return df.filter(F.col("vec_id").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"), *(keep or []))
 
 
 class Cells:
