@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def txt_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, text): a paragraph for each line; one trailing CR goes, and an empty last line."""
@@ -115,23 +117,34 @@ def replace_all(docs: DataFrame, query: str, replacement: str, case_sensitive: b
 def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
     """rows with a running number in an order of all of them, without bringing them to one task.
 
-    Rows are sorted in ranges; a range's numbers start after the counts of those before it, of which there is one row each.
+    Rows are dealt by range and stored with their range, so that ranks and the counts of the ranges before, of which there is
+    a row each, come from one evaluation.
     """
-    spread = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id())
-    own = W.partitionBy("_range").orderBy(*order)
-    ranked = spread.withColumn("_rank", F.row_number().over(own))
-    sizes = spread.groupBy("_range").agg(F.count("*").alias("_m"))
-    before = sizes.withColumn("_before", F.sum("_m").over(W.orderBy("_range")) - F.col("_m")).drop("_m")
-    return ranked.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_rank") + (start - 1)).drop("_range", "_rank", "_before")  # a row for each range
+    spread = stored(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()), "ranges")
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    before = spread.groupBy("_range").agg(F.count("*").alias("_m")).withColumn("_before", F.sum("_m").over(W.orderBy("_range")) - F.col("_m")).drop("_m")
+    return spread.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + rank + (start - 1)).drop("_range", "_before")
+
+
+#: The extension of a stored picture by its media type.
+EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tif", "image/svg+xml": ".svg", "image/webp": ".webp"}
 
 
 def dedupe_resources(resources: DataFrame) -> DataFrame:
-    """resources (pos, content, ...) with sha256, the number and path of their stored part, in order of appearance."""
+    """resources (pos, content, media_type, ...) with sha256, copies, the number and path of their stored part, in order of
+    appearance, and the bytes that the copies of this content save.
+
+    The part's extension is that of its first appearance's media type, .bin for others and where there is no such column.
+    """
     hashed = resources.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
-    first = hashed.groupBy("sha256").agg(F.min("pos").alias("first"), F.count("*").alias("copies"))
-    parts = numbered(first, ["first"], "number").select("sha256", "copies", "number")
-    path = F.format_string("resources/images/img-%04d.bin", F.col("number"))
-    return hashed.join(parts.withColumn("path", path), "sha256")
+    media = F.col("media_type") if "media_type" in resources.columns else F.lit(None).cast("string")
+    size = F.octet_length(F.col("content").cast("binary")).cast("long")
+    first = hashed.groupBy("sha256").agg(F.min(F.struct(F.col("pos"), media.alias("media"), size.alias("size"))).alias("f"), F.count("*").alias("copies"))
+    first = first.select("sha256", "copies", F.col("f.pos").alias("first"), F.col("f.media").alias("media"), (F.col("f.size") * (F.col("copies") - 1)).alias("saved"))
+    extension = F.coalesce(*[F.when(F.col("media") == m, x) for m, x in EXTENSIONS.items()], F.lit(".bin"))
+    parts = numbered(first, ["first", "sha256"], "number")
+    path = F.concat(F.format_string("resources/images/img-%04d", F.col("number")), extension)
+    return hashed.join(parts.select("sha256", "copies", "saved", "number", path.alias("path")), "sha256")
 
 
 def split_fragments(docs: DataFrame, size: int) -> DataFrame:

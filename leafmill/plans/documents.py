@@ -251,12 +251,13 @@ def a4_infer_title(spark, d):
     return X.infer_title(paragraphs(spark, d))
 
 
-@query("""WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents),
-f AS (SELECT sha256, min(doc_id) AS first, count(*) AS copies FROM h GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY first) AS number FROM f)
-SELECT doc_id, sha256, copies, number, printf('resources/images/img-%04d.bin', number) AS path FROM h JOIN n USING (sha256)""")
+@query("""WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents),
+f AS (SELECT sha256, min(doc_id) AS first, max(size) * (count(*) - 1) AS saved, count(*) AS copies FROM h GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY first) AS number FROM f)
+SELECT doc_id, sha256, copies, saved, number, printf('resources/images/img-%04d', number) || ['.png', '.jpg', '.svg', '.bin'][first % 4 + 1] AS path FROM h JOIN n USING (sha256)""")
 def a6_dedupe_resources(spark, d):
-    r = docs(spark, d).select(F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("content"))
-    return X.dedupe_resources(r).select(F.col("pos").alias("doc_id"), "sha256", "copies", F.col("number").cast("long").alias("number"), "path")
+    media = F.element_at(F.array(*map(F.lit, ("image/png", "image/jpeg", "image/svg+xml", "image/x-other"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    r = docs(spark, d).select(F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("content"), media.alias("media_type"))
+    return X.dedupe_resources(r).select(F.col("pos").alias("doc_id"), "sha256", "copies", "saved", F.col("number").cast("long").alias("number"), "path")
 
 
 @query(f"WITH {LINES} SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY pos)) AS sha256 FROM lines GROUP BY doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..operators import html as H
+from ..operators import inline as I
 from ..operators import joins as J
 from ..operators import markup as M
 from ..operators import text as X
@@ -77,6 +78,35 @@ def p12_md_runs(spark, d):
     return M.md_runs(joined(plain_lines(spark, d), "doc_id", "pos", line, ""))
 
 
+#: Runs of generated nestings: (k, no, text before, whether the line is in it, text after, styles, kind, url).
+_NESTED = [
+    (0, [("", 1, " ", "b", "text", 0), ("mid", 0, "", "bi", "text", 0), (" ", 0, "", "b", "text", 0), ("link ", 0, "", "bu", "text", 1), ("c*d", 0, "", "bu", "code", 1), (" end", 0, "", "", "text", 0)]),
+    (1, [("", 1, "", "bi", "text", 0), (" x", 0, "", "i", "text", 0)]),
+    (2, [("", 1, " ", "i", "text", 0), ("b", 0, "", "bi", "text", 0)]),
+    (3, [("", 1, " H", "s", "text", 0), ("2", 0, "", "sl", "text", 0), ("O", 0, "", "s", "text", 0), (" x", 0, "", "", "text", 0), ("2", 0, "", "p", "text", 0)]),
+    (4, [("snake_case_", 1, " ", "", "text", 0), ("b", 0, "", "b", "text", 0), (" ", 0, "", "", "text", 0), ("i", 0, "", "i", "text", 0)]),
+    (5, [("*", 1, "* 2 * 3 [x]( & ]", "", "text", 0)]),
+    (6, [("[", 1, "](u/p.png) ", "", "text", 0), ("in ", 0, "", "u", "text", 1), ("bold ", 0, "", "bu", "text", 1), ("both", 0, "", "biu", "text", 1)]),
+]
+_NESTED_ROWS = ", ".join(
+    f"({k}, {n}, '{a}', {own}, '{b}', {', '.join(str(x in st).lower() for x in 'bislpu')}, '{kind}', {url})" for k, runs in _NESTED for n, (a, own, b, st, kind, url) in enumerate(runs)
+)
+
+
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, pos, {PLAIN} AS t FROM lines), r(k, run_no, a, own, b, bold, italic, strike, sub, sup, underline, kind, has_url) AS (VALUES {_NESTED_ROWS})
+SELECT doc_id, pos::INT AS block_no, run_no::INT AS run_no, kind, a || CASE WHEN own = 1 THEN t ELSE '' END || b AS text, bold, italic, strike, sub, sup, underline, CASE WHEN has_url = 1 THEN 'u/' || pos END AS url
+FROM l JOIN r ON pos % 7 = k WHERE t <> ''""")
+def p12_md_inline(spark, d):
+    """Lines of documents inside nested emphasis, links, images and marks without a partner."""
+    t, url = F.col("t"), F.concat(F.lit("](u/"), F.col("pos").cast("string"), F.lit(")"))
+    shapes = [
+        F.concat(F.lit("**"), t, F.lit(" *mid* [link `c*d`"), url, F.lit("** end")), F.concat(F.lit("***"), t, F.lit("** x*")), F.concat(F.lit("*"), t, F.lit(" **b***")), F.concat(F.lit("~~"), t, F.lit(" H~2~O~~ x^2^")),
+        F.concat(F.lit("snake_case_"), t, F.lit(" __b__ _i_")), F.concat(F.lit("\\*"), t, F.lit("\\* 2 * 3 [x]( &amp; ]")), F.concat(F.lit("![*"), t, F.lit("*](u/p.png) [in **bold _both_**"), url),
+    ]
+    line = F.element_at(F.array(*shapes), (F.col("pos") % 7 + 1).cast("int"))
+    return I.md_inline(plain_lines(spark, d).select("doc_id", F.col("pos").cast("int").alias("block_no"), line.alias("text")))
+
+
 #: A table for each order, with a row for each item.
 ITEMS = """i AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, max(l_returnflag || l_linestatus) AS name FROM lineitem GROUP BY 1, 2),
 n AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT AS r FROM i)"""

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.text import doc_stats
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A folder of its own in spark.checkpoint.dir; only a session on one machine may leave that out."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="leafmill-streams-")
-    return f"{base}/stream-{name}-{uuid.uuid4().hex}"
+from ..sources.tables import shared_path
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from leafmill.operators import text as X
 from leafmill.plans.documents import cap_blocks, migrate_overlay_anchor
 from leafmill.sources import admission as A
 from leafmill.sources.tables import scan_corpus, write_rendered
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 D = "/root/testdata/sf0.001"
@@ -251,6 +252,20 @@ def test_numbers_without_one_task(spark):
     assert [(r.k, r.x) for r in sorted(got, key=lambda r: r.n)] == sorted((k, x) for x, k in rows) and sorted(r.n for r in got) == list(range(4, 504))
 
 
+def test_numbers_of_many_rows(spark):
+    """Ranges of several partitions, more columns than the order, and adaptive merging: exactly 1 to n in order."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    rows = spark.range(400_000).select(((F.col("id") * 7919) % 400_009).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    got = X.numbered(rows, ["k"], "n")
+    place = F.row_number().over(Window.orderBy("k"))
+    assert got.count() == 400_000 and got.select("n").distinct().count() == 400_000
+    assert got.withColumn("place", place).filter("n <> place").count() == 0
+    found = X.dedupe_resources(spark.range(400_000).select(F.col("id").alias("pos"), (F.col("id") % 250_000).cast("string").alias("content")))
+    assert found.count() == 400_000 and found.agg(F.max("number")).first()[0] == 250_000
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_conversion_codes(spark):
     from leafmill.operators.codecs import convert_corpus, default_registry
 
