@@ -71,9 +71,9 @@ STYLES = {
 
 def attribute(name: str) -> F.Column:
     """An attribute of a tag token, quoted or not; null where it is absent."""
-    rx = rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    parts = [F.regexp_extract("tok", rx, k) for k in (1, 2, 3)]
-    return F.when(F.col("tok").rlike(rx), decode_entities(F.concat(*parts)))
+    raw = F.regexp_extract("tok", rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    value = F.when(raw.rlike("^[\"']"), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.when(raw != "", F.when(value.rlike(r"[&\s]"), decode_entities(value)).otherwise(value))
 
 
 def html_runs(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.exprs import media_extension
 from ..sources.tables import stored
 
 
@@ -126,10 +127,6 @@ def numbered(rows: DataFrame, order: list[str], name: str, start: int = 1) -> Da
     return spread.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + rank + (start - 1)).drop("_range", "_before")
 
 
-#: The extension of a stored picture by its media type.
-EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tif", "image/svg+xml": ".svg", "image/webp": ".webp"}
-
-
 def dedupe_resources(resources: DataFrame) -> DataFrame:
     """resources (pos, content, media_type, ...) with sha256, copies, the number and path of their stored part, in order of
     appearance, and the bytes that the copies of this content save.
@@ -141,9 +138,8 @@ def dedupe_resources(resources: DataFrame) -> DataFrame:
     size = F.octet_length(F.col("content").cast("binary")).cast("long")
     first = hashed.groupBy("sha256").agg(F.min(F.struct(F.col("pos"), media.alias("media"), size.alias("size"))).alias("f"), F.count("*").alias("copies"))
     first = first.select("sha256", "copies", F.col("f.pos").alias("first"), F.col("f.media").alias("media"), (F.col("f.size") * (F.col("copies") - 1)).alias("saved"))
-    extension = F.coalesce(*[F.when(F.col("media") == m, x) for m, x in EXTENSIONS.items()], F.lit(".bin"))
     parts = numbered(first, ["first", "sha256"], "number")
-    path = F.concat(F.format_string("resources/images/img-%04d", F.col("number")), extension)
+    path = F.concat(F.format_string("resources/images/img-%04d", F.col("number")), media_extension(F.col("media")))
     return hashed.join(parts.select("sha256", "copies", "saved", "number", path.alias("path")), "sha256")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import documents, layouts, structures
+from .plans import documents, layouts, structures, trees
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (documents, layouts, structures):
+for _part in (documents, layouts, structures, trees):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
