@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 
 
-#: Bytes of rows that a task sends to Python at once, where the session leaves this open.
-BATCH_BYTES = 8 << 20
+#: Bytes of rows that a task sends to Python at once, and rows that a Parquet reader holds at once, where the session leaves these open.
+BATCH_BYTES, READ_ROWS = 4 << 20, 512
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Rows may hold whole texts, so batches for Python are bounded by bytes, not by rows alone."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "1b") == "1b":
-        spark.conf.set(name, BATCH_BYTES)
+    """Rows may hold whole texts, so batches for Python are bounded by bytes, not by rows alone, and the reader's are short."""
+    for name, usual, value in (("spark.sql.execution.arrow.maxBytesPerBatch", "1b", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", "4096", READ_ROWS)):
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

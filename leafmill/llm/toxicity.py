@@ -46,7 +46,7 @@ def term_of(word: bytes) -> bytes:
 class TermHashes(dict):
     """The 64-bit hash of each word's term, 0 for none; emptied when it grows past a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def find(self, word: bytes) -> int:
         import xxhash
