@@ -17,7 +17,7 @@ SPACE = " \t\n\x0b\x0c\r"
 
 
 #: Bytes of rows that a task sends to Python at once, and rows that a Parquet reader holds at once, where the session leaves these open.
-BATCH_BYTES, READ_ROWS = 4 << 20, 512
+BATCH_BYTES, READ_ROWS = 2 << 20, 256
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -115,17 +115,29 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the machine: workers stay for the next stage, beside a growing JVM."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        return
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so that what is made of them stays small in memory."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    give_back()
 
 
 class WordHashes(dict):
     """64-bit hash of each word, kept for words seen before; emptied when it grows past a bound."""
 
-    LIMIT = 200_000
+    LIMIT = 60_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -57,5 +57,7 @@ def folder(docs, no_docs, spark, tmp_path_factory):
         vectors = [(i, [((i * j) % 17) / 17 for j in range(1, 9)], 0) for i in range(300)] + [(300 + i, [0.5] * 8, 0) for i in range(40)]
         vectors += [(900, None, 0), (901, [], 0), (902, [None, 1.0], 0), (903, [float("nan")] * 8, 0), (950, [1.0, 2.0], 0), (None, [0.5] * 8, 0), (3, [3 * j % 17 / 17 for j in range(1, 9)], 0)]
         spark.createDataFrame(vectors if not k else [], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
+        turns = [(c, t, ("user", "assistant")[t % 2], f"Line {c} {t}.") for c in range(40) for t in range(5)] + [(None, None, None, None), (3, 3, "assistant", "Line 3 3."), (41, None, "", ""), (41, 7, "tool", "x" * 30000)]
+        spark.createDataFrame(turns if not k else [], "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
         out.append(at)
     return out

@@ -695,7 +695,7 @@ def test_sql(spark, name):
 
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     got, want = QUERIES[name](spark, d).toPandas(), c.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
