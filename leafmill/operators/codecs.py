@@ -103,7 +103,7 @@ def _from_docx(docs: DataFrame) -> DataFrame:
 
 def has_doctype_entities(text) -> F.Column:
     """5 for XML whose document type declares anything, 0 otherwise."""
-    return F.when(F.substring(text, 1, 4096).rlike(r"(?is)<!DOCTYPE[^>]*\[|<!ENTITY"), 5).otherwise(0)
+    return F.when(text.rlike(r"(?is)<!DOCTYPE[^>]*\[|<!ENTITY"), 5).otherwise(0)
 
 
 def too_old(text, least: float = 15.0) -> F.Column:

@@ -199,7 +199,7 @@ def w6_paginate_natural(spark, d):
     return L.paginate_natural(b, 20000, 2)
 
 
-NUMBERED = f"""{LINES}, h AS (SELECT doc_id, pos, (pos * 7 % 3 + 1)::INT AS level FROM lines WHERE pos % 2 = 0),
+NUMBERED = f"""{LINES}, h AS (SELECT doc_id, pos, (pos * 7 % 3 + 1)::INT AS level FROM lines),
 g AS (SELECT *, sum((level < 2)::INT) OVER w AS g2, sum((level < 3)::INT) OVER w AS g3 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 n AS (SELECT *, sum((level = 1)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS n1, sum((level = 2)::INT) OVER (PARTITION BY doc_id, g2 ORDER BY pos) AS n2,
   sum((level = 3)::INT) OVER (PARTITION BY doc_id, g3 ORDER BY pos) AS n3 FROM g)"""
@@ -207,7 +207,7 @@ n AS (SELECT *, sum((level = 1)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS
 
 @query(f"""WITH {NUMBERED} SELECT doc_id, pos::INT AS pos, level, n1 || CASE WHEN level > 1 THEN '.' || n2 ELSE '' END || CASE WHEN level > 2 THEN '.' || n3 ELSE '' END AS number FROM n""")
 def w4_outline_numbers(spark, d):
-    h = paragraphs(spark, d).filter("pos % 2 = 0").select("doc_id", "pos", (F.col("pos") * 7 % 3 + 1).cast("int").alias("level"))
+    h = paragraphs(spark, d).select("doc_id", "pos", (F.col("pos") * 7 % 3 + 1).cast("int").alias("level"))
     return L.outline_numbers(h)
 
 

@@ -266,6 +266,13 @@ def test_numbers_of_many_rows(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_declarations_behind_a_long_comment(spark):
+    from leafmill.operators.codecs import has_doctype_entities
+
+    texts = ["<!--" + "x" * 9000 + "--><!DOCTYPE a [<!ENTITY b 'c'>]><a/>", "<!DOCTYPE a><a/>", "<a/>"]
+    assert [r.c for r in docs(spark, *texts).select(has_doctype_entities(F.col("text")).alias("c")).collect()] == [5, 0, 0]
+
+
 def test_conversion_codes(spark):
     from leafmill.operators.codecs import convert_corpus, default_registry
 
