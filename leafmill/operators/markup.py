@@ -14,22 +14,69 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
 
 
+QUOTES, FENCE = r"^(?:\s{0,3}>\s?)+", r"^\s*(`{3,}|~{3,})"
+
+
+def _fenced_lines(docs: DataFrame, containers: bool) -> DataFrame:
+    """Lines with role, open or close for fences and drop where a quote ends that has an open fence, and quote, the depth of quotes.
+
+    A fence is closed by one of its own mark, at least as long and with nothing behind it; a fold over the lines that may be
+    fences pairs them, inside the row of their document. With containers, quotes are taken off the lines.
+    """
+    marks = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, "(" + QUOTES + ")", 1), "[^>]", "")) if containers else F.lit(0)
+    plain = lambda x: F.regexp_replace(x, QUOTES, "") if containers else x
+    fence = FENCE if containers else FENCE.replace(r"\s*", r"\s{0,3}", 1)
+    t = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    t = t.withColumn("rows", F.transform("lines", lambda x, i: F.struct(i.alias("i"), plain(x).alias("x"), marks(x).alias("q"))))
+    leaves = lambda r: (r["q"] < F.coalesce(F.get("rows", r["i"] - 1)["q"], F.lit(0))) if containers else F.lit(False)
+    t = t.withColumn("rows", F.filter("rows", lambda r: r["x"].rlike(fence) | leaves(r)))
+    start = F.expr("named_struct('mark', '', 'q', 0, 'out', cast(array() as array<struct<i:int,role:string>>))")
+
+    def step(s, r):
+        run, opened = F.regexp_extract(r["x"], fence, 1), (s["mark"] != "") & (r["q"] >= s["q"])
+        closes = opened & (r["q"] == s["q"]) & (run != "") & run.startswith(s["mark"]) & ~r["x"].rlike(r"^\s*(?:`{3,}+|~{3,}+)\s*\S")
+        opens = ~opened & (run != "") & ~r["x"].rlike(r"^\s*`{3,}+[^`]*`")
+        role = F.when(closes, "close").when(opens, "open").when((s["mark"] != "") & ~opened, "drop")
+        mark = F.when(closes, "").when(opens, run).when(opened, s["mark"]).otherwise("")
+        out = F.when(role.isNotNull(), F.concat(s["out"], F.array(F.struct(r["i"].alias("i"), role.alias("role"))))).otherwise(s["out"])
+        return F.struct(mark.alias("mark"), F.when(opens, r["q"]).otherwise(s["q"]).alias("q"), out.alias("out"))
+
+    t = t.withColumn("roles", F.map_from_entries(F.aggregate("rows", start, step, lambda s: s["out"])))
+    t = t.select("doc_id", "roles", F.posexplode("lines").alias("line_no", "raw_line")).withColumns({"role": F.try_element_at("roles", F.col("line_no")), "quote": marks(F.col("raw_line"))}).drop("roles")
+    so_far = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = t.withColumns({"state": F.last("role", ignorenulls=True).over(so_far), "held": F.last(F.when(F.col("role") == "open", F.col("quote")), ignorenulls=True).over(so_far)})
+    t = t.withColumns({"fence": F.coalesce(F.col("role").isin("open", "close"), F.lit(False)), "inside": F.coalesce((F.col("state") == "open") & F.col("role").isNull(), F.lit(False))})
+    if not containers:
+        return t.withColumnRenamed("raw_line", "line")
+    t = t.withColumn("quote", F.when(F.col("inside"), F.col("held")).otherwise(F.col("quote")))
+    some = F.regexp_replace("raw_line", F.concat(F.lit(r"^(?:\s{0,3}>\s?){0,"), F.col("quote").cast("string"), F.lit("}")), F.lit(""))
+    return t.withColumn("line", F.when(F.col("quote") == 0, F.col("raw_line")).otherwise(some)).drop("raw_line")
+
+
 def md_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, block_no, kind, level, checked, number, language, text): headings, items, quotes, code, tables, math, HTML,
     rules and paragraphs.
 
     Headings by marks before or a line of = or - below; bullet and numbered items with task marks; quotes by depth; fences
-    with the language that they name; tables by their bars; display math between lines of $$; HTML lines; other lines that
-    touch are one paragraph. Lazy continuation, reference links and fences inside lists are not told apart.
+    by mark and length, with the language that they name; tables by their bars; display math between lines of $$; HTML
+    lines; other lines that touch are one paragraph. Lazy continuation and reference links are not told apart, nor is what
+    quotes hold: see md_containers.
     """
+    return _blocks(_fenced_lines(docs, False)).drop("quote_level")
+
+
+def md_containers(docs: DataFrame) -> DataFrame:
+    """md_blocks with quote_level: headings, items, fences, tables and all other blocks inside quotes too, at any indentation of
+    fences, so that those in items are code. A quote that ends closes its fence; null and empty texts have no blocks."""
+    return _blocks(_fenced_lines(docs, True))
+
+
+def _blocks(t: DataFrame) -> DataFrame:
     w = W.partitionBy("doc_id").orderBy("line_no")
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    line = F.col("line")
-    t = _lines(docs).withColumn("fence", line.rlike(r"^\s{0,3}(```|~~~)"))
-    t = t.withColumn("fences", F.sum(F.col("fence").cast("int")).over(so_far))
-    inside = (F.col("fences") % 2 == 1) & ~F.col("fence")
+    line, inside = F.col("line"), F.col("inside")
     t = t.withColumn("dollars", ~inside & ~F.col("fence") & (F.trim("line") == "$$")).withColumn("maths", F.sum(F.col("dollars").cast("int")).over(so_far))
-    info = F.when(F.col("fence") & (F.col("fences") % 2 == 1), F.regexp_extract("line", r"^\s*(?:```+|~~~+)\s*([^\s`]*)", 1))
+    info = F.when(F.col("role") == "open", F.regexp_extract("line", r"^\s*(?:```+|~~~+)\s*([^\s`]*)", 1))
     t = t.withColumn("info", F.last(info, ignorenulls=True).over(so_far))
     kind = (
         F.when(F.col("fence"), "fence").when(inside, "code").when(F.col("dollars"), "fence").when(F.col("maths") % 2 == 1, "math").when(F.trim("line") == "", "blank").when(line.rlike(r"^#{1,6}\s+"), "heading")
@@ -37,15 +84,15 @@ def md_blocks(docs: DataFrame) -> DataFrame:
         .when(line.rlike(r"^\s{0,3}>"), "quote").when(line.rlike(r"^\s*\|.*\|\s*$"), "table").when(line.rlike(r"^\s{0,3}</?[A-Za-z][^>]*>|^\s{0,3}<!--"), "html").otherwise("paragraph")
     )
     t = t.withColumn("kind", kind)
-    below = line.rlike(r"^\s{0,3}(=+|-{2,})\s*$") & (F.lag("kind").over(w) == "paragraph")
+    below = line.rlike(r"^\s{0,3}(=+|-{2,})\s*$") & (F.lag("kind").over(w) == "paragraph") & (F.lag("quote").over(w) == F.col("quote"))
     t = t.withColumn("below", F.coalesce(below, F.lit(False)))
     under = F.when(F.lead("below").over(w), F.when(F.lead("line").over(w).contains("="), 1).otherwise(2))
     t = t.withColumn("under", under).filter("NOT below").withColumn("kind", F.when(F.col("under").isNotNull(), "heading").otherwise(F.col("kind")))
-    t = t.withColumn("prev", F.lag("kind").over(w))
-    joins = F.col("kind").isin("paragraph", "code", "table", "math", "html") & (F.col("kind") == F.col("prev"))
+    t = t.withColumns({"prev": F.lag("kind").over(w), "prev_quote": F.lag("quote").over(w)})
+    joins = F.col("kind").isin("paragraph", "code", "table", "math", "html") & (F.col("kind") == F.col("prev")) & (F.col("quote") == F.col("prev_quote"))
     t = t.filter("kind NOT IN ('blank')").withColumn("new", (~F.coalesce(joins, F.lit(False))).cast("int"))
     t = t.withColumn("bid", F.sum("new").over(so_far))
-    rows = t.filter("kind <> 'fence'").groupBy("doc_id", "bid").agg(F.max("kind").alias("kind"), F.max("under").alias("under"), F.max("info").alias("info"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("r"))
+    rows = t.filter("kind <> 'fence'").groupBy("doc_id", "bid").agg(F.max("kind").alias("kind"), F.max("quote").alias("quote_level"), F.max("under").alias("under"), F.max("info").alias("info"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("r"))
     raw = F.array_join(F.transform("r", lambda x: x["line"]), "\n")
     rows = rows.withColumn("raw", raw)
     text = (
@@ -61,7 +108,7 @@ def md_blocks(docs: DataFrame) -> DataFrame:
     checked = F.when(F.col("kind").isin("bullet", "ordered") & (mark != ""), F.lower(mark) == "x")
     number = F.when(F.col("kind") == "ordered", F.regexp_extract("raw", r"^\s*(\d+)", 1).try_cast("int"))
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("bid"))
-    return rows.select("doc_id", n.alias("block_no"), "kind", level.cast("int").alias("level"), checked.alias("checked"), number.alias("number"), F.when(F.col("kind") == "code", F.col("info")).alias("language"), text.alias("text"))
+    return rows.select("doc_id", n.alias("block_no"), "quote_level", "kind", level.cast("int").alias("level"), checked.alias("checked"), number.alias("number"), F.when(F.col("kind") == "code", F.col("info")).alias("language"), text.alias("text"))
 
 
 def md_runs(docs: DataFrame) -> DataFrame:

@@ -65,6 +65,21 @@ def p11_md_blocks(spark, d):
     return M.md_blocks(joined(plain_lines(spark, d), "doc_id", "pos", line, "\n\n")).withColumn("checked", F.col("checked").cast("string"))
 
 
+@query(f"""WITH {LINES}, l AS (SELECT doc_id, pos, {PLAIN} AS t, pos % 6 AS k FROM lines), s(k, sub, quote_level, kind, level, number, language, shape) AS (VALUES
+  (0, 0, 0, 'code', 0, NULL, 'py', '```' || chr(10) || '~~~' || chr(10) || '?' || chr(10) || '> q'), (1, 0, 1, 'heading', 2, NULL, NULL, '?'), (1, 1, 1, 'paragraph', 0, NULL, NULL, 'on' || chr(10) || 'more'), (1, 2, 2, 'paragraph', 0, NULL, NULL, 'deep'),
+  (2, 0, 1, 'ordered', 1, 7, NULL, '?'), (2, 1, 1, 'bullet', 2, NULL, NULL, 'in'), (3, 0, 1, 'code', 0, NULL, '', '?' || chr(10) || '> x'), (3, 1, 0, 'paragraph', 0, NULL, NULL, 'after'), (4, 0, 0, 'bullet', 1, NULL, NULL, '?'), (4, 1, 0, 'code', 0, NULL, 'c', '  x'), (5, 0, 0, 'paragraph', 0, NULL, NULL, '?'))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub)::INT AS block_no, quote_level, kind, level, number, language, replace(shape, '?', t) AS text FROM l JOIN s USING (k) WHERE t <> ''""")
+def p11_md_containers(spark, d):
+    """Lines in fences that hold shorter and other fences, in headings, lists and fences inside quotes, and in items with code."""
+    t = F.col("t")
+    shapes = [
+        F.concat(F.lit("````py\n```\n~~~\n"), t, F.lit("\n> q\n`````")), F.concat(F.lit("> ## "), t, F.lit("\n> on\n> more\n>> deep")), F.concat(F.lit("> 7. "), t, F.lit("\n>   - in")),
+        F.concat(F.lit("> ~~~\n> "), t, F.lit("\n> > x\nafter")), F.concat(F.lit("- "), t, F.lit("\n  ```c\n  x\n  ```")), t,
+    ]
+    line = F.element_at(F.array(*shapes), (F.col("pos") % 6 + 1).cast("int"))
+    return M.md_containers(joined(plain_lines(spark, d), "doc_id", "pos", line, "\n\n")).drop("checked")
+
+
 @query(f"""WITH {LINES}, l AS (SELECT doc_id, pos, {PLAIN} AS t FROM lines)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS run_no, ['strong', 'em', 'strike', 'code', 'link', 'math', 'sub', 'sup', 'break', 'strong'][pos % 10 + 1] AS kind,
   CASE WHEN pos % 10 = 8 THEN chr(10) ELSE t END AS text, CASE WHEN pos % 10 = 4 THEN 'u/' || pos END AS url FROM l WHERE t <> ''""")
@@ -527,3 +542,18 @@ def s14_write_rendered(spark, d):
     at = S.shared_path(spark, "rendered")
     write_rendered(docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), at, "txt")
     return spark.read.parquet(at).select("doc_id", "format", F.sha2("text", 256).alias("sha256"))
+
+
+@query("""WITH e AS (SELECT user_id AS key, event_id, ts, event_id % 5 <> 0 AS edit, count(*) FILTER (event_id % 5 = 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
+s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WHERE edit WINDOW w AS (PARTITION BY key, run ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY key, run ORDER BY ts, event_id) AS burst FROM s)
+SELECT key, min(ts) AS started, count(*) AS n FROM b GROUP BY key, run, burst""")
+def st4_stream_bursts(spark, d):
+    """Bursts of edits as a stream over stored events, which hold the number of other actions before each; nothing is late."""
+    from ..sources.tables import shared_path
+
+    e = read_table(spark, d, "events").withColumns({"key": F.col("user_id"), "edit": F.col("event_id") % 5 != 0})
+    run = F.sum((~F.col("edit")).cast("int")).over(W.partitionBy("key").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    at = shared_path(spark, "edits")
+    e.select("key", F.col("ts").cast("timestamp").alias("ts"), "edit", run.alias("run")).write.parquet(at)
+    everything = S.run_closed(S.stream_bursts(S.read_stream(spark, at), 1800, "3650 days"), "bursts")
+    return everything.withColumn("started", F.col("started").cast("timestamp_ntz"))

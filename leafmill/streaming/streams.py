@@ -31,6 +31,22 @@ def run_latest(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def run_closed(stream: DataFrame, name: str) -> DataFrame:
+    """Run an aggregating stream over what is there now, with groups that the watermark has not closed yet; of each group the
+    last state is kept by the number of its batch."""
+    spark = stream.sparkSession
+    at = shared_path(spark, name)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")  # a batch that runs again writes the same folder
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/state").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{at}/out")
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(last), "batch").drop("batch")
+
+
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files at a path, which may be one file."""
     schema = spark.read.parquet(path).schema
@@ -58,6 +74,19 @@ def stream_progress(lines: DataFrame) -> DataFrame:
     return p.groupBy("job").agg(F.max(F.struct("at", "percent", "message")).alias("m")).select("job", "m.percent", "m.message")
 
 
+def stream_bursts(events: DataFrame, gap_seconds: float, delay: str) -> DataFrame:
+    """(key, started, n): bursts of edits as a stream, with those of operators.layout.edit_bursts as its batch twin.
+
+    events (key, ts, edit, run): edits less than a gap apart within one run, the number of the key's other actions so far,
+    are one session; an action so closes a burst. An edit later than `delay` behind the newest is dropped, and a burst is
+    given out once the watermark has passed its end.
+    """
+    e = events.filter("edit").withWatermark("ts", delay)
+    within = round(gap_seconds * 1_000_000) - 1  # session windows that touch are one, edits a whole gap apart are not
+    s = e.groupBy("key", "run", F.session_window("ts", f"{within} microseconds")).agg(F.count("*").alias("n"))
+    return s.select("key", F.col("session_window.start").alias("started"), "n")
+
+
 def undo_state(actions: DataFrame, depth: int = 100) -> DataFrame:
     """(key, undo, redo) depths after each key's actions (key, n, action) in order: push clears redo, depth is bounded."""
     ordered = actions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "action"))).alias("a"))
