@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fit, on at most `sample` labelled rows of each class, the ones with the smallest hashes: all their terms (the
-first six letters of each word) are the features. Document frequencies of these terms are counted over all documents; a
+Fit, on at most `sample` labelled rows of each class, the ones with the smallest hashes: all their terms (whole
+lower-cased words without marks around them) are the features. Document frequencies of these terms are counted over all documents; a
 term's weight is its inverse document frequency times a factor from 0 to 1 that grows with the chi-square of its counts
 in the examples of either class, so terms that tell nothing about the label count little, and none is left out. Examples
 become unit vectors in an inverted index: each term's postings lie in blocks of examples, with the largest weight of each
@@ -32,15 +32,15 @@ from pyspark.sql import types as T
 
 from .common import in_slices, materialize, summed, table, texts_of
 
-SAMPLE, LETTERS, NEIGHBOURS, BLOCK = 1000, 6, 15, 128
+SAMPLE, NEIGHBOURS, BLOCK = 1000, 15, 128
 #: Chi-square at which a term counts a quarter, and the least that any term counts.
 HALF, LEAST = 20.0, 1e-4
 _EDGES = b".,;:!?|\"'()[]{}<>*_-#/\\"
 
 
 def term_of(word: bytes) -> bytes:
-    """A word's term: its first LETTERS letters, without marks around it; empty for marks alone."""
-    return word.strip(_EDGES).decode("utf-8", "ignore")[:LETTERS].encode()
+    """A word's term: the word without marks around it; empty for marks alone."""
+    return word.strip(_EDGES)
 
 
 class TermHashes(dict):

@@ -615,9 +615,9 @@ def test_toxicity_scores_by_brute_force(spark, folder, rows):
     def terms(t):
         c = Counter()
         for w in (t or "").encode().lower().split():
-            w = w.strip(toxicity._EDGES).decode("utf-8", "ignore")
+            w = w.strip(toxicity._EDGES)
             if w:
-                c.update([w[:6]])
+                c.update([w])
         return c
 
     label = {i: int(i % 6 == 0) for i in range(130) if zlib.crc32(str(i).encode()) % 4 != 2}
@@ -675,6 +675,18 @@ def test_toxicity_scores_by_brute_force(spark, folder, rows):
         assert abs(got[repr((d, t))] - want) < 2e-3, (d, got[repr((d, t))], want)
 
 
+def test_toxicity_tells_words_with_one_beginning_apart(spark):
+    """A label that hangs on the end of a word: internal and international, constitution and constituent."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200)]
+    pairs = [("internal", "international"), ("constitution", "constituent")]
+    rows = [(i, " ".join([rng.choice(words) for _ in range(40)] + [pairs[i // 2 % 2][i % 2]])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, toxicity.fit(docs, labels), evidence=False).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_toxicity_with_labels_of_one_class(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for y in (0, 1):
