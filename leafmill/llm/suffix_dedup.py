@@ -312,8 +312,10 @@ def _write_runs(held: list[tuple], length: int) -> Iterator[tuple]:
         return
     right, left = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
     cols = {c: np.concatenate([h[2][c] for h in held]) for c in ("node", "more", "at", "right", "left", "bucket")}
+    held.clear()
     whole = np.ascontiguousarray(np.concatenate([right, left], 1)).view(f"S{right.shape[1] + left.shape[1]}").reshape(-1)
     order = np.lexsort((whole, cols["bucket"]))
+    del whole
     right, left, cols = right[order], left[order], {c: v[order] for c, v in cols.items()}
     n = len(right)
     equal = np.zeros(n, bool)  # like the one before, in all that is sent but its place
@@ -379,11 +381,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 right = wide[at[:, None] + np.arange(k, k + length)]
                 left = wide[at[:, None] + np.arange(k - 1, -1, -1)]
                 cols = {"node": np.full(len(at), node), "more": np.full(len(at), more), "at": at, "right": np.minimum(len(x) - at, length), "left": np.minimum(at, k)}
-                held.extend(deal(right, left, cols, h, hot.value, buckets, length))
-                n += len(at)
-                if n >= 60_000:
-                    yield _batch(list(_write_runs(held, length)))
-                    held, n = [], 0
+                for part in deal(right, left, cols, h, hot.value, buckets, length):
+                    held.append(part)
+                    n += len(part[0])  # a hot start is dealt several times
+                    if n >= 60_000:
+                        yield _batch(list(_write_runs(held, length)))
+                        held, n = [], 0
         yield _batch(list(_write_runs(held, length)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,13 +416,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return sorted_runs.mapInArrow(merge, _ROWS).select("node", "more", "start", "end")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, out: tuple[str, str, str, str] = ("kept", "n_bytes", "n_removed", "spans")) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, out: tuple[str, str, str, str] = ("kept", "n_bytes", "n_removed", "spans"), as_text: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with kept binary, n_bytes, n_removed and spans (starts and ends) of the bytes removed.
 
-    These four take the names in `out`; columns of docs with such a name are left out.
+    These four take the names in `out`; columns of docs with such a name are left out. With as_text, kept is a string, in
+    which a character goes as a whole if a byte of it is cut, and the column text is left out.
     """
     fields = docs.schema.fields
-    names = [f.name for f in fields if f.name not in out]
+    names = [f.name for f in fields if f.name not in out and not (as_text and f.name == "text")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # a text is told by 128 bits
     rows = docs.select(*names, text.alias("_text")).withColumn("_node", F.xxhash64("_text", F.octet_length("_text"))).withColumn("_more", F.xxhash64(F.lit(length), "_text"))
@@ -438,7 +442,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, out: tuple[str, str, s
     joined = rows.join(cut, (rows["_node"] == cut["_cut"]) & (rows["_more"] == cut["_cut_more"]), "left").select(*names, "_text", "_hit", "_spans")
     kept = [f for f in fields if f.name in names]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*kept, T.StructField(out[0], T.BinaryType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.LongType()), T.StructField(out[3], span)])
+    schema = T.StructType([*kept, T.StructField(out[0], T.StringType() if as_text else T.BinaryType()), T.StructField(out[1], T.LongType()), T.StructField(out[2], T.LongType()), T.StructField(out[3], span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
@@ -451,11 +455,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, out: tuple[str, str, s
                     else:
                         removed.append([*x])
                 edges = [0, *(e for r in removed for e in r), len(t)]
-                left.append(b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)))
+                rest = b"".join(t[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
+                left.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 n_bytes.append(len(t))
                 n_removed.append(sum(z - a for a, z in removed))
                 cuts.append([{"start": a, "end": z} for a, z in removed])
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            kinds = [pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             made = [pa.array(c, k) for c, k in zip((left, n_bytes, n_removed, cuts), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *made], names=[*names, *out])
 
@@ -470,14 +475,5 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with its text cut; a character of which a byte is cut goes as a whole. All other columns stay."""
-    names = docs.columns
-    out = ("_left", "_n_bytes", "_n_removed", "_removed")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)) for c in names]
-            cols[names.index("text")] = pa.array([t.decode("utf-8", "ignore") for t in texts_of(b, out[0])], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    cut = remove_repeats(docs, length, out)
-    return cut.select(*[c for c in names if c != "text"], F.lit(None).cast("string").alias("text"), out[0]).select(*names, out[0]).mapInArrow(run, docs.schema)
+    left = remove_repeats(docs, length, ("_left", "_n_bytes", "_n_removed", "_removed"), as_text=True)
+    return left.select(*[F.col("_left").alias(c) if c == "text" else c for c in docs.columns])
