@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from . import html, markup, text
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -21,7 +22,8 @@ class Codec:
 
 
 class CodecRegistry:
-    """Formats by id. Blocks are (doc_id, pos, kind, level, text); rendered documents are (doc_id, text)."""
+    """Formats by id. Blocks are (doc_id, pos, kind, level, text) and what DEFAULTS names, which a reader may leave out; kinds are
+    those of html.html_elements. Rendered documents are (doc_id, text)."""
 
     def __init__(self):
         self._codecs: dict[str, Codec] = {}
@@ -35,19 +37,35 @@ class CodecRegistry:
     def convert(self, docs: DataFrame, source: str, target: str) -> DataFrame:
         """(doc_id, text, code) of (doc_id, text): 0 converted, 3 for no such pair of formats, 4 for an empty document, 5 for one
         that is damaged or not allowed, 6 for one of too old a version."""
-        a, b = self._codecs.get(source), self._codecs.get(target)
-        empty = F.coalesce("text", F.lit("")) == ""
-        if a is None or b is None or a.to_blocks is None or b.from_blocks is None:
-            return docs.select("doc_id", F.lit(None).cast("string").alias("text"), F.when(empty, 4).otherwise(3).alias("code"))
-        code = F.when(empty, 4).otherwise(a.refuse(F.col("text")) if a.refuse else F.lit(0)).alias("_code")
-        out = b.from_blocks(a.to_blocks(docs.filter(code == 0).select("doc_id", "text")))
+        code = self._code(source, target).alias("_code")
+        if not self._knows(source, target):
+            return docs.select("doc_id", F.lit(None).cast("string").alias("text"), code).withColumnRenamed("_code", "code")
+        out = self.write(self.read(docs.filter(code == 0).select("doc_id", "text"), source), target)
         return docs.select("doc_id", code).join(out, "doc_id", "left").select("doc_id", "text", F.col("_code").alias("code"))
 
+    def _knows(self, source: str, target: str) -> bool:
+        a, b = self._codecs.get(source), self._codecs.get(target)
+        return a is not None and b is not None and a.to_blocks is not None and b.from_blocks is not None
+
+    def _code(self, source: str, target: str) -> F.Column:
+        """The outcome of each text for a pair of formats."""
+        refuse = self._codecs[source].refuse if self._knows(source, target) else lambda _: F.lit(3)
+        return F.when(F.coalesce("text", F.lit("")) == "", 4).otherwise(refuse(F.col("text")) if refuse else F.lit(0))
+
+    def read(self, docs: DataFrame, source: str) -> DataFrame:
+        """Blocks of (doc_id, text), with all columns. doc_id may be of any type that can be grouped by."""
+        b = self._codecs[source].to_blocks(docs)
+        b = b.withColumns({c: F.lit(v).cast(kind) for c, (kind, v) in DEFAULTS.items() if c not in b.columns})
+        return b.select("doc_id", F.col("pos").cast("long").alias("pos"), "kind", F.col("level").cast("int").alias("level"), "text", *[F.col(c).cast(kind).alias(c) for c, (kind, _) in DEFAULTS.items()])
+
+    def write(self, blocks: DataFrame, target: str) -> DataFrame:
+        return self._codecs[target].from_blocks(blocks)
+
     def views(self, docs: DataFrame, source: str) -> None:
         """Temporary views `documents_in`, `blocks`, `runs`, `cells`, `notes` and `parts` for use from spark.sql, as far as the
         format has them."""
         docs.createOrReplaceTempView("documents_in")
-        self._codecs[source].to_blocks(docs).createOrReplaceTempView("blocks")
+        self.read(docs, source).createOrReplaceTempView("blocks")
         page = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))
         if source in ("html", "xhtml"):
             html.html_runs(page).createOrReplaceTempView("runs")
@@ -62,18 +80,35 @@ class CodecRegistry:
 def convert_corpus(registry: CodecRegistry, docs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(from, to, doc_id, text, code) of documents (doc_id, from, to, text): each converted as it asks for.
 
-    pairs are the formats that are asked for; a document that asks for another pair has code 3.
+    pairs are the formats that are asked for; a document that asks for another pair has code 3. Null and repeated doc_ids are
+    requests of their own; a document without any block has code 0 and a null text.
+
+    docs are read once and stored by source format. Each reader reads its own format's rows; the blocks of all formats are
+    one table, stored by target format, of which each writer reads its own. So no row is read again for each pair.
     """
-    wanted = [F.lit(False)] + [(F.col("from") == a) & (F.col("to") == b) for a, b in pairs]
-    known = wanted[0]
-    for w in wanted[1:]:
-        known = known | w
-    none = F.lit(None).cast("string")
-    out = docs.filter(~F.coalesce(known, F.lit(False))).select("from", "to", "doc_id", none.alias("text"), F.when(F.coalesce("text", F.lit("")) == "", 4).otherwise(3).alias("code"))
-    for (a, b), w in zip(pairs, wanted[1:], strict=True):
-        done = registry.convert(docs.filter(w).select("doc_id", "text"), a, b)
-        out = out.unionByName(done.select(F.lit(a).alias("from"), F.lit(b).alias("to"), "doc_id", "text", "code"))
-    return out
+    code = F.when(F.coalesce("text", F.lit("")) == "", 4)
+    for a, b in pairs:
+        code = code.when((F.col("from") == a) & (F.col("to") == b), registry._code(a, b))
+    asked = docs.select(F.monotonically_increasing_id().alias("request"), "doc_id", "from", "to", F.col("text").cast("string").alias("text"), code.otherwise(3).alias("code"))
+    asked = stored(asked, "requests", by="from")
+    able = [(a, b) for a, b in pairs if registry._knows(a, b)]
+    blocks = None
+    for a in dict.fromkeys(a for a, _ in able):
+        own = asked.filter((F.col("from") == a) & (F.col("code") == 0)).select(F.struct("to", "request").alias("doc_id"), "text")
+        own = registry.read(own, a)
+        blocks = own if blocks is None else blocks.unionByName(own)
+    if blocks is None:
+        return asked.select("from", "to", "doc_id", F.lit(None).cast("string").alias("text"), "code")
+    blocks = stored(blocks.select("doc_id.to", F.col("doc_id.request").alias("doc_id"), *[c for c in blocks.columns if c != "doc_id"]), "blocks", by="to")
+    out = None
+    for b in dict.fromkeys(b for _, b in able):
+        own = registry.write(blocks.filter(F.col("to") == b).drop("to"), b).select(F.col("doc_id").alias("request"), "text")
+        out = own if out is None else out.unionByName(own)
+    return asked.drop("text").join(out, "request", "left").select("from", "to", "doc_id", "text", "code")
+
+
+#: What blocks may have beside their place, kind, level and text: the types, and the values where a format has none.
+DEFAULTS = {"list_kind": ("string", None), "list_level": ("int", 0), "number": ("int", None), "checked": ("boolean", None), "quote_level": ("int", 0), "language": ("string", None), "src": ("string", None)}
 
 
 def _from_txt(docs: DataFrame) -> DataFrame:
@@ -81,14 +116,22 @@ def _from_txt(docs: DataFrame) -> DataFrame:
 
 
 def _from_html(docs: DataFrame) -> DataFrame:
-    b = html.html_blocks(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html")))
-    return b.select(F.col("page_id").alias("doc_id"), F.col("block_no").alias("pos"), "kind", F.col("outline").alias("level"), "text")
+    b = html.html_elements(docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html")))
+    return b.withColumnsRenamed({"page_id": "doc_id", "block_no": "pos", "outline": "level"})
 
 
 def _from_md(docs: DataFrame) -> DataFrame:
-    b = markup.md_blocks(docs)
-    kind = F.when(F.col("kind").isin("bullet", "ordered"), "item").otherwise(F.col("kind"))
-    return b.select("doc_id", F.col("block_no").alias("pos"), kind.alias("kind"), F.when(F.col("kind") == "heading", F.col("level")).otherwise(0).alias("level"), "text")
+    """All blocks with what quotes hold; a picture alone in its paragraph is an image, escaped marks are plain, and lines that
+    end in two spaces stay lines."""
+    b = markup.md_containers(docs)
+    item, image = F.col("kind").isin("bullet", "ordered"), r"^!\[(.*)\]\(([^()\s]*)\)$"
+    picture = (F.col("kind") == "paragraph") & F.col("text").rlike(image)
+    plain = F.regexp_replace(F.replace(F.col("text"), F.lit("  \n"), F.lit("\n")), r"\\([\\`*_\[\]<>#~|^])", "$1")
+    return b.select(
+        "doc_id", F.col("block_no").alias("pos"), F.when(item, "item").when(picture, "image").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "heading", F.col("level")).otherwise(0).alias("level"),
+        F.when(F.col("kind").isin("code", "math", "html"), F.col("text")).when(picture, F.regexp_extract("text", image, 1)).otherwise(plain).alias("text"), F.when(item, F.col("kind")).alias("list_kind"),
+        F.when(item, F.col("level")).otherwise(0).alias("list_level"), "number", "checked", "quote_level", F.when(F.col("kind") == "code", F.coalesce("language", F.lit(""))).alias("language"), F.when(picture, F.regexp_extract("text", image, 2)).alias("src"),
+    )
 
 
 def _from_xml(docs: DataFrame) -> DataFrame:
@@ -112,21 +155,18 @@ def too_old(text, least: float = 15.0) -> F.Column:
     return F.when(v < least, 6).otherwise(0)
 
 
-def _page_blocks(blocks: DataFrame) -> DataFrame:
-    return blocks.select(F.col("doc_id").alias("page_id"), F.col("pos").alias("block_no"), "kind", F.col("level").alias("outline"), F.lit(1).alias("list_level"), F.lit(0).alias("quote_level"), "text")
-
-
-def _rename(df: DataFrame) -> DataFrame:
-    return df.withColumnRenamed("page_id", "doc_id")
+def _written(writer: Transform) -> Transform:
+    """A writer of elements of pages as a writer of blocks of documents."""
+    return lambda b: writer(b.withColumnsRenamed({"doc_id": "page_id", "pos": "block_no", "level": "outline"})).withColumnRenamed("page_id", "doc_id")
 
 
 def default_registry(spark: SparkSession | None = None) -> CodecRegistry:
     """Plain text, HTML, XHTML and Markdown; JSON documents can only be written by their own job."""
     r = CodecRegistry()
     r.register("txt", _from_txt, lambda b: text.to_plain_text(b))
-    r.register("html", _from_html, lambda b: _rename(markup.to_html(_page_blocks(b))))
-    r.register("xhtml", _from_html, lambda b: _rename(markup.to_html(_page_blocks(b), xhtml=True)))
+    r.register("html", _from_html, _written(html.elements_to_html))
+    r.register("xhtml", _from_html, _written(lambda e: html.elements_to_html(e, xhtml=True)))
     r.register("xml", _from_xml, None, has_doctype_entities)
     r.register("docx", _from_docx, None, too_old)
-    r.register("md", _from_md, lambda b: _rename(html.to_markdown(_page_blocks(b))))
+    r.register("md", _from_md, _written(html.elements_to_markdown))
     return r

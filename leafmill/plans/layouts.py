@@ -271,36 +271,6 @@ def st4_hourly_events(spark, d):
 ESCAPE_MD = "regexp_replace({}, '([\\\\`*_\\[\\]<>#~|^])', '\\\\\\1', 'g')"
 ESCAPE_HTML = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 LETTERS = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"
-HTML_HEAD, HTML_TAIL = len("<!DOCTYPE html>\n<html><body>\n"), len("\n</body></html>\n")
-
-
-@query(f"""WITH {BODY}, {LINES},
-plain AS (SELECT d.doc_id, d.doc_id % 4 AS t, coalesce(d.text, '') = '' AS none, coalesce(sum(length(l.text)) + count(l.text) - 1, 0) AS txt, coalesce(sum(length({ESCAPE_MD.format("l.text")}) + 2) - 2, 0) AS md,
-  coalesce(sum(length({ESCAPE_HTML.format("l.text")}) + 8) - 1, 0) + {HTML_HEAD + HTML_TAIL} AS html FROM documents d LEFT JOIN lines l USING (doc_id) GROUP BY 1, 2, 3),
-page AS (SELECT p.page_id, p.page_id % 2 AS t, coalesce(sum(length(b.text)) + count(*) - 1, 0) AS txt,
-  coalesce(sum(2 * quote_level + CASE WHEN outline > 0 THEN outline + 1 WHEN kind = 'item' THEN 2 * greatest(list_level - 1, 0) + 2 ELSE 0 END + length({ESCAPE_MD.format("b.text")}) + 2) - 2, 0) AS md FROM pages p JOIN blocks b USING (page_id) GROUP BY 1, 2),
-every AS (
-  SELECT 'txt' AS "from", ['txt', 'md', 'html', 'docx'][t + 1] AS "to", CASE WHEN none THEN 4 WHEN t = 3 THEN 3 ELSE 0 END AS code, CASE WHEN NOT none THEN CASE t WHEN 0 THEN txt WHEN 1 THEN md WHEN 2 THEN html END END AS n FROM plain
-  UNION ALL SELECT 'html', CASE WHEN t = 0 THEN 'txt' ELSE 'md' END, 0, CASE WHEN t = 0 THEN txt ELSE md END FROM page
-  UNION ALL SELECT 'xml', 'txt', CASE WHEN doc_id % 5 = 0 THEN 5 ELSE 0 END, CASE WHEN doc_id % 5 <> 0 AND {LETTERS} <> '' THEN length({LETTERS}) END FROM documents
-  UNION ALL SELECT 'docx', 'txt', CASE WHEN doc_id % 7 = 0 THEN 6 ELSE 0 END, CASE WHEN doc_id % 7 <> 0 THEN length({LETTERS}) END FROM documents)
-SELECT "from", "to", code, count(*) AS docs, coalesce(sum(n), 0)::BIGINT AS chars FROM every GROUP BY 1, 2, 3""")
-def s12_convert_corpus(spark, d):
-    """Documents, pages, XML and DOCX documents made of the texts, each converted to the format asked for; documents and
-    characters by outcome: 0 done, 3 no such pair, 4 empty, 5 damaged or not allowed, 6 too old."""
-    from ..operators.codecs import convert_corpus, default_registry
-
-    letters = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
-    t, one = docs(spark, d), lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("doc_id") % len(x) + 1).cast("int"))
-    plain = t.select("doc_id", F.lit("txt").alias("from"), one("txt", "md", "html", "docx").alias("to"), F.coalesce("text", F.lit("")).alias("text"))
-    page = pages(spark, d).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")).select("doc_id", F.lit("html").alias("from"), one("txt", "md").alias("to"), "text")
-    kind = F.when(F.col("doc_id") % 5 == 0, '<!DOCTYPE d [<!ENTITY a "b">]>').otherwise("")
-    xml = t.select("doc_id", F.lit("xml").alias("from"), F.lit("txt").alias("to"), F.concat(kind, F.lit("<d><p>"), letters, F.lit("</p></d>")).alias("text"))
-    version = F.when(F.col("doc_id") % 7 == 0, "14.0300").otherwise("16.0000")
-    docx = t.select("doc_id", F.lit("docx").alias("from"), F.lit("txt").alias("to"), F.concat(F.lit("<Properties><AppVersion>"), version, F.lit("</AppVersion></Properties><w:body><w:p><w:r><w:t>"), letters, F.lit("</w:t></w:r></w:p></w:body>")).alias("text"))
-    pairs = [("txt", x) for x in ("txt", "md", "html", "docx")] + [("html", "txt"), ("html", "md"), ("xml", "txt"), ("docx", "txt")]
-    done = convert_corpus(default_registry(spark), plain.unionByName(page).unionByName(xml).unionByName(docx), pairs)
-    return done.groupBy("from", "to", "code").agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))
 
 
 # ---- All blocks of pages -------------------------------------------------------------------------------------------
@@ -356,10 +326,13 @@ def w1_element_lists(spark, d):
 MD_TEXT = "replace(regexp_replace(text, '([\\\\`*_\\[\\]<>#~|^])', '\\\\\\1', 'g'), chr(10), '  ' || chr(10))"
 
 
-@query(f"""WITH {LINES}, {ELEMENT_ROWS}, b AS (SELECT *, CASE kind WHEN 'heading' THEN repeat('#', outline) || ' ' || {MD_TEXT} WHEN 'item' THEN repeat('  ', list_level - 1) || CASE list_kind WHEN 'ordered' THEN number || '. ' ELSE '- ' END
+ELEMENTS_MD = f"""WITH {LINES}, {ELEMENT_ROWS}, b AS (SELECT *, CASE kind WHEN 'heading' THEN repeat('#', outline) || ' ' || {MD_TEXT} WHEN 'item' THEN repeat('  ', list_level - 1) || CASE list_kind WHEN 'ordered' THEN number || '. ' ELSE '- ' END
   || CASE WHEN checked THEN '[x] ' ELSE '' END || {MD_TEXT} WHEN 'code' THEN '````' || language || chr(10) || text || chr(10) || '````' WHEN 'rule' THEN '---' WHEN 'image' THEN '![' || text || '](' || src || ')' ELSE {MD_TEXT} END AS body FROM e),
 l AS (SELECT page_id, block_no, CASE WHEN lag(kind) OVER w IS NULL THEN '' WHEN kind = 'item' AND lag(kind) OVER w = 'item' THEN chr(10) ELSE chr(10) || chr(10) END || repeat('> ', quote_level) || body AS line FROM b WINDOW w AS (PARTITION BY page_id ORDER BY block_no))
-SELECT page_id, sha256(string_agg(line, '' ORDER BY block_no)) AS sha256 FROM l GROUP BY 1""")
+SELECT page_id, sha256(string_agg(line, '' ORDER BY block_no)) AS sha256 FROM l GROUP BY 1"""
+
+
+@query(ELEMENTS_MD)
 def r2_elements_to_markdown(spark, d):
     return H.elements_to_markdown(H.html_elements(marked_pages(spark, d))).select("page_id", F.sha2("text", 256).alias("sha256"))
 
@@ -387,3 +360,30 @@ def r3_elements_to_html(spark, d):
 @query(_elements_html(True))
 def r4_elements_to_xhtml(spark, d):
     return H.elements_to_html(H.html_elements(marked_pages(spark, d)), xhtml=True).select("page_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query(f"""WITH {LINES}, {ELEMENT_ROWS},
+plain AS (SELECT d.doc_id, d.doc_id % 4 AS t, coalesce(d.text, '') = '' AS none, string_agg(l.text, chr(10) ORDER BY l.pos) AS txt, string_agg({ESCAPE_MD.format("l.text")}, chr(10) || chr(10) ORDER BY l.pos) AS md,
+  '<!DOCTYPE html>' || chr(10) || '<html><body>' || chr(10) || string_agg('<p>' || {ESCAPE_HTML.format("l.text")} || '</p>', chr(10) ORDER BY l.pos) || chr(10) || '</body></html>' || chr(10) AS html FROM documents d LEFT JOIN lines l USING (doc_id) GROUP BY 1, 2, 3),
+page AS (SELECT page_id, 'txt' AS "to", sha256(string_agg(text, chr(10) ORDER BY block_no)) AS sha256 FROM e GROUP BY 1 UNION ALL SELECT page_id, 'md', sha256 FROM ({ELEMENTS_MD})
+  UNION ALL SELECT page_id, 'html', sha256 FROM ({_elements_html(False)}) UNION ALL SELECT page_id, 'xhtml', sha256 FROM ({_elements_html(True)}))
+SELECT 'txt' AS "from", ['txt', 'md', 'html', 'docx'][t + 1] AS "to", doc_id, CASE WHEN none THEN 4 WHEN t = 3 THEN 3 ELSE 0 END AS code, CASE WHEN NOT none THEN sha256(CASE t WHEN 0 THEN txt WHEN 1 THEN md WHEN 2 THEN html END) END AS sha256 FROM plain
+UNION ALL SELECT 'html', "to", page_id, 0, sha256 FROM page WHERE "to" = ['txt', 'md', 'html', 'xhtml'][page_id % 4 + 1]
+UNION ALL SELECT 'xml', 'txt', doc_id, CASE WHEN doc_id % 5 = 0 THEN 5 ELSE 0 END, CASE WHEN doc_id % 5 <> 0 AND {LETTERS} <> '' THEN sha256({LETTERS}) END FROM documents
+UNION ALL SELECT 'docx', 'txt', doc_id, CASE WHEN doc_id % 7 = 0 THEN 6 ELSE 0 END, CASE WHEN doc_id % 7 <> 0 THEN sha256({LETTERS}) END FROM documents""")
+def s12_convert_corpus(spark, d):
+    """Documents, pages, XML and DOCX documents made of the texts, each converted to the format asked for, with the hash of what
+    came out and the outcome: 0 done, 3 no such pair, 4 empty, 5 damaged or not allowed, 6 too old."""
+    from ..operators.codecs import convert_corpus, default_registry
+
+    letters = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " "))
+    t, one = docs(spark, d), lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("doc_id") % len(x) + 1).cast("int"))
+    plain = t.select("doc_id", F.lit("txt").alias("from"), one("txt", "md", "html", "docx").alias("to"), F.coalesce("text", F.lit("")).alias("text"))
+    page = marked_pages(spark, d).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")).select("doc_id", F.lit("html").alias("from"), one("txt", "md", "html", "xhtml").alias("to"), "text")
+    kind = F.when(F.col("doc_id") % 5 == 0, '<!DOCTYPE d [<!ENTITY a "b">]>').otherwise("")
+    xml = t.select("doc_id", F.lit("xml").alias("from"), F.lit("txt").alias("to"), F.concat(kind, F.lit("<d><p>"), letters, F.lit("</p></d>")).alias("text"))
+    version = F.when(F.col("doc_id") % 7 == 0, "14.0300").otherwise("16.0000")
+    docx = t.select("doc_id", F.lit("docx").alias("from"), F.lit("txt").alias("to"), F.concat(F.lit("<Properties><AppVersion>"), version, F.lit("</AppVersion></Properties><w:body><w:p><w:r><w:t>"), letters, F.lit("</w:t></w:r></w:p></w:body>")).alias("text"))
+    pairs = [("txt", x) for x in ("txt", "md", "html", "docx")] + [("html", x) for x in ("txt", "md", "html", "xhtml")] + [("xml", "txt"), ("docx", "txt")]
+    done = convert_corpus(default_registry(spark), plain.unionByName(page).unionByName(xml).unionByName(docx), pairs)
+    return done.select("from", "to", "doc_id", "code", F.sha2("text", 256).alias("sha256"))

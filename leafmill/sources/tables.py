@@ -25,10 +25,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: it is evaluated once, whatever reads it."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back: it is evaluated once, whatever reads it. With by, a
+    folder for each value of that column, so that who filters by it reads no others."""
     at = shared_path(df.sparkSession, name)
-    df.write.parquet(at)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

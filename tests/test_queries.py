@@ -282,6 +282,29 @@ def test_conversion_codes(spark):
     assert got == {1: ("a\\*b\n\nc", 0), 2: (None, 3), 3: (None, 4), 4: (None, 5), 5: ("t & u\nv", 0), 6: (None, 6)}
 
 
+def test_conversion_keeps_structure(spark):
+    """HTML to Markdown and back is HTML to HTML; ids may repeat or be null, and each request is answered once."""
+    from leafmill.operators.codecs import convert_corpus, default_registry
+
+    page = (
+        '<h2>T *x*</h2><p>a<br>b</p><ul><li>i</li><li>j</li></ul><ol start="3"><li>k</li><li>l</li></ol><ul><li><input type="checkbox" checked>m</li><li><input type="checkbox">n</li></ul>'
+        '<blockquote><p>q</p></blockquote><pre><code class="language-py">x = 1\n  ```\n</code></pre><hr><img src="a.png" alt="pic"><p>end &amp; [z]</p>'
+    )
+    rows = [(1, "html", "md", page), (1, "html", "html", page), (None, "html", "txt", page), (1, "html", "html", page), (2, "html", "txt", "<script>x</script>"), (3, None, "txt", "x"), (4, "md", "xhtml", "# a\n\n> - b")]
+    d = spark.createDataFrame(rows, "doc_id long, from string, to string, text string")
+    pairs = [("html", "md"), ("html", "html"), ("html", "txt"), ("md", "xhtml")]
+    got = [(r["doc_id"], r["to"], r["text"], r["code"]) for r in convert_corpus(default_registry(spark), d, pairs).collect()]
+    assert len(got) == len(rows) and len([x for x in got if x[1] == "html"]) == 2
+    of = {(a, b): (t, c) for a, b, t, c in got}
+    assert of[2, "txt"] == (None, 0) and of[3, "txt"] == (None, 3)
+    assert of[None, "txt"][0] == "T *x*\na\nb\ni\nj\nk\nl\nm\nn\nq\nx = 1\n  ```\n\npic\nend & [z]"
+    assert "<h1>a</h1>" in of[4, "xhtml"][0] and "<blockquote>\n<ul>\n<li>b</li>\n</ul>\n</blockquote>" in of[4, "xhtml"][0]
+    md = spark.createDataFrame([(9, of[1, "md"][0])], "doc_id long, text string")
+    assert default_registry(spark).convert(md, "md", "html").first()["text"] == of[1, "html"][0]
+    empty = convert_corpus(default_registry(spark), d.limit(0), pairs)
+    assert empty.count() == 0 and convert_corpus(default_registry(spark), d, []).filter("code <> 3").count() == 0
+
+
 def test_files_of_documents(spark, tmp_path):
     out = str(tmp_path / "files")
     write_rendered(docs(spark, "a\nb", "c"), out, "txt", files=True)
