@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..operators import text as X
 from ..sources import admission as A
-from ..sources.tables import extension, read_table, scan_corpus
+from ..sources.tables import dealt, extension, read_table, scan_corpus
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,16 @@ def paragraphs(spark, d):
     return X.txt_paragraphs(docs(spark, d))
 
 
+#: Characters of text that one task makes into markup and takes apart again.
+TEXT_EACH = 1_500_000
+
+
+def dealt_paragraphs(spark, d):
+    """paragraphs dealt by document, whole texts before they are cut: what follows goes on by document without another shuffle."""
+    t = docs(spark, d).select("doc_id", "text")
+    return X.txt_paragraphs(dealt(t, "doc_id", t.agg(F.sum(F.length("text"))).first()[0] or 0, TEXT_EACH))
+
+
 #: Paragraphs in SQL: lines without an empty last one.
 LINES = """lines AS (
   SELECT doc_id, i - 1 AS pos, regexp_replace(parts[i], '\\r$', '') AS text

@@ -9,7 +9,7 @@ from ..operators import html as H
 from ..operators import layout as L
 from ..operators import text as X
 from ..sources.tables import read_table
-from .documents import LINES, docs, paragraphs
+from .documents import LINES, dealt_paragraphs, docs, paragraphs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -303,7 +303,7 @@ def marked_pages(spark, d):
     """A page for each document, with its lines in all kinds of elements by turns."""
     t = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
     line = F.element_at(F.array(*map(F.lit, MARKUP)), (F.col("pos") % 8 + 1).cast("int"))
-    rows = paragraphs(spark, d).withColumn("t", t).filter("t <> ''").select("doc_id", "pos", F.replace(line, F.lit("{t}"), F.col("t")).alias("x"))
+    rows = dealt_paragraphs(spark, d).withColumn("t", t).filter("t <> ''").select("doc_id", "pos", F.replace(line, F.lit("{t}"), F.col("t")).alias("x"))
     body = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("r"))
     html = F.concat(F.lit("<html><head><title>no</title><style>p {}</style></head><body>"), F.array_join(F.transform("r", lambda x: x["x"]), "\n"), F.lit("</body></html>"))
     return body.select(F.col("doc_id").alias("page_id"), html.alias("html"))

@@ -337,3 +337,27 @@ def test_html_elements(spark):
     assert [(r.text, [k for k in H.STYLES if r[k]], r.url) for r in runs] == [
         ("x", [], None), ("u", ["underline"], None), ("s", ["strike"], None), ("H", [], None), ("2", ["sub"], None), ("3", ["sup"], None), ("c", ["mono"], None), ("m", ["mark"], None), ("\n", [], None), ("l", ["underline"], "q"), ("[p](i)", [], None)
     ]
+
+
+def tasks_of(df):
+    return df.rdd.getNumPartitions()
+
+
+def test_tasks_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """What is made of items and documents is taken apart in tasks of bounded size, whatever the session's number of partitions."""
+    from leafmill.plans import documents, layouts, structures, trees
+
+    monkeypatch.setattr(structures, "ITEMS_EACH", 700)
+    monkeypatch.setattr(documents, "TEXT_EACH", 20_000)
+    n_items, n_chars = spark.read.parquet(f"{D}/lineitem.parquet").count(), spark.read.parquet(f"{D}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    for page in (structures.item_tables, trees.nested_pages, trees.office_packages, trees.styled_pages):
+        assert tasks_of(page(spark, D)) == -(-n_items // 700)
+    for page in (layouts.marked_pages, structures.json_docs, structures.plain_lines):
+        assert tasks_of(page(spark, D)) == -(-n_chars // 20_000)
+
+
+@pytest.mark.parametrize("name", ["p7_html_cells", "p13_md_tables", "a11_table_shape", "p21_office_cells", "p17_office_runs", "p17_office_blocks", "p12_md_inline", "p3_html_elements", "r2_elements_to_markdown"])
+def test_one_shuffle(spark, name):
+    """The rows are dealt once, as small as they come; markup and its parts go on by the same key."""
+    plan = registry.QUERIES[name](spark, D)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning") <= (2 if name == "p21_office_cells" else 1), plan
