@@ -395,6 +395,33 @@ def test_jaccard_joins_a_star_of_near_copies_around_its_source(spark, monkeypatc
     assert sum(paired) == 0
 
 
+def test_jaccard_leaves_out_copies_edited_too_much_for_any_link(spark, monkeypatch):
+    """Of a set of which a ninth is its own, no set of its size is near: such copies are in no region, not copied to cells and paired."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1000, " ".join(base))]
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(5, 195, 6), 4 if i % 3 else 5):
+            w[k] = f"n{i}-{k}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard, "REGION", 20)
+    monkeypatch.setattr(jaccard, "PART", 40)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    paired = []
+    block_pairs = jaccard._block_pairs
+    monkeypatch.setattr(jaccard, "_block_pairs", lambda r: paired.append(r.count()) or block_pairs(r))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collected(jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == brute_classes(rows) and len({c for _, c in got.values()}) == 51
+    assert sum(paired) == 0
+
+
+def test_jaccard_keeps_partners_of_other_sizes(spark):
+    """A text with a fifth of its own shingles still links with one that is a part of it; sets of one size only up to a ninth."""
+    members = spark.createDataFrame([(1, 1, 100, 80), (1, 2, 80, 80), (1, 3, 100, 88), (2, 4, 100, 89), (2, 5, 100, 89), (2, 6, 100, 88), (3, 7, 100, 100)], "region long, id long, n long, held long")
+    assert {r["id"] for r in collected(jaccard.partnered(members, 80))} == {1, 2, 3, 4, 5}
+
+
 def test_jaccard_ties_texts_of_one_id(spark):
     texts = [" ".join(f"{k}{i}" for i in range(60)) for k in "abc"]
     rows = [(5, texts[0]), (5, texts[1]), (3, texts[1] + " more"), (9, texts[0] + " more"), (7, texts[2]), (5, None), (4, "x")]
