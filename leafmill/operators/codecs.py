@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.tables import dealt, stored
 from . import html, markup, text
 
 Transform = Callable[[DataFrame], DataFrame]
+#: Characters of text that one task converts.
+TEXT_EACH = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -83,28 +85,28 @@ def convert_corpus(registry: CodecRegistry, docs: DataFrame, pairs: list[tuple[s
     pairs are the formats that are asked for; a document that asks for another pair has code 3. Null and repeated doc_ids are
     requests of their own; a document without any block has code 0 and a null text.
 
-    docs are read once and stored by source format. Each reader reads its own format's rows; the blocks of all formats are
-    one table, stored by target format, of which each writer reads its own. So no row is read again for each pair.
+    docs are read once and stored by the pair asked for. The rows of a pair are dealt by request while they are whole texts, in
+    tasks of bounded size; its reader, its writer and the join with the requests go on by that key, so that no blocks and no
+    rendered texts are stored or shuffled, and no row is read again for each pair.
     """
-    code = F.when(F.coalesce("text", F.lit("")) == "", 4)
-    for a, b in pairs:
-        code = code.when((F.col("from") == a) & (F.col("to") == b), registry._code(a, b))
-    asked = docs.select(F.monotonically_increasing_id().alias("request"), "doc_id", "from", "to", F.col("text").cast("string").alias("text"), code.otherwise(3).alias("code"))
-    asked = stored(asked, "requests", by="from")
-    able = [(a, b) for a, b in pairs if registry._knows(a, b)]
-    blocks = None
-    for a in dict.fromkeys(a for a, _ in able):
-        own = asked.filter((F.col("from") == a) & (F.col("code") == 0)).select(F.struct("to", "request").alias("doc_id"), "text")
-        own = registry.read(own, a)
-        blocks = own if blocks is None else blocks.unionByName(own)
-    if blocks is None:
-        return asked.select("from", "to", "doc_id", F.lit(None).cast("string").alias("text"), "code")
-    blocks = stored(blocks.select("doc_id.to", F.col("doc_id.request").alias("doc_id"), *[c for c in blocks.columns if c != "doc_id"]), "blocks", by="to")
-    out = None
-    for b in dict.fromkeys(b for _, b in able):
-        own = registry.write(blocks.filter(F.col("to") == b).drop("to"), b).select(F.col("doc_id").alias("request"), "text")
-        out = own if out is None else out.unionByName(own)
-    return asked.drop("text").join(out, "request", "left").select("from", "to", "doc_id", "text", "code")
+    asks = [(F.col("from") == a) & (F.col("to") == b) for a, b in pairs]
+    code, pair = F.when(F.coalesce("text", F.lit("")) == "", 4), F.when(F.lit(False), -1)
+    for k, ((a, b), own) in enumerate(zip(pairs, asks, strict=True)):
+        code, pair = code.when(own, registry._code(a, b)), pair.when(own, k)
+    text = F.col("text").cast("string")
+    asked = docs.select(F.monotonically_increasing_id().alias("request"), "doc_id", "from", "to", text.alias("text"), F.length(text).alias("chars"), code.otherwise(3).alias("code"), pair.otherwise(-1).alias("pair"))
+    asked = stored(asked, "requests", by="pair")
+    able = F.col("code") == 0
+    totals = {r["pair"]: r["chars"] for r in asked.filter(able).groupBy("pair").agg(F.sum("chars").alias("chars")).collect()}  # a row for each pair
+    out = asked.filter(~able).select("from", "to", "doc_id", F.lit(None).cast("string").alias("text"), "code")
+    for k, (a, b) in enumerate(pairs):
+        if k in totals:
+            own = asked.filter(able & (F.col("pair") == k))
+            whole = dealt(own.select(F.col("request").alias("doc_id"), "text"), "doc_id", totals[k], TEXT_EACH)
+            done = registry.write(registry.read(whole, a), b).select(F.col("doc_id").alias("request"), "text")
+            who = dealt(own.select("request", "doc_id", "from", "to", "code"), "request", totals[k], TEXT_EACH)
+            out = out.unionByName(who.join(done.hint("merge"), "request", "left").select("from", "to", "doc_id", "text", "code"))
+    return out
 
 
 #: What blocks may have beside their place, kind, level and text: the types, and the values where a format has none.

@@ -282,6 +282,24 @@ def test_conversion_codes(spark):
     assert got == {1: ("a\\*b\n\nc", 0), 2: (None, 3), 3: (None, 4), 4: (None, 5), 5: ("t & u\nv", 0), 6: (None, 6)}
 
 
+def test_conversion_moves_texts_once(spark, monkeypatch):
+    """Requests are stored and dealt as whole texts; reader, writer and join go on by that key, without blocks stored or shuffled."""
+    from leafmill.operators import codecs
+
+    names = []
+    real = codecs.stored
+    monkeypatch.setattr(codecs, "stored", lambda df, name, by=None: names.append(name) or real(df, name, by))
+    monkeypatch.setattr(codecs, "TEXT_EACH", 50)
+    rows = [(i, a, b, t) for i in range(20) for a, t in (("txt", f"a{i}\nb"), ("html", f"<p>a{i}</p><p>b</p>")) for b in ("txt", "md", "html")] + [(None, "txt", "", "x"), (7, "", "txt", "y")]
+    pairs = [(a, b) for a in ("txt", "html") for b in ("txt", "md", "html")]
+    out = codecs.convert_corpus(codecs.default_registry(spark), spark.createDataFrame(rows, "doc_id long, from string, to string, text string"), pairs)
+    plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert names == ["requests"] and "ENSURE_REQUIREMENTS" not in plan and plan.count("REPARTITION_BY_NUM") == 2 * len(pairs), plan
+    got = {(r["doc_id"], r["from"], r["to"]): (r["text"], r["code"]) for r in out.collect()}
+    assert len(got) == len(rows) and got[3, "html", "txt"] == ("a3\nb", 0) and got[4, "txt", "md"] == ("a4\n\nb", 0)
+    assert got[None, "txt", ""] == got[7, "", "txt"] == (None, 3)
+
+
 def test_conversion_keeps_structure(spark):
     """HTML to Markdown and back is HTML to HTML; ids may repeat or be null, and each request is answered once."""
     from leafmill.operators.codecs import convert_corpus, default_registry
