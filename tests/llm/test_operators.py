@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import fingerprints, html_extract, jaccard, line_dedup, lm, packing, suffix_dedup, topk, toxicity
+from leafmill.llm import filters, fingerprints, html_extract, jaccard, line_dedup, lm, packing, suffix_dedup, topk, toxicity
+from leafmill.llm.common import mix
 from leafmill.llm.components import connected_components
 from leafmill.llm.queries import ORACLES, QUERIES
 
@@ -416,6 +418,39 @@ def test_jaccard_leaves_out_copies_edited_too_much_for_any_link(spark, monkeypat
     assert sum(paired) == 0
 
 
+def test_jaccard_suspects_stay_few_when_shingles_outgrow_the_largest_filter(spark, monkeypatch):
+    monkeypatch.setattr(filters, "MOST_BITS", 1 << 20)
+    monkeypatch.setattr(filters, "SLICE_KEYS", 1 << 16)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 6000))) for _ in range(300)]
+    rows = [*enumerate(texts), (300, texts[7]), (301, texts[9] + " one two"), (None, texts[11])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).cache()
+    none = spark.sparkContext.broadcast(jaccard.Frequent(pa.table({"word": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})))
+    sent, _ = jaccard.suspects(docs, none, 300 * 6000, 5, 80)
+    assert {r["node"] for r in collected(sent.select("node"))} == {jaccard.set_key(jaccard.shingles(t.encode())) for t in (texts[7], texts[9], rows[301][1])}
+
+
+def test_recurring_counts_keys_of_rows_however_they_are_sent(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(k) for k in rng.choice(1 << 12, 40, replace=False)] + list(range(9000, 9000 + i % 50))) for i in range(200)]
+    seen = Counter(k for _, keys in rows for k in keys)
+
+    def keyed(b):
+        for i, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield i, 25, mix(np.array(keys, np.uint64))
+
+    want = {i: n for i, keys in rows if (n := sum(seen[k] > 1 for k in keys)) >= 25}
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "id long, keys array<long>").repartition(parts).cache()
+        got = {r["id"]: r["hits"] for r in collected(filters.recurring(df, keyed, 12_000))}
+        assert all(0 <= got[i] - n <= 3 for i, n in want.items()) and len(got) <= len(want) + 10
+
+
+def test_places_are_packed_by_steps():
+    for at in ([], [0], [0, 0, 65_534, 65_535, 131_070, 1 << 24], [65_535], [1 << 23, (1 << 24) - 1]):
+        assert filters.unpacked(filters.packed(np.array(at, np.int64))).tolist() == at
+
+
 def test_jaccard_keeps_partners_of_other_sizes(spark):
     """A text with a fifth of its own shingles still links with one that is a part of it; sets of one size only up to a ninth."""
     members = spark.createDataFrame([(1, 1, 100, 80), (1, 2, 80, 80), (1, 3, 100, 88), (2, 4, 100, 89), (2, 5, 100, 89), (2, 6, 100, 88), (3, 7, 100, 100)], "region long, id long, n long, held long")
